@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ._shared import ready, table
 
-SAMPLE, MIN_DOCUMENTS, PRIOR, DRIFT = 40_000, 4, 8.0, 1.5
+SAMPLE, MIN_DOCUMENTS, PRIOR, DRIFT = 40_000, 3, 10.0, 1.6
 SIGNIFICANCE, THRESHOLD = 0.05, 0.7
 PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W_]+")

@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from ._shared import ready, stage, staged_path, table
 
 WIDTH, GRAM = 200, 32
-#: Classes of one gram that a bucket of the suffix array takes; the windows of larger groups are counted.
-GROUP_CLASSES = 5_000
+#: Classes of one gram that a bucket of the suffix array sorts at once (about 30 MB of bytes); the
+#: windows of larger groups are counted.
+GROUP_CLASSES = 1 << 16
 #: Bytes of several short texts, or of a part of a long one, that are searched for anchors at once.
 BLOCK = 1 << 18
 ANCHORS = "doc_id long, doc_key long, pos long, reach_left int, reach_right int, gram long, around long"

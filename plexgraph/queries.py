@@ -432,7 +432,7 @@ def mention_match(t):
     return search.mentions(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("name")), "doc_id", "item_id")
 
 
-QUESTION = "What do FRANCE and GERMANY trade with CHINA?"
+QUESTION = "What do NATION_3 and NATION_14 trade with Customer#000000007?"
 
 
 @query(

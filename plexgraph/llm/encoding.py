@@ -21,8 +21,8 @@ WORDS = re.compile(
 )
 BEYOND = re.compile("[^\x00-ɏ]")
 END_ID = 0
-#: Entries after which a worker's table of words, or of pieces, starts anew.
-TABLE_ENTRIES = 700_000
+#: Entries of each of the two generations of a worker's tables of words and of pieces.
+TABLE_ENTRIES = 120_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -32,30 +32,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Words(dict):
-    def __init__(self, model, dtype):
-        self.model, self.dtype, self.letters = model, dtype, str.maketrans(_byte_letters())
+class Generations(dict):
+    """A table of bounded size: when the young half is full it becomes the old one, and what is used again moves back."""
 
-    def __missing__(self, word: str) -> bytes:
-        said = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        ids = np.array([x.id for x in self.model.tokenize(said)], self.dtype).tobytes()
-        if len(self) >= TABLE_ENTRIES:
-            self.clear()
-        self[word] = ids
-        return ids
-
-
-class _Pieces(dict):
-    def __init__(self, words):
-        self.words = words
+    def __init__(self, make, entries: int):
+        self.make, self.entries, self.old = make, entries, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(map(self.words.__getitem__, WORDS.findall(piece)))
-        if "\n" not in piece:
-            if len(self) >= TABLE_ENTRIES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.entries:
+            self.old = self.copy()
+            self.clear()
+        self[key] = found
+        return found
 
 
 class Encoder:
@@ -67,10 +58,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = _Words(self.tokenizer.model, self.dtype)
-        self.pieces = _Pieces(self.words)
+        self.letters = str.maketrans(_byte_letters())
+        self.words = Generations(self._word, TABLE_ENTRIES)
+        self.pieces = Generations(self._piece, TABLE_ENTRIES)
         self.end = np.array([END_ID], self.dtype).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        said = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return np.array([x.id for x in self.tokenizer.model.tokenize(said)], self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, WORDS.findall(piece)))
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
@@ -79,8 +78,9 @@ class Encoder:
         if "  " in text:
             return b"".join(map(self.words.__getitem__, WORDS.findall(text))) + self.end
         first, *rest = text.split(" ")
-        pieces = self.pieces
-        return b"".join([pieces[first] if first else b"", *[pieces[" " + x] for x in rest], self.end])
+        pieces, piece = self.pieces, self._piece
+        # Pieces with a line's end are mostly seen once.
+        return b"".join([piece(first) if first else b"", *[piece(" " + x) if "\n" in x else pieces[" " + x] for x in rest], self.end])
 
 
 _ENCODERS: dict[str, Encoder] = {}

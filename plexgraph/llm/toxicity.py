@@ -33,12 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import ready, table
+from .encoding import Generations
 
 SAMPLE, MIN_DOCUMENTS, PRIOR, DRIFT = 40_000, 3, 10.0, 1.6
 SIGNIFICANCE, THRESHOLD = 0.05, 0.7
 PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W_]+")
-TABLE_ENTRIES = 700_000
+TABLE_ENTRIES = 120_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,7 +67,7 @@ class Model:
             self.rates[name] = (a + prior * self._parent(name)) / (a + b + prior)
         self.decay, self.scale, self.slope, self.level = 1.0, 1.0, 1.0, 0.0
         self.fitted = toxic > 0 and clean > 0
-        self._known: dict[str, float] = {}
+        self._known = Generations(self._score, TABLE_ENTRIES)
 
     def _parent(self, name: str) -> float:
         stem = name.rstrip("*")
@@ -76,25 +77,23 @@ class Model:
         return self.root
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
 
-    def score(self, word: str) -> float:
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self._known = Generations(self._score, TABLE_ENTRIES)
+
+    def _score(self, word: str) -> float:
         """Above zero for a token that speaks for toxicity, else zero: then it counts as drift."""
-        known = self._known
-        if word not in known:
-            rate = self.rates.get(word)
-            rate = self._parent(word) if rate is None else rate
-            odds = math.log(rate / (1 - rate)) - math.log(self.root / (1 - self.root))
-            if len(known) >= TABLE_ENTRIES:
-                known.clear()
-            known[word] = max(0.0, odds - self.drift)
-        return known[word]
+        rate = self.rates.get(word)
+        rate = self._parent(word) if rate is None else rate
+        odds = math.log(rate / (1 - rate)) - math.log(self.root / (1 - self.root))
+        return max(0.0, odds - self.drift)
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[float, int, int]]]:
         """(tokens, [(score, first token, end)]): all maximal scoring segments, in one pass."""
         words = tokens(text)
-        known, score = self._known, self.score
-        each = [known[w] if w in known else score(w) for w in words]
+        each = list(map(self._known.__getitem__, words))
         return len(words), maximal_segments(np.flatnonzero(np.array(each)).tolist() if each else [], each, self.drift)
 
     def evidence(self, n: int, found: list[tuple[float, int, int]]) -> float:

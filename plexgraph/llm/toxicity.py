@@ -59,23 +59,25 @@ class Model:
     """Token scores and the calibration of their segments."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], toxic: int, clean: int, prior: float = PRIOR, drift: float = DRIFT):
-        self.prior, self.drift = prior, drift
-        self.root = (toxic + 1) / (toxic + clean + 2)
-        self.rates: dict[str, float] = {}
+        self.drift = drift
+        root = (toxic + 1) / (toxic + clean + 2)
+        rates: dict[str, float] = {}
+        parents: dict[str, float] = {}
         for name in sorted(counts, key=lambda x: (not x.endswith("*"), len(x))):
             a, b = counts[name]
-            self.rates[name] = (a + prior * self._parent(name)) / (a + b + prior)
+            parents[name] = next((rates[p] for p in features(name.rstrip("*"))[1:] if p in rates), root)
+            rates[name] = (a + prior * parents[name]) / (a + b + prior)
+
+        def score(rate: float) -> float:
+            """Above zero for a token that speaks for toxicity, else zero: then it counts as drift."""
+            return max(0.0, math.log(rate / (1 - rate)) - math.log(root / (1 - root)) - drift)
+
+        # What scores zero below a parent that does so too need not be known.
+        self.scores = {x: score(r) for x, r in rates.items() if score(r) or score(parents[x])}
         self.decay, self.scale, self.slope, self.level = 1.0, 1.0, 1.0, 0.0
         self.fitted = toxic > 0 and clean > 0
         self._known = Generations(self._score, TABLE_ENTRIES)
 
-    def _parent(self, name: str) -> float:
-        stem = name.rstrip("*")
-        for n in reversed(PREFIXES):
-            if n < len(stem) and (found := self.rates.get(stem[:n] + "*")) is not None:
-                return found
-        return self.root
-
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_known"}
 
@@ -84,11 +86,8 @@ class Model:
         self._known = Generations(self._score, TABLE_ENTRIES)
 
     def _score(self, word: str) -> float:
-        """Above zero for a token that speaks for toxicity, else zero: then it counts as drift."""
-        rate = self.rates.get(word)
-        rate = self._parent(word) if rate is None else rate
-        odds = math.log(rate / (1 - rate)) - math.log(self.root / (1 - self.root))
-        return max(0.0, odds - self.drift)
+        """The word's score, or that of its longest known prefix."""
+        return next((self.scores[x] for x in features(word) if x in self.scores), 0.0)
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[float, int, int]]]:
         """(tokens, [(score, first token, end)]): all maximal scoring segments, in one pass."""
@@ -168,12 +167,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_document
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())
+
+        def told() -> pa.RecordBatch:
+            names = list(by[0].keys() | by[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[1][x] for x in names], pa.int64()), pa.array([by[0][x] for x in names], pa.int64())], ["name", "toxic", "clean"])
+
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 by[label].update({f for w in set(tokens(text.as_py())) for f in features(w)})
                 by[label][""] += 1
-        names = list(by[0].keys() | by[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[1][x] for x in names], pa.int64()), pa.array([by[0][x] for x in names], pa.int64())], ["name", "toxic", "clean"])
+                if len(by[0]) + len(by[1]) > TABLE_ENTRIES:
+                    yield told()
+                    by[0].clear()
+                    by[1].clear()
+        yield told()
 
     counted = read.where("not check").select("toxic", "text").mapInArrow(count, "name string, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rows = counted.where((F.col("name") == "") | (F.col("toxic") + F.col("clean") >= min_documents)).toPandas()
@@ -188,6 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_document
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for s, _, _ in x] for _, x in found], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
 
     model.calibrate([(r.toxic, r.n, r.scores) for r in read.where("check").select("toxic", "text").mapInArrow(segments, "toxic int, n long, scores array<double>").collect()])
+    shared.unpersist()
     return model
 
 

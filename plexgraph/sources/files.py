@@ -8,5 +8,5 @@ from pyspark.sql import functions as F
 
 def whole_files(spark: SparkSession, folder: str, collection: str, glob: str = "*.{md,txt}") -> DataFrame:
     """collection, file_name and content of the folder's files, not of those below it."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
+    files = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
     return files.select(F.lit(collection).alias("collection"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))

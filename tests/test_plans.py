@@ -217,3 +217,34 @@ def test_exports(spark):
     assert 'A \\"x\\"' in export.html(e, r, ["c"])
     with pytest.raises(ValueError):
         export.gexf(e, r, max_nodes=1)
+
+
+def make_providers():
+    return Scripted(lambda p: said([{"name": "가", "type": "PERSON"}, {"name": "가 나", "type": "WORK"}, {"name": "가나", "type": "WORK"}], [{"source": "가", "target": "가나", "predicate": "p"}]) if p.startswith("Extract") else json.dumps({"title": "t", "summary": p[:20], "evidence_points": ["e"]})), HashedNgrams()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from plexgraph import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("가 이야기")
+    go = lambda *a: cli.run(spark, ["--store", str(tmp_path / "s"), "--provider", f"{__name__}:make_providers", *a])
+    go("init")
+    go("ingest", "c", str(tmp_path / "in"))
+    go("set-parent", "c", "root")
+    go("merge")
+    go("communities")
+    capsys.readouterr()
+    go("status")
+    assert '{"what": "entities", "n": 2}' in capsys.readouterr().out.splitlines()
+    go("query", "가?", "--mode", "global", "--collections", "root")
+    assert '"title"' in capsys.readouterr().out
+    go("query", "가?")
+    go("collections")
+    go("graph", "--out", str(tmp_path / "g.gexf"))
+    assert (tmp_path / "g.gexf").read_text().count("<node ") == 2
+    go("delete", "c", "a.txt")
+    go("clean")
+    go("backup", "--keep", "3")
+    with pytest.raises(SystemExit):
+        cli.run(spark, ["--store", str(tmp_path / "s"), "summarize-descriptions"])

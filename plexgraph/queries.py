@@ -272,12 +272,13 @@ def change_detection(t):
     return lifecycle.needs_processing(B.documents(t), stored).select(F.col("source_id").cast("long").alias("doc_id"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS source_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id % 7 <> 0")
+@query("SELECT CAST(doc_id AS VARCHAR) AS source_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND lang <> 'es'")
 def orphan_sources(t):
     used = B.documents(t).select("source_id")
     none = t.spark.createDataFrame([], "source_doc string")
     kept = t.labels.select(F.col("doc_id").cast("string").alias("source_id"))
-    return lifecycle.orphans(used, none, none, kept, used.where("source_id % 7 = 0"))
+    running = t.documents.where("lang = 'es'").select(F.col("doc_id").cast("string").alias("source_id"))
+    return lifecycle.orphans(used, none, none, kept, running)
 
 
 @query(

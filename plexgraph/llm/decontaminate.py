@@ -223,7 +223,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: i
                 rows.append({"n_words": len(words), "n_hit": sum(b - a for a, b in spans), "items": sorted(x for x in names if x is not None), "spans": [{"low": a, "high": b} for a, b in spans]})
             return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))]))
 
-        return F.arrow_udf(own, FOUND)
+        return F.arrow_udf(own, FOUND).asNondeterministic()  # else a filter on it would run it twice
 
     out = docs.withColumn("contamination", F.lit(None).cast(FOUND))
     for machine in automata(benchmark, window, most):
@@ -248,17 +248,40 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_coverage: float = DROP_COVERAGE) -> DataFrame:
     """docs without the spans that occur in the benchmark, and without documents that mostly do; columns as before."""
+    spark = docs.sparkSession
+    ready(spark)
+    machines = automata(benchmark, window)
+    if len(machines) > 1:
+        found = matched(docs, benchmark, window)
+        spans = F.col("contamination.spans")
+        clean = F.arrow_udf(lambda texts, spans: _cut_all(texts.to_pylist(), spans.to_pylist(), drop_coverage), CLEAN).asNondeterministic()("text", spans)
+        out = found.withColumn("__clean", clean)
+    else:  # one pass: a task needs one Python worker
+        shared = spark.sparkContext.broadcast(machines[0])
+
+        def own(texts: pa.Array) -> pa.Array:
+            texts = texts.to_pylist()
+            return _cut_all(texts, [[{"low": a, "high": b} for a, b in union(shared.value.scan(normal_words(t))[0])] for t in texts], drop_coverage)
+
+        out = docs.withColumn("__clean", F.arrow_udf(own, CLEAN).asNondeterministic()(F.col("text").cast("string")))
+    kept, cut_ = out.where("__clean.keep"), F.col("__clean.text").isNotNull()
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(cut_, F.length("__clean.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.withColumn("text", F.when(cut_, F.col("__clean.text")).otherwise(F.col("text"))).select(*docs.columns)
 
-    def own(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([cut(t, [(x["low"], x["high"]) for x in s or ()]) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    found = matched(docs, benchmark, window)
-    kept = found.where(F.col("contamination.n_hit") <= drop_coverage * F.col("contamination.n_words"))
-    clean = F.when(F.col("contamination.n_hit") > 0, F.arrow_udf(own, "string")("text", "contamination.spans")).otherwise(F.col("text"))
-    out = kept.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("contamination.n_hit") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+#: text is null where nothing was cut.
+CLEAN = "struct<keep:boolean,text:string>"
+
+
+def _cut_all(texts: list[str | None], spans: list[list[dict] | None], drop_coverage: float) -> pa.Array:
+    rows = []
+    for text, found in zip(texts, spans, strict=True):
+        own = [(x["low"], x["high"]) for x in found or ()]
+        n_hit = sum(b - a for a, b in own)
+        keep = not n_hit or n_hit <= drop_coverage * len(normal_words(text))
+        rows.append({"keep": keep, "text": cut(text, own) if own and keep else None})
+    return pa.array(rows, pa.struct([("keep", pa.bool_()), ("text", pa.string())]))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,21 +153,27 @@ def components(edges: DataFrame) -> DataFrame:
         seen = tuple(state)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """docs with fp and component_id, the smallest doc_id that links reach."""
+def _placed(docs: DataFrame, shingle: int, radius: int, seed: int) -> DataFrame:
+    """docs with fp, root (the component's least fingerprint) and component_id."""
     known = stage(fingerprints(docs, shingle, seed), "fingerprints")
     prints = stage(known.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     root = components(ball_links(prints, radius))
     placed = prints.join(root, prints["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return known.join(placed.join(named, "root").select("fp", "component_id"), "fp")
+    return known.join(placed.join(named, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """docs with fp and component_id, the smallest doc_id that links reach."""
+    kept = [c for c in docs.columns if c.lower() not in ("fp", "root", "component_id")]
+    return _placed(docs.select(*kept), shingle, radius, seed).select(*kept, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose doc_id names their component, once each, with docs' own columns."""
-    found = near_duplicates(docs, **options)
-    kept = found.where("doc_id <=> component_id").dropDuplicates(["component_id"])
-    return kept.select(*docs.columns)
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """One document of each component, the one that names it, with docs' own columns; any one where no document has an id."""
+    own = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    found = _placed(own, shingle, radius, seed)
+    return found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"]).select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

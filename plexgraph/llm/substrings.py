@@ -330,6 +330,24 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 REST = "struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>"
 
 
+def _rest(docs: DataFrame, name: str, own, kind: str, width: int, gram: int, group_classes: int) -> DataFrame:
+    """docs with a column made of a text's bytes and of the spans to remove."""
+    spans = repeated_spans(docs, width, gram, group_classes).select(F.col("doc_id").alias("__d"), F.col("doc_key").alias("__k"), F.col("spans").alias("__spans"))
+    keyed = docs.withColumn("__key", doc_key())
+    met = keyed.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
+    made = F.arrow_udf(own, kind).asNondeterministic()(F.col("text").cast("string").cast("binary"), "__spans")  # else a use of two fields would run it twice
+    return met.select(*[keyed[f"`{c}`"] for c in docs.columns if c.lower() != name], made.alias(name))
+
+
+def _kept(data: bytes, spans: list[dict] | None) -> tuple[list[tuple[int, int]], bytes]:
+    out = merged([(x["low"], x["high"]) for x in spans or ()])
+    parts, done = [], 0
+    for low, high in out:
+        parts.append(data[done:low])
+        done = high
+    return out, b"".join([*parts, data[done:]])
+
+
 def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_classes: int = GROUP_CLASSES) -> DataFrame:
     """docs with dedup: n_bytes, n_removed, n_spans (maximal removed runs) and the kept bytes."""
 
@@ -337,32 +355,27 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_cl
         sizes, removed, runs, rest = [], [], [], []
         for text, found in zip(texts, spans.to_pylist(), strict=True):
             data = text.as_py() or b""
-            out = merged([(x["low"], x["high"]) for x in found or ()])
-            parts, done = [], 0
-            for low, high in out:
-                parts.append(data[done:low])
-                done = high
+            out, kept = _kept(data, found)
             sizes.append(len(data))
-            removed.append(sum(b - a for a, b in out))
+            removed.append(len(data) - len(kept))
             runs.append(len(out))
-            rest.append(b"".join([*parts, data[done:]]))
+            rest.append(kept)
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(rest, pa.binary())], ["n_bytes", "n_removed", "n_spans", "kept"])
 
-    spans = repeated_spans(docs, width, gram, group_classes).select(F.col("doc_id").alias("__d"), F.col("doc_key").alias("__k"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__key", doc_key())
-    met = keyed.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
-    cut = F.arrow_udf(own, REST)(F.col("text").cast("string").cast("binary"), "__spans")
-    return met.select(*[keyed[f"`{c}`"] for c in docs.columns if c.lower() != "dedup"], cut.alias("dedup"))
+    return _rest(docs, "dedup", own, REST, width, gram, group_classes)
 
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_classes: int = GROUP_CLASSES) -> DataFrame:
     """docs' own columns with the repeated bytes cut from text; a character that is cut in part goes whole."""
-    found = deduplicated(docs, **options)
-    decode = F.arrow_udf(lambda kept: pa.array([x.as_py().decode("utf-8", "ignore") for x in kept], pa.string()), "string")
-    gone = F.col("dedup.n_removed") > 0
-    out = found.withColumn("text", F.when(gone, decode("dedup.kept")).otherwise(F.col("text")))
+
+    def own(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        """The new text; null where nothing goes."""
+        return pa.array([_kept(text.as_py() or b"", found)[1].decode("utf-8", "ignore") if found else None for text, found in zip(texts, spans.to_pylist(), strict=True)], pa.string())
+
+    found = _rest(docs, "__text", own, "string", width, gram, group_classes)
+    out = found.withColumn("text", F.coalesce("__text", "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(gone, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__text").isNotNull(), F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

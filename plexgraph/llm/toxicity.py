@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
 Model: the rate of toxic documents among those that hold a token, with a Dirichlet prior (two classes,
-`prior` documents) centred on the token's parent: a word's parent is its longest known prefix, a
+`prior` documents) centred on the token's parent: a word's parent is its longest telling prefix, a
 prefix's parent the next shorter one, and the root is the base rate.  A token's score is its
 log-odds against the base rate, less a drift that makes ordinary text score below zero.
 
@@ -12,8 +12,9 @@ segments is turned into a probability by a logistic fit on documents that the to
 see.
 
 The model is fitted on a bounded sample: at most about SAMPLE labelled documents, by a hash of the
-id, of which a quarter only calibrates.  Counts are made by the executors; the driver gets tokens
-that at least MIN_DOCUMENTS of the sample hold, so their number is bounded by the sample as well.
+id, of which a quarter only calibrates.  Counts are made by the executors; the driver gets those
+tokens that at least MIN_DOCUMENTS of the sample hold and that speak for toxicity, or have a prefix
+that does, so their number is bounded by the sample as well.
 
 Edge cases: null and empty texts have no tokens and get the score of a text without segments; rows
 with a null id are scored but are never training data; labels with null are ignored; without labels
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ready, table
+from ._shared import ready, stage, table
 from .encoding import Generations
 
 SAMPLE, MIN_DOCUMENTS, PRIOR, DRIFT = 40_000, 3, 10.0, 1.6
@@ -183,9 +184,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_document
         yield told()
 
     counted = read.where("not check").select("toxic", "text").mapInArrow(count, "name string, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rows = counted.where((F.col("name") == "") | (F.col("toxic") + F.col("clean") >= min_documents)).toPandas()
-    counts = {x: (int(a), int(b)) for x, a, b in zip(rows["name"], rows["toxic"], rows["clean"], strict=True)}
-    toxic, clean = counts.pop("", (0, 0))
+    counted = stage(counted.where((F.col("name") == "") | (F.col("toxic") + F.col("clean") >= min_documents)), "token-counts")
+    every = counted.where("name = ''").first()
+    toxic, clean = (every.toxic, every.clean) if every else (0, 0)
+    # A token can only score if its own rate does, or that of a prefix: the driver needs those tokens alone.
+    odds = (toxic + 1) / (clean + 1) * math.exp(DRIFT)
+    telling = counted.where((F.col("name") != "") & (F.col("toxic") > F.lit(odds) * F.col("clean")))
+    heads = telling.where(F.endswith("name", F.lit("*"))).select(F.col("name").alias("head"))
+    stem = F.rtrim("name", F.lit("*"))
+    parents = F.filter(F.array(*[F.when(F.length(stem) > n, F.concat(F.substring(stem, 1, n), F.lit("*"))) for n in PREFIXES]), lambda x: x.isNotNull())
+    below = counted.select("name", "toxic", "clean", F.explode(parents).alias("head")).join(heads, "head", "left_semi")
+    rows = telling.unionByName(below.select("name", "toxic", "clean")).distinct().collect()
+    counts = {r.name: (r.toxic, r.clean) for r in rows}
     model = Model(counts, toxic, clean)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -364,6 +364,8 @@ def test_components_of_fingerprints(spark, docs, empty):
     assert Counter((r.doc_id, r.text, r.fp % 2**64, r.component_id) for r in got) == want
     assert sorted(r.doc_id for r in keep_one(docs).collect()) == sorted(name.values())
     assert near_duplicates(empty).collect() == []
+    none = spark.createDataFrame([(None, "a b c d e"), (None, "f g h i j k"), (None, "a b c d e")], "doc_id long, text string")
+    assert sorted(r.text for r in keep_one(none).collect()) == ["a b c d e", "f g h i j k"]
 
 
 def test_ball_links_find_all_pairs_within_the_radius(spark):

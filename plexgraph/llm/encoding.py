@@ -21,8 +21,8 @@ WORDS = re.compile(
 )
 BEYOND = re.compile("[^\x00-ɏ]")
 END_ID = 0
-#: Entries of each of the two generations of a worker's tables of words and of pieces.
-TABLE_ENTRIES = 120_000
+#: Entries of each of the two generations of a worker's tables, for words and for pieces (about 190 bytes each).
+WORD_ENTRIES, PIECE_ENTRIES = 450_000, 150_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,8 +59,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = str.maketrans(_byte_letters())
-        self.words = Generations(self._word, TABLE_ENTRIES)
-        self.pieces = Generations(self._piece, TABLE_ENTRIES)
+        self.words = Generations(self._word, WORD_ENTRIES)
+        self.pieces = Generations(self._piece, PIECE_ENTRIES)
         self.end = np.array([END_ID], self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:

@@ -22,7 +22,7 @@ WORDS = re.compile(
 BEYOND = re.compile("[^\x00-ɏ]")
 END_ID = 0
 #: Entries of each of the two generations of a worker's tables, for words and for pieces (about 190 bytes each).
-WORD_ENTRIES, PIECE_ENTRIES = 450_000, 150_000
+WORD_ENTRIES, PIECE_ENTRIES = 300_000, 300_000
 
 
 def _byte_letters() -> dict[int, str]:

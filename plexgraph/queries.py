@@ -386,7 +386,7 @@ def dominant_source(t):
 @query()
 def communities_leiden(t):
     """Rows only: a seeded iterative partition.  Who orders together, in each region."""
-    return C.detect(B.entities(t), B.relations(t).where("predicate <> 'ORDERED'")).select("collection", "community_id", "level", "parent_community_id", "size")
+    return C.detect(B.entities(t), B.relations(t)).select("collection", "community_id", "level", "parent_community_id", "size")
 
 
 @query()

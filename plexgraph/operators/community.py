@@ -1,7 +1,8 @@
 """Hierarchical communities: seeded Leiden for each collection, with content-addressed ids.
 
-Collections never interact, so each is one group.  A collection with more than MAX_EDGES distinct
-edges is not gathered: it gets communities by distributed label propagation."""
+Collections never interact, so each is one group: one algorithm at every size.  A task holds the
+numbered edges of its collection in arrays, not their names.  Label propagation is for callers who ask
+for it by max_edges."""
 
 from __future__ import annotations
 
@@ -9,14 +10,13 @@ import hashlib
 import json
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..schema import COMMUNITIES
 
-MAX_EDGES = 5_000_000
 PROPAGATION_ROUNDS = 12
 
 
@@ -49,7 +49,7 @@ def leiden(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, seed: int) -> np
     ids = np.arange(n)  # the aggregate node of each node
     size_a, size_b, size_w, m = a, b, w, n
     start = np.arange(m)
-    for _ in range(50):
+    while True:  # ends: every round has fewer nodes
         moved, labels = _local(m, size_a, size_b, size_w, total, start, rng)
         part = labels[ids]
         if not moved and len(np.unique(labels)) == m:
@@ -68,16 +68,25 @@ def leiden(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, seed: int) -> np
     return np.unique(part, return_inverse=True)[1]
 
 
-def _adjacent(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[list[list[tuple[int, float]]], np.ndarray]:
-    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    degree = np.zeros(n)
-    np.add.at(degree, a, w)
-    np.add.at(degree, b, w)
-    for x, y, v in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
-        if x != y:
-            near[x].append((y, v))
-            near[y].append((x, v))
-    return near, degree
+class _Near:
+    """Each node's neighbours and weights, in the order of the edges."""
+
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray):
+        apart = a != b
+        x, y = a[apart], b[apart]
+        ends = np.stack([x, y], 1).ravel()
+        order = np.argsort(ends, kind="stable")
+        self.to = np.stack([y, x], 1).ravel()[order]
+        self.weight = np.repeat(w[apart], 2)[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=n))]).tolist()
+
+    def __getitem__(self, v: int) -> list[tuple[int, float]]:
+        i, j = self.start[v], self.start[v + 1]
+        return list(zip(self.to[i:j].tolist(), self.weight[i:j].tolist(), strict=True))
+
+
+def _adjacent(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[_Near, np.ndarray]:
+    return _Near(n, a, b, w), np.bincount(a, w, n) + np.bincount(b, w, n)
 
 
 def _local(n, a, b, w, total, start, rng) -> tuple[bool, np.ndarray]:
@@ -137,50 +146,70 @@ def _refine(n, a, b, w, total, labels, rng) -> np.ndarray:
     return fine
 
 
-def expand(names: list[str], a: np.ndarray, b: np.ndarray, w: np.ndarray, settings: Settings) -> list[tuple[int, list[int], int | None]]:
+def expand(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, settings: Settings) -> list[tuple[int, np.ndarray, int | None]]:
     """[(level, members, parent)]: communities larger than the limit are split again, down to the last level."""
-    out: list[tuple[int, list[int], int | None]] = []
+    out: list[tuple[int, np.ndarray, int | None]] = []
+    place = np.zeros(n, np.int64)
 
-    def split(members: np.ndarray, level: int, parent: int | None) -> None:
-        place = np.full(len(names), -1)
+    def split(members: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, level: int, parent: int | None) -> None:
         place[members] = np.arange(len(members))
-        inside = (place[a] >= 0) & (place[b] >= 0) if len(a) else np.zeros(0, bool)
-        part = leiden(len(members), place[a[inside]], place[b[inside]], w[inside], settings.leiden_seed)
-        groups = [members[part == c] for c in range(int(part.max()) + 1)] if len(members) else []
-        if parent is not None and len(groups) <= 1:
+        part = leiden(len(members), place[a], place[b], w, settings.leiden_seed)
+        n = int(part.max()) + 1 if len(members) else 0
+        if parent is not None and n <= 1:
             return
-        for g in sorted(groups, key=lambda g: int(g.min())):
-            out.append((level, g.tolist(), parent))
-            if len(g) > settings.community_max_size and level < settings.community_max_level:
-                split(g, level + 1, len(out) - 1)
-
-    split(np.arange(len(names)), 0, None)
+        # The members and inner edges of each community side by side, in their order.
+        of_a = part[place[a]]
+        inner = np.flatnonzero(of_a == part[place[b]])
+        inner = inner[np.argsort(of_a[inner], kind="stable")]
+        at = np.searchsorted(of_a[inner], np.arange(n + 1))
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(n + 1))
+        for c in np.argsort(order[cut[:-1]], kind="stable").tolist():
+            own = members[order[cut[c] : cut[c + 1]]]
+            out.append((level, own, parent))
+            if len(own) > settings.community_max_size and level < settings.community_max_level:
+                e = inner[at[c] : at[c + 1]]
+                split(own, a[e], b[e], w[e], level + 1, len(out) - 1)
+
+    split(np.arange(n), a, b, w, 0, None)
     return out
 
 
-def detect(entities: DataFrame, relations: DataFrame, settings: Settings = DEFAULTS, max_edges: int = MAX_EDGES) -> DataFrame:
-    """The communities of every collection.  Bridges play no part."""
-    edges = weighted_edges(entities, relations)
-    sizes = edges.groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > max_edges).select("collection")
-    nodes = entities.select("collection", "name").distinct()
-
-    def own(key: tuple, have: pd.DataFrame, link: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(have["name"])
-        at = {x: i for i, x in enumerate(names)}
-        link = link.sort_values(["a", "b"])
-        rows = expand(names, link["a"].map(at).to_numpy(np.int64), link["b"].map(at).to_numpy(np.int64), link["weight"].to_numpy(float), settings)
-        told = [(level, sorted(names[i] for i in members), parent) for level, members, parent in rows]
-        ids = [community_id(key[0], level, members) for level, members, _ in told]
-        return pd.DataFrame(
-            [(key[0], i, level, None if parent is None else ids[parent], members, len(members)) for i, (level, members, parent) in zip(ids, told, strict=True)],
-            columns=["collection", "community_id", "level", "parent_community_id", "entity_names", "size"],
-        )
-
-    small = nodes.join(large, "collection", "left_anti").groupBy("collection").cogroup(edges.join(large, "collection", "left_anti").groupBy("collection"))
-    found = small.applyInPandas(own, "collection string, community_id string, level int, parent_community_id string, entity_names array<string>, size int")
-    if large.limit(1).count():
-        found = found.unionByName(propagated(nodes.join(large, "collection", "left_semi"), edges.join(large, "collection", "left_semi")))
+def detect(entities: DataFrame, relations: DataFrame, settings: Settings = DEFAULTS, max_edges: int | None = None) -> DataFrame:
+    """The communities of every collection.  Bridges play no part.
+
+    Only where max_edges is given, collections with more distinct edges get one level by label propagation."""
+    named = weighted_edges(entities, relations)
+    all_names = entities.select("collection", "name").distinct()
+    large = named.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_edges).select("collection") if max_edges is not None else None
+    small = lambda df: df if large is None else df.join(large, "collection", "left_anti")
+    nodes = small(all_names).withColumn("id", F.row_number().over(Window.partitionBy("collection").orderBy("name")) - 1)
+    edges = small(named)
+    for end in ("a", "b"):
+        edges = edges.join(nodes.select("collection", F.col("name").alias(end), F.col("id").alias(f"id_{end}")), ["collection", end])
+    edges = edges.select("collection", F.col("id_a").alias("a"), F.col("id_b").alias("b"), "weight")
+
+    def own(have: pa.Table, link: pa.Table) -> pa.Table:
+        have = have.sort_by("id")
+        collection, names = have.column("collection")[0].as_py(), have.column("name").combine_chunks()
+        a, b, w = (link.column(c).to_numpy() for c in ("a", "b", "weight"))
+        order = np.lexsort((b, a))
+        rows = expand(len(names), a[order].astype(np.int64), b[order].astype(np.int64), w[order], settings)
+        told = [names.take(pa.array(members)).to_pylist() for _, members, _ in rows]
+        ids = [community_id(collection, level, members) for (level, _, _), members in zip(rows, told, strict=True)]
+        columns = {
+            "collection": pa.array([collection] * len(rows), pa.string()),
+            "community_id": pa.array(ids, pa.string()),
+            "level": pa.array([level for level, _, _ in rows], pa.int32()),
+            "parent_community_id": pa.array([None if parent is None else ids[parent] for _, _, parent in rows], pa.string()),
+            "entity_names": pa.array(told, pa.list_(pa.string())),
+            "size": pa.array([len(x) for x in told], pa.int32()),
+        }
+        return pa.table(columns)
+
+    found = nodes.groupBy("collection").cogroup(edges.groupBy("collection")).applyInArrow(own, "collection string, community_id string, level int, parent_community_id string, entity_names array<string>, size int")
+    if large is not None and large.limit(1).count():
+        found = found.unionByName(propagated(all_names.join(large, "collection", "left_semi"), named.join(large, "collection", "left_semi")))
     return found.join(graph_signatures(entities, relations), "collection", "left").select(*[x.split()[0] for x in COMMUNITIES.split(", ")])
 
 

@@ -1,11 +1,14 @@
 """Queries without SQL take whole tables: nothing is filtered out before the operator."""
 
 import datetime as dt
+import inspect
 
 import pytest
 
 from plexgraph import queries
+from plexgraph.config import Settings
 from plexgraph.operators import community as C
+from plexgraph.schema import ENTITIES, RELATIONS
 from plexgraph.sources import bindings as B
 
 DAY = dt.datetime(2020, 1, 2)
@@ -36,3 +39,16 @@ def test_communities_are_of_all_relations(spark, folder):
     assert any({"C0", "C1", "C2", "P0"} <= x for x in together) and any({"C3", "C4", "C5", "P1"} <= x for x in together)
     got = queries.QUERIES["communities_leiden"](spark, folder).collect()
     assert sorted((x.community_id, x.level, x.size) for x in got) == sorted((x.community_id, x.level, x.size) for x in whole)
+
+
+def test_no_collection_is_too_large_for_levels(spark):
+    """No size switches to one level of labels unless a caller names it; splits below level 0 are nested and connected to it."""
+    assert inspect.signature(C.detect).parameters["max_edges"].default is None
+    names = [f"n{g:02}{i:02}" for g in range(4) for i in range(20)]
+    e = spark.createDataFrame([("c", n, "", "d", []) for n in names], ENTITIES)
+    inside = [(f"n{g:02}{i:02}", f"n{g:02}{j:02}") for g in range(4) for i in range(20) for j in range(i) if (i < 10) == (j < 10) or (i + j) % 3 == 0]
+    r = spark.createDataFrame([("c", a, b, "P", "", "") for a, b in [*inside, *((f"n{g:02}00", f"n{g + 1:02}00") for g in range(3))]], RELATIONS)
+    got = C.detect(e, r, Settings(community_max_size=12)).collect()
+    by = {x.community_id: x for x in got}
+    assert {x.level for x in got} >= {0, 1} and sorted(n for x in got if x.level == 0 for n in x.entity_names) == names
+    assert all(set(x.entity_names) < set(by[x.parent_community_id].entity_names) for x in got if x.level)

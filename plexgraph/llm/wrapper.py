@@ -2,7 +2,8 @@
 
 Pages of one host are aligned: the block structure of each page is merged into its host's template by
 simple tree matching (the largest order-preserving matching of equal labels, level by level), and
-every template node counts the pages that have it and the texts that it held.  Nodes whose text most pages
+every template node counts the pages that have it.  Then each page is aligned with its host's template,
+and the pages of each text at each node are counted.  Nodes whose text most pages
 share are template; nodes whose text varies are slots.  A page is then aligned with its host's
 template: of its article (or, without one, of the template's node that holds most of the varying
 text) the blocks in slots are the content.
@@ -13,8 +14,8 @@ where their text varies.  Where most of an article is constant, the pages are co
 all of it is content.
 
 Templates are merged in three steps (task, host and part, host), each of which holds one host's
-template at a time; the texts at a node are counted by a mergeable summary of TEXTS counters, which
-keeps every text that more than 1 / TEXTS of the pages share.
+template at a time.  The pages of (host, node, text) are counted exactly, by a grouping that is partial
+in each task first; a template keeps the texts that most pages share.
 
 Edge cases: a null or empty html gives an empty text; a null URL belongs to the host ''; a host with
 fewer than MIN_PAGES pages has no constant nodes; unclosed and stray tags are closed or ignored as
@@ -27,6 +28,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from ._shared import ready, stage, table
 from .url_filter import split_url
 
-MIN_PAGES, CONSTANT, TEXTS, COPIES = 5, 0.5, 16, 0.5
+MIN_PAGES, CONSTANT, COPIES = 5, 0.5, 0.5
 PARTS = 64
 #: Templates of all hosts that are broadcast at most; beyond, they are joined by host and salt.
 BROADCAST_CHARS, SALTS = 32 << 20, 64
@@ -200,31 +202,26 @@ def parse(source: str | None) -> Block:
     return root
 
 
-# A template node: [label, pages, chars, link chars, {text: pages}, kids].
+# A template node: [label, pages, chars, link chars, {text that most pages share: pages}, kids].
 def _node(label: str) -> list:
     return [label, 0, 0, 0, {}, []]
 
 
-def _add_text(counts: dict[str, int], more: dict[str, int]) -> dict[str, int]:
-    """A summary of heavy texts: the least counts go when there are more than TEXTS of them."""
-    for k, n in more.items():
-        counts[k] = counts.get(k, 0) + n
-    if len(counts) > TEXTS:
-        bar = sorted(counts.values(), reverse=True)[TEXTS]
-        counts = {k: n - bar for k, n in counts.items() if n > bar}
-    return counts
+def _mark(text: str) -> int:
+    return min(len(text), 0x7FFFFFFF) << 32 | crc32(text.encode("utf-8", "replace"))
 
 
-def _mark(text: str) -> str:
-    return f"{crc32(text.encode('utf-8', 'replace')):x}.{len(text)}"
+def _numbered(node: list) -> Iterator[list]:
+    """A template's nodes in a fixed order."""
+    yield node
+    for kid in node[5]:
+        yield from _numbered(kid)
 
 
 def of_page(block: Block) -> list:
     """A page's tree as a template of one page; neighbours of one label are one repeated node."""
     out = _node(block.label)
     out[1], out[2], out[3] = 1, len(block.text), block.links
-    if block.text:
-        out[4] = {_mark(block.text): 1}
     for kid in block.kids:
         own = of_page(kid)
         if out[5] and out[5][-1][0] == own[0]:
@@ -267,7 +264,6 @@ def merge(into: list, other: list, pages: int | None = None) -> list:
     into[1] += other[1] if pages is None else pages
     into[2] += other[2]
     into[3] += other[3]
-    into[4] = _add_text(into[4], other[4]) if pages is None else {k: 1 for k in [*into[4], *other[4]]}
     pairs = align(into[5], other[5])
     kids, i, j = [], 0, 0
     for x, y in [*pairs, (len(into[5]), len(other[5]))]:
@@ -370,7 +366,7 @@ def extract(root: Block, template: list | None) -> str:
 
     def constant(block: Block) -> bool:
         node = where.get(id(block))
-        return bool(node) and total >= MIN_PAGES and node[4].get(_mark(block.text), 0) >= CONSTANT * total
+        return bool(node) and total >= MIN_PAGES and node[4].get(str(_mark(block.text)), 0) >= CONSTANT * total
 
     runs = [b for p in parts for b, _ in _runs(p, None)]
     fixed = [constant(b) for b in runs]
@@ -385,7 +381,7 @@ def _pack(node: list) -> str:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and template (JSON): one row for each host of pages (columns host, html)."""
+    """host, pages and template (JSON, without texts): one row for each host of pages (columns host, html)."""
     ready(pages.sparkSession)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,17 +403,66 @@ def templates(pages: DataFrame) -> DataFrame:
         for x in group.column("template"):
             node = json.loads(x.as_py())
             out = merge(out, node) if out else node
-        return pa.table({"host": group.column("host").slice(0, 1), "template": pa.array([_pack(out)], pa.string())})
+        return pa.table({"host": group.column("host").slice(0, 1), "pages": pa.array([out[1]], pa.int64()), "template": pa.array([_pack(out)], pa.string())})
 
     some = pages.select("host", "html").mapInArrow(own, "host string, part int, template string")
-    some = some.groupBy("host", "part").applyInArrow(join, "host string, template string")
-    return some.groupBy("host").applyInArrow(join, "host string, template string")
+    some = some.groupBy("host", "part").applyInArrow(join, "host string, pages long, template string")
+    return some.groupBy("host").applyInArrow(join, "host string, pages long, template string")
+
+
+def _met(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """pages (columns url, html, __key: host) with their host's columns of known (__host, __template and others)."""
+    if (known.agg(F.sum(F.length("__template"))).first()[0] or 0) <= BROADCAST_CHARS:
+        return pages.join(F.broadcast(known), F.col("__key") == F.col("__host"), "left")
+    # A host of any size is spread over SALTS tasks or more.
+    salted = known.withColumn("__nth", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pages = pages.withColumn("__salt", F.pmod(F.xxhash64("url", F.crc32("html")), F.lit(SALTS)).cast("int"))
+    return pages.join(salted.hint("shuffle_hash"), (F.col("__key") == F.col("__host")) & (F.col("__salt") == F.col("__nth")), "left")
+
+
+def with_texts(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """known (columns __id, __host, __pages, __template), its nodes with the texts that most of the host's pages have there."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, template, nth = None, None, {}
+        for batch in batches:
+            n: Counter[tuple[int, int, int, int]] = Counter()
+            for key, total, source, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if key != at:
+                    at, template = key, json.loads(packed.as_py())
+                    nth = {id(node): i for i, node in enumerate(_numbered(template))}
+                n.update({(key, total, nth[id(node)], _mark(b.text)) for b, node in _runs(parse(source.as_py()), template) if node})
+            keys = list(n)
+            columns = [pa.array([k[i] for k in keys], pa.int32() if i == 2 else pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(n.values()), pa.int64())], ["__id", "__pages", "node", "mark", "n"])
+
+    def fill(packed: pa.Array, shared: pa.Array) -> pa.Array:
+        out = []
+        for source, texts in zip(packed, shared, strict=True):
+            if texts.as_py():
+                template = json.loads(source.as_py())
+                nodes = list(_numbered(template))
+                for x in texts.as_py():
+                    nodes[x["node"]][4][str(x["mark"])] = x["n"]
+                out.append(_pack(template))
+            else:
+                out.append(source.as_py())
+        return pa.array(out, pa.string())
+
+    seen = _met(pages, known.where(F.col("__pages") >= MIN_PAGES)).where("__id is not null")
+    counts = seen.select("__id", "__pages", F.col("html").cast("string").alias("html"), "__template").mapInArrow(own, "__id long, __pages long, node int, mark long, n long")
+    counts = counts.groupBy("__id", "__pages", "node", "mark").agg(F.sum("n").alias("n")).where(F.col("n") >= CONSTANT * F.col("__pages"))
+    shared = counts.groupBy(F.col("__id").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("node", "mark", "n"))).alias("__texts"))
+    met = known.join(shared, F.col("__id") == F.col("__of"), "left")
+    return met.select("__id", "__host", "__pages", F.arrow_udf(fill, "string")("__template", "__texts").alias("__template"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """pages (columns url, html) with text."""
     host = split_url(F.col("url"))[0]
-    known = stage(templates(pages.select(host.alias("host"), "html")), "templates").select(F.col("host").alias("__host"), F.col("template").alias("__template"))
+    known = templates(pages.select(host.alias("host"), "html")).select(F.monotonically_increasing_id().alias("__id"), F.col("host").alias("__host"), F.col("pages").alias("__pages"), F.col("template").alias("__template"))
+    keyed = pages.withColumn("__key", host)
+    known = stage(with_texts(keyed.select("url", "html", "__key"), stage(known, "templates")), "templates").select("__host", "__template")
 
     def own(sources: pa.Array, hosts: pa.Array) -> pa.Array:
         seen: dict[str, list | None] = {}
@@ -430,14 +475,8 @@ def main_text(pages: DataFrame) -> DataFrame:
             out.append(extract(parse(source.as_py()), seen[packed]))
         return pa.array(out, pa.string())
 
-    keyed = pages.withColumn("__key", host)
-    if (known.agg(F.sum(F.length("__template"))).first()[0] or 0) <= BROADCAST_CHARS:
-        met = keyed.join(F.broadcast(known), F.col("__key") == F.col("__host"), "left")
-    else:  # a host of any size is spread over SALTS tasks or more
-        keyed = keyed.withColumn("__salt", F.pmod(F.xxhash64("url", F.crc32("html")), F.lit(SALTS)).cast("int"))
-        salted = known.withColumn("__nth", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = keyed.join(salted.hint("shuffle_hash"), (F.col("__key") == F.col("__host")) & (F.col("__salt") == F.col("__nth")), "left")
-    return met.select(*[keyed[f"`{c}`"] for c in pages.columns if c.lower() != "text"], F.arrow_udf(own, "string")(F.col("html").cast("string"), "__template").alias("text"))
+    met = _met(keyed, known)
+    return met.select(*[met[f"`{c}`"] for c in pages.columns if c.lower() != "text"], F.arrow_udf(own, "string")(F.col("html").cast("string"), "__template").alias("text"))
 
 
 def op4_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

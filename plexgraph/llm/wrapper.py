@@ -10,7 +10,8 @@ text) the blocks in slots are the content.
 
 What a template cannot tell is read from the markup: elements that by their name, role or class are
 menus, headers, footers, sidebars, notices, adverts, forms or reader comments are never content, even
-where their text varies.  Where most of an article is constant, the pages are copies of each other and
+where their text varies.  Only whole tokens of a class or id tell, and what holds the page's main (or,
+without one, all its articles) is never left out.  Where most of an article is constant, the pages are copies of each other and
 all of it is content.
 
 Templates are merged in three steps (task, host and part, host), each of which holds one host's
@@ -49,6 +50,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 NAME_PARTS = re.compile(r"[a-z]+")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
@@ -68,6 +70,8 @@ MARKS = {
     "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "share", "sharing", "sidebar", "sidenav",
     "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget",
 }
+#: Of these, browsers show nothing.
+INERT = {"template", "noscript"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -85,20 +89,49 @@ def _never(tag: str, said: dict[str, str], inside_article: bool) -> bool:
         return True
     if not said:
         return False
-    if "hidden" in said.get("style", "") or "display:none" in said.get("style", "").replace(" ", "") or said.get("aria-hidden") == "true":
+    if tag in ("html", "body"):
+        return False
+    if ("style" in said and _hidden(said["style"])) or said.get("aria-hidden") == "true":
         return True
     if said.get("role", "").lower() in ROLES:
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("article", "main"):
         return False
-    return not MARKS.isdisjoint(NAME_PARTS.findall(f"{said.get('class', '')} {said.get('id', '')}".lower()))
+    return not MARKS.isdisjoint(f"{said.get('class', '')} {said.get('id', '')}".lower().split())
+
+
+def _hidden(style: str) -> bool:
+    """Whether declarations end up as display: none or visibility: hidden."""
+    told: dict[str, tuple[bool, str]] = {}
+    for x in COMMENT.sub(" ", entities.unescape(style)).lower().split(";"):
+        name, colon, value = x.partition(":")
+        value, bang, _ = value.partition("!")
+        name, strong = name.strip(), bool(bang)
+        if colon and (strong or not told.get(name, (False, ""))[0]):
+            told[name] = strong, value.strip()
+    return told.get("display", (False, ""))[1] == "none" or told.get("visibility", (False, ""))[1] == "hidden"
 
 
 def parse(source: str | None) -> Block:
     """The page's tree of blocks, without what can never be content."""
+    root, found = _parse(source or "", frozenset())
+    chosen = [x for x in found if x[0] == "main"] or found
+    if chosen and all(mute for _, _, mute in chosen):
+        holders = [holder for _, holder, _ in chosen]
+        spared = frozenset.union(*holders) if chosen[0][0] == "main" else frozenset.intersection(*holders)
+        if spared:
+            root, _ = _parse(source or "", spared)
+    return root
+
+
+def _parse(source: str, spared: frozenset[int]) -> tuple[Block, list[tuple[str, frozenset[int], int]]]:
+    """The tree, and the articles and mains: name, where the elements that hold it start, and whether one of those is left out.
+
+    Elements that start where spared says are not left out."""
     root = Block("html", "html")
-    # Open elements: (tag, block that takes their text, mute, inside an article).
-    open_: list[tuple[str, Block, int, bool]] = [("", root, 0, False)]
+    found: list[tuple[str, frozenset[int], int]] = []
+    # Open elements: (tag, block that takes their text, mute, inside an article, start).
+    open_: list[tuple[str, Block, int, bool, int]] = [("", root, 0, False, -1)]
     held: list[str] = []
     links = 0
 
@@ -114,13 +147,12 @@ def parse(source: str | None) -> Block:
         links = 0
 
     def close(n: int) -> None:
-        for tag, _, mute, _ in open_[n:]:
+        for tag, _, mute, *_ in open_[n:]:
             if tag in BLOCK and not mute:
                 flush()
                 break
         del open_[n:]
 
-    source = source or ""
     at, end = 0, len(source)
     link = 0
     while at < end:
@@ -174,10 +206,12 @@ def parse(source: str | None) -> Block:
                     break
                 if open_[i][0] in stop:
                     break
-        _, into, mute, article = open_[-1]
+        _, into, mute, article, _ = open_[-1]
+        if tag in ("article", "main"):
+            found.append((tag, frozenset(x[4] for x in open_[1:]), mute))
         body = m[3] or ""
         said = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(body)} if "=" in body else {}
-        mute = 1 if mute or _never(tag, said, article) else 0
+        mute = 1 if mute or tag in INERT or (low not in spared and _never(tag, said, article)) else 0
         if not mute and article and tag != "header" and any(t == "header" for t, *_ in open_) and tag in BLOCK and tag not in HEADINGS and tag not in ("div", "section", "hgroup"):
             mute = 1  # of an article's own header, its headings stay
         if tag in RAW:
@@ -197,9 +231,9 @@ def parse(source: str | None) -> Block:
                 into = own
         if body.endswith("/") and tag not in BLOCK:
             continue
-        open_.append((tag, into, mute, article or tag in ("article", "main") or said.get("role") == "main"))
+        open_.append((tag, into, mute, article or tag in ("article", "main") or said.get("role") == "main", low))
     flush()
-    return root
+    return root, found
 
 
 # A template node: [label, pages, chars, link chars, {text that most pages share: pages}, kids].

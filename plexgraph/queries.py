@@ -398,7 +398,7 @@ def reports_bottom_up(t):
 
     old = t.spark.createDataFrame([], REPORTS)
     model = Scripted(lambda p: f'{{"title": "{len(p)} characters", "summary": "{p.count(chr(10))} lines", "rating": "7"}}')
-    return reports.generate_reports(low.unionByName(high.select(*low.columns)), B.entities(t), B.relations(t).where("predicate = 'LOCATED_IN'"), old, model).select("collection", "community_id", "level", "title", "summary", "rating", "content_signature")
+    return reports.generate_reports(low.unionByName(high.select(*low.columns)), B.entities(t), B.relations(t), old, model).select("collection", "community_id", "level", "title", "summary", "rating", "content_signature")
 
 
 @query(

@@ -52,3 +52,13 @@ def test_no_collection_is_too_large_for_levels(spark):
     by = {x.community_id: x for x in got}
     assert {x.level for x in got} >= {0, 1} and sorted(n for x in got if x.level == 0 for n in x.entity_names) == names
     assert all(set(x.entity_names) < set(by[x.parent_community_id].entity_names) for x in got if x.level)
+
+
+def test_reports_tell_all_relations(spark, folder):
+    """N0: its members C0, C2, C4, S0 and itself, 4 inner relations, and what the customers ordered and S0 produces as outer ones."""
+    got = {x.community_id: x for x in queries.QUERIES["reports_bottom_up"](spark, folder).collect()}
+    lines = lambda members, inner, outer: 5 + members + inner + outer  # noqa: E731  the five are headings and the source
+    assert set(got) == {"N0", "N1", "all R"}
+    # Each customer orders one part on three days; S0 produces two parts.
+    assert got["N0"].summary == f"{lines(5, 4, 3 * 3 + 2) - 1} lines"
+    assert got["N1"].summary == f"{lines(4, 3, 3 * 3) - 1} lines"

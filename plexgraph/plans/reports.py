@@ -42,6 +42,8 @@ def generate_reports(communities: DataFrame, entities: DataFrame, relations: Dat
     parents = communities.where("parent_community_id is not null").select("collection", F.col("parent_community_id").alias("community_id")).distinct()
     leaves = communities.join(parents, KEY, "left_anti")
     material = leaf_material(leaves, entities, relations, settings).withColumn("prompt", F.concat_ws("\n", F.lit("Report on these members:"), "members", F.lit("Relations:"), "inner", F.lit("Beyond:"), "outer", F.lit("Source:"), "source"))
+    # Every level reads it: made once, it keeps the relations out of the levels' plans.
+    material = material.checkpoint() if spark.sparkContext.getCheckpointDir() else material.persist()
     top = communities.agg(F.max("level")).first()[0]
     done = spark.createDataFrame([], REPORTS + ", source string")
     for level in range(-1 if top is None else top, -1, -1):

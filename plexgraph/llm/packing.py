@@ -7,8 +7,9 @@ sequence and offset without seeing its neighbours; pieces that begin or end insi
 boundary marks.  No text or id is shuffled.
 
 Edge cases: a null text is empty (only the end id); null ids, repeated rows and ties keep separate
-pieces; an empty table gives no pieces; other columns are ignored.  All sequences are full but the
-last.
+pieces; a text of any length is cut like any other and is held by one task with its ids (about four
+times its bytes); an empty table gives no pieces; other columns, whatever their names, are ignored.
+All sequences are full but the last.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import ready, stage, table, tokenizer_file
-from .encoding import encoder
+from .encoding import encoder, joined
 
 WINDOW = 1024
 ROWS = "part int, start long, doc_id long, width int, ids binary"
@@ -40,12 +42,10 @@ def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         enc, part, at = encoder(file), TaskContext.get().partitionId(), 0
         width = enc.dtype.itemsize
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                some = batch.slice(low, 512)
-                ids = [enc.encode(x.as_py()) for x in some.column(1)]
-                sizes = np.array([len(x) // width for x in ids], np.int64)
+            for low, ids in enc.encode_all(batch.column(1)):
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(at + np.cumsum(sizes) - sizes), some.column(0), pa.array(np.full(n, width, np.int32)), pa.array(ids, pa.binary())], ["part", "start", "doc_id", "width", "ids"])
+                sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // width
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(at + np.cumsum(sizes) - sizes), batch.column(0).slice(low, n), pa.array(np.full(n, width, np.int32)), ids], [x.split()[0] for x in ROWS.split(", ")])
                 at += int(sizes.sum())
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, ROWS)
@@ -58,19 +58,21 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -
     base = dict(zip([p for p, _ in totals], accumulate([0, *[n for _, n in totals[:-1]]]), strict=True)) if totals else {}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                rows = []
-                for part, start, doc, width, raw in zip(*[c.to_pylist() for c in batch.slice(low, 512).columns], strict=True):
-                    own = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()
-                    at, n, done = base[part] + start, len(raw) // width, 0
-                    while done < n:
-                        size = min(n - done, window - (at + done) % window)
-                        rows.append((doc, done, size, own[4 * done : 4 * (done + size)], n, (at + done) // window, (at + done) % window, done > 0, done + size < n))
-                        done += size
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+        for whole in batches:
+            for low in range(0, whole.num_rows, 4096):
+                batch = whole.slice(low, 4096)
+                own, n = joined(batch.column(4), f"<u{batch.column(3)[0].as_py()}")
+                at = batch.column(1).to_numpy() + np.array([base[p] for p in batch.column(0).to_pylist()], np.int64)
+                first, past = at // window, (at + n - 1) // window + 1
+                doc = np.repeat(np.arange(len(n)), past - first)
+                sequence = np.arange(len(doc)) + np.repeat(first - (np.cumsum(past - first) - (past - first)), past - first)
+                start = np.maximum(sequence * window - at[doc], 0)
+                size = np.minimum((sequence + 1) * window - at[doc], n[doc]) - start
+                # The pieces follow each other as the documents' ids do.
+                bounds = np.r_[0, 4 * np.cumsum(size)].astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(own.astype("<u4").tobytes())])
+                columns = [batch.column(2).take(pa.array(doc)), start, size, data, n[doc], sequence, at[doc] + start - sequence * window, start > 0, start + size < n[doc]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in PIECES.split(", ")])
 
     return ids.mapInArrow(cut, PIECES)
 

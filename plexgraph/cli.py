@@ -8,6 +8,8 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import sys
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,9 @@ from pyspark.sql import functions as F
 from .config import DEFAULTS
 from .operators import community, export, extract, lifecycle, resolve, scope
 from .operators import graph as G
-from .plans import evaluate, ingest, reports, search
-from .providers import HashedNgrams, embedded
-from .sources.files import whole_files
+from .plans import evaluate, ingest, reports, resolution, search
+from .providers import HashedNgrams
+from .sources.files import file_names, route, whole_files
 from .sources.store import Store
 from .workers import ready
 
@@ -34,11 +36,6 @@ def _providers(args):
     return getattr(importlib.import_module(module), name)()
 
 
-def _vectors(entities: DataFrame, embedding, described: bool = False) -> DataFrame:
-    text = F.concat_ws(": ", "name", "description") if described else F.col("name")
-    return entities.select("collection", "name", embedded(text, embedding).alias("vector"))
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="plexgraph")
     p.add_argument("--store", required=True)
@@ -53,27 +50,61 @@ def parser() -> argparse.ArgumentParser:
     some = (("--collections",), {})
     one = (("collection",), {})
     add("init")
-    add("ingest", one, (("folder",), {}), (("--mode",), {"default": "single"}))
-    add("usage", one)
+    flag = {"action": "store_true"}
+    add(
+        "ingest", one, (("folder",), {}), (("--mode",), {"default": "single"}), (("--glean",), {"type": int, "default": 0}), (("--wave",), {"type": int}), (("--metered",), flag), (("--force",), flag), (("--dry-run",), flag),
+        (("--processed",), {"help": "folder that takes the files after success"}), (("--failed",), {"help": "folder that takes them after a failure"}),
+    )
+    add("usage", (("--day",), {"help": "yyyy-mm-dd, a Pacific date"}))
     add("delete", one, (("file_name",), {}))
     add("delete-collection", one)
     add("query", (("question",), {}), some, (("--mode",), {"default": "local", "choices": ["local", "global"]}), (("--level",), {"type": int}))
     add("graph", some, (("--out",), {"required": True}))
     add("status", some)
     add("collections")
-    add("merge", some, (("--threshold",), {"type": float, "default": DEFAULTS.merge_threshold}))
+    copies = (("--backups",), {"help": "folder for copies of the store"})
+    add("merge", some, copies, (("--threshold",), {"type": float, "default": DEFAULTS.merge_threshold}))
+    add("review", some, (("--low",), {"type": float, "default": DEFAULTS.review_threshold}), (("--high",), {"type": float, "default": DEFAULTS.merge_threshold}))
+    add("decide", (("decisions",), {"help": "JSON lines: collection, keep, drop, approved, reason"}), copies)
+    add("blacklist", some)
+    pair = ((("collection",), {}), (("node_a",), {}), (("node_b",), {}))
+    add("blacklist-add", *pair, (("--reason",), {"default": ""}))
+    add("blacklist-remove", *pair)
+    add("alias", one, (("name",), {}), (("alias",), {}))
     add("summarize-descriptions")
     add("communities", some, (("--no-reports",), {"action": "store_true"}))
     add("bridge", some, (("--threshold",), {"type": float, "default": DEFAULTS.bridge_threshold}), (("--apply",), {"action": "store_true"}))
     add("set-parent", one, (("parent",), {}))
     add("unset-parent", one)
     add("eval", some, (("--count",), {"type": int, "default": 5}))
-    add("backup", (("--keep",), {"type": int, "default": DEFAULTS.backup_keep}))
-    add("restore", (("version",), {"type": int}))
+    add("backup", (("--to",), {"help": "folder for copies; without it, old versions are forgotten"}), (("--keep",), {"type": int, "default": DEFAULTS.backup_keep}))
+    add("restore", (("version",), {"type": int, "nargs": "?"}), (("--copy",), {"help": "path of a copy"}))
     add("clean")
     return p
 
 
+def _ingest(spark: SparkSession, store: Store, args) -> None:
+    """Estimate the calls, refuse what exceeds the day's limit, process, and move the files."""
+    settings = replace(DEFAULTS, glean_rounds=max(0, args.glean))
+    incoming = whole_files(spark, args.folder, args.collection)
+    used = lifecycle.usage_on(store.table("api_usage"))
+    wanted = lifecycle.quota(incoming, used, settings).first()
+    print(json.dumps({"used": used, "limit": settings.daily_limit, "requests": wanted.requests, "allowed": wanted.allowed, "parts": wanted.parts}))
+    if args.dry_run or (args.metered and not wanted.allowed and not args.force):
+        return
+    model, embedding = _providers(args)
+    names = file_names(spark, args.folder)
+    try:
+        print(ingest.ingest(store, incoming, model, embedding, settings, args.mode, wave=args.wave, metered=args.metered))
+    except Exception:
+        if args.failed:
+            route(spark, args.folder, names, f"{args.failed.rstrip('/')}/{args.collection}")
+        raise
+    if args.processed:
+        route(spark, args.folder, names, f"{args.processed.rstrip('/')}/{args.collection}")
+    ingest.collect_orphans(store)
+
+
 def run(spark: SparkSession, argv: list[str]) -> None:
     ready(spark)
     args = parser().parse_args(argv)
@@ -84,10 +115,12 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         case "init":
             store.commit(**{n: t(n) for n in ("documents", "entities", "relations")})
         case "ingest":
-            model, embedding = _providers(args)
-            print(ingest.ingest(store, whole_files(spark, args.folder, args.collection), model, embedding, mode=args.mode))
+            _ingest(spark, store, args)
         case "usage":
-            _show(t("api_usage").orderBy("usage_date"))
+            if args.day:
+                print(lifecycle.usage_on(t("api_usage"), args.day))
+            else:
+                _show(t("api_usage").orderBy("usage_date"))
         case "delete":
             ingest.delete_document(store, args.collection, args.file_name)
             store.commit(entities=G.drop_isolated(t("entities"), t("relations"), [args.collection]))
@@ -95,10 +128,12 @@ def run(spark: SparkSession, argv: list[str]) -> None:
             ingest.delete_collection(store, args.collection)
         case "query":
             model, embedding = _providers(args)
-            wanted = scope.in_scope(scope.known_collections(t("entities"), t("documents")), names)
-            stale = lifecycle.is_dirty(t("community_build_state"), wanted).where("dirty").limit(1).count()
-            if args.mode == "global" and not stale:
-                print(search.answer_global(args.question, t("community_reports"), embedding, model, args.level, names))
+            state = {n: t(n) for n in ("entities", "relations", "same_as", "chunks", "community_reports", "community_build_state")}
+            if args.mode == "global":
+                said, whole = search.answer_either(args.question, scope.resolve_scope(names, t("entities"), t("documents")), state, embedding, model, args.level, names)
+                if not whole:
+                    print("The communities are older than the graph; answering from the graph.", file=sys.stderr)
+                print(said)
             else:
                 print(search.answer(args.question, t("entities"), t("relations"), t("same_as"), t("chunks"), embedding, model, names))
         case "graph":
@@ -107,18 +142,24 @@ def run(spark: SparkSession, argv: list[str]) -> None:
                 f.write(write(t("entities"), t("relations"), names))
         case "status":
             _show(lifecycle.status(*[scope.in_scope(t(n), names) for n in ("entities", "relations", "documents", "chunks")]))
+            print(json.dumps({"what": "bytes", "n": store.size()}))
         case "collections":
             _show(scope.tree(t("collection_meta"), t("entities"), t("documents")).orderBy("collection"))
         case "merge":
-            e, r, b, black = (t(n) for n in ("entities", "relations", "same_as", "merge_blacklist"))
-            pairs = resolve.normalized_duplicates(scope.in_scope(e, names), r, black)
-            if args.provider:
-                near = resolve.merge_candidates(_vectors(scope.in_scope(e, names), _providers(args)[1]), r, args.threshold, black)
-                pairs = pairs.unionByName(near.select("collection", "keep", "drop"))
-            plan = G.resolve_merges(pairs).persist()
-            surface = plan.select("collection", F.col("keep").alias("name"), F.col("drop").alias("alias"))
-            e, r, b = G.merge_entities(G.add_aliases(e, surface), r, b, plan)
-            store.commit(entities=e, relations=r, same_as=b, community_build_state=lifecycle.mark_dirty(t("community_build_state"), plan))
+            print(resolution.merge(store, _providers(args)[1] if args.provider else None, args.threshold, names, args.backups))
+        case "review":
+            _show(resolution.review(store, _providers(args)[1], args.low, args.high, names))
+        case "decide":
+            resolution.decide(store, spark.read.schema("collection string, keep string, drop string, approved boolean, reason string").json(args.decisions), args.backups)
+        case "blacklist":
+            _show(scope.in_scope(t("merge_blacklist"), names).orderBy("collection", "node_a", "node_b"))
+        case "blacklist-add" | "blacklist-remove":
+            row = spark.createDataFrame([(args.collection, args.node_a, args.node_b, getattr(args, "reason", ""))], "collection string, node_a string, node_b string, reason string")
+            change = resolve.add_blacklist if args.command == "blacklist-add" else resolve.remove_blacklist
+            store.commit(merge_blacklist=change(t("merge_blacklist"), row))
+        case "alias":
+            row = spark.createDataFrame([(args.collection, args.name, args.alias)], "collection string, name string, alias string")
+            store.commit(entities=G.add_aliases(t("entities"), row))
         case "summarize-descriptions":
             store.commit(entities=extract.summarised(t("entities"), t("entity_desc_candidates"), _providers(args)[0], DEFAULTS.min_candidates))
         case "communities":
@@ -134,7 +175,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
             store.commit(**out)
         case "bridge":
             embedding = _providers(args)[1] if args.provider else HashedNgrams()
-            found = resolve.bridge_candidates(_vectors(scope.in_scope(t("entities"), names), embedding, described=True), t("same_as"), args.threshold).persist()
+            found = resolve.bridge_candidates(resolution.named_vectors(scope.in_scope(t("entities"), names), embedding, described=True), t("same_as"), args.threshold).persist()
             _show(found)
             if args.apply:
                 batch = found.select(F.col("collection").alias("collection_a"), F.col("name").alias("name_a"), F.col("other_collection").alias("collection_b"), F.col("other_name").alias("name_b"))
@@ -151,16 +192,14 @@ def run(spark: SparkSession, argv: list[str]) -> None:
             pairs = spark.createDataFrame(rows, "question string, answer_a string, answer_b string")
             _show(evaluate.tally(evaluate.verdicts(evaluate.judged(pairs, model))))
         case "backup":
-            print(json.dumps({"pruned": store.prune(args.keep), "version": (store._versions() or [0])[-1]}))
+            print(store.backup(args.to, args.keep) if args.to else json.dumps({"pruned": store.prune(args.keep)}))
         case "restore":
-            print(store.restore(args.version))
+            print(store.restore_copy(args.copy) if args.copy else store.restore(args.version))
         case "clean":
             ingest.collect_orphans(store)
 
 
 def main() -> None:
-    import sys
-
     spark = SparkSession.builder.appName("plexgraph").getOrCreate()
     run(spark, sys.argv[1:])
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..schema import COMMUNITIES
+from ..staging import drop_staged, stage
+from .scope import in_scope
 
 PROPAGATION_ROUNDS = 12
 
@@ -36,7 +38,8 @@ def graph_signatures(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def community_id(collection: str, level: int, members: list[str]) -> str:
-    return hashlib.sha256(json.dumps([collection, level, sorted(members)], ensure_ascii=False).encode()).hexdigest()[:16]
+    """The first 16 hex digits of the SHA-256 of a JSON object of collection, level and sorted members."""
+    return hashlib.sha256(json.dumps({"collection": collection, "level": level, "members": sorted(members)}, ensure_ascii=False).encode()).hexdigest()[:16]
 
 
 def leiden(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, seed: int) -> np.ndarray:
@@ -214,17 +217,27 @@ def detect(entities: DataFrame, relations: DataFrame, settings: Settings = DEFAU
 
 
 def propagated(nodes: DataFrame, edges: DataFrame, rounds: int = PROPAGATION_ROUNDS) -> DataFrame:
-    """One level of communities by label propagation, distributed; ties go to the least label."""
+    """One level of communities by label propagation, distributed; ties go to the least label.  Ends when nothing changes, after `rounds` at the latest."""
     both = edges.select("collection", F.col("a").alias("name"), F.col("b").alias("other"), "weight").unionByName(edges.select("collection", F.col("b").alias("name"), F.col("a").alias("other"), "weight"))
-    label = nodes.withColumn("label", F.col("name"))
+    label, before = nodes.withColumn("label", F.col("name")), None
     for _ in range(rounds):
         votes = both.join(label.select("collection", F.col("name").alias("other"), "label"), ["collection", "other"]).groupBy("collection", "name", "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("collection", "name").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("new"))
-        label = label.join(best, ["collection", "name"], "left").select("collection", "name", F.coalesce("new", "label").alias("label"))
-        if label.sparkSession.sparkContext.getCheckpointDir():
-            label = label.checkpoint()
+        now = stage(label.join(best, ["collection", "name"], "left").select("collection", "name", F.coalesce("new", "label").alias("label"), (F.coalesce("new", "label") != F.col("label")).alias("moved")), "labels")
+        if before is not None:
+            drop_staged(before)
+        label, before = now.select("collection", "name", "label"), now
+        if not now.where("moved").limit(1).count():
+            break
     groups = label.groupBy("collection", "label").agg(F.array_sort(F.collect_list("name")).alias("entity_names"))
-    return groups.select("collection", F.substring(F.sha2(F.concat_ws("\x1f", "collection", F.array_join("entity_names", "\x1e")), 256), 1, 16).alias("community_id"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent_community_id"), "entity_names", F.size("entity_names").alias("size"))
+    named = F.arrow_udf(lambda c, m: pa.array([community_id(x, 0, y) for x, y in zip(c.to_pylist(), m.to_pylist(), strict=True)], pa.string()), "string")("collection", "entity_names")
+    return groups.select("collection", named.alias("community_id"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent_community_id"), "entity_names", F.size("entity_names").alias("size"))
+
+
+def in_order(state: DataFrame, scope: list[str] | None = None, level: int | None = None) -> DataFrame:
+    """Communities or reports of a scope, of one level if given, in the order of their levels and ids."""
+    own = in_scope(state, scope)
+    return (own if level is None else own.where(F.col("level") == level)).orderBy("collection", "level", "community_id")
 
 
 def replace_communities(state: DataFrame, new: DataFrame) -> DataFrame:

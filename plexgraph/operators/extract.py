@@ -11,6 +11,7 @@ from ..config import DEFAULTS, Settings
 from ..functions.text import clean_aliases, entity_type, first_person, is_noise_name, predicate, strip_fence
 from ..providers import LanguageModel, generated
 from ..schema import SEED_PREDICATES, TYPE_PRIORITY
+from ..staging import stage
 
 CHUNK = ["collection", "source_id", "chunk_idx"]
 ENTITY = "struct<name:string,id:string,text:string,entity:string,label:string,type:string,description:string,aliases:array<string>>"
@@ -30,8 +31,8 @@ def _blank(x: Column) -> Column:
     return F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", "") == ""
 
 
-def prompts(chunks: DataFrame, entities: DataFrame, relations: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """chunks with prompt: known names that occur in the chunk (the first max_name_hints), known predicates, and the text.
+def prompts(chunks: DataFrame, entities: DataFrame, relations: DataFrame | None, settings: Settings = DEFAULTS) -> DataFrame:
+    """chunks with prompt: known names that occur in the chunk (the first max_name_hints), known predicates (none without relations), and the text.
 
     Names are found by an equi-join on two-character grams at first, so no pair of name and chunk is
     tried that shares no gram of the name's first two characters."""
@@ -41,11 +42,15 @@ def prompts(chunks: DataFrame, entities: DataFrame, relations: DataFrame, settin
     met = grams.unionByName(single.where(F.length("gram") == 1)).distinct().join(names, ["collection", "gram"]).where(F.contains("text", "name"))
     nth = F.row_number().over(Window.partitionBy(*CHUNK).orderBy("name"))
     hints = met.select(*CHUNK, "name").distinct().withColumn("nth", nth).where(F.col("nth") <= settings.max_name_hints).groupBy(*CHUNK).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
-    known = relations.select("collection", "predicate").distinct().groupBy("collection").agg(F.array_join(F.array_sort(F.collect_list("predicate")), ", ").alias("predicates"))
-    both = chunks.join(hints, CHUNK, "left").join(known, "collection", "left")
+    both = chunks.join(hints, CHUNK, "left")
+    if relations is None:
+        both = both.withColumn("predicates", F.lit(None).cast("string"))
+    else:
+        known = relations.select("collection", "predicate").distinct().groupBy("collection").agg(F.array_join(F.array_sort(F.collect_list("predicate")), ", ").alias("predicates"))
+        both = both.join(known, "collection", "left")
     names_line = F.when(F.col("names").isNotNull(), F.concat(F.lit("Known names: "), F.col("names"), F.lit("\n"))).otherwise("")
     predicates_line = F.when(F.col("predicates").isNotNull(), F.concat(F.lit("Known predicates: "), F.col("predicates"), F.lit("\n"))).otherwise("")
-    ask = f"Extract entities and relations as JSON. Prefer these predicates: {', '.join(SEED_PREDICATES)}.\n"
+    ask = "Extract entities as JSON.\n" if relations is None else f"Extract entities and relations as JSON. Prefer these predicates: {', '.join(SEED_PREDICATES)}.\n"
     return both.select(*chunks.columns, F.concat(F.lit(ask), names_line, predicates_line, F.lit("Text:\n"), F.col("text")).alias("prompt"))
 
 
@@ -145,24 +150,43 @@ def type_split(profile: str, chunk_count: Column, threshold: int = DEFAULTS.fast
     return F.lit(False) if profile == "fast" else chunk_count <= threshold if profile == "auto" else F.lit(True)
 
 
+def gleaned(asked: DataFrame, said: DataFrame, model: LanguageModel, rounds: int, parallel: int | None = None) -> DataFrame:
+    """said (turn 0 of asked) with the further turns, at most rounds: each tells what is already found, and a chunk whose turn failed or brought nothing new has no more."""
+    on = asked.join(said.where("ok").where(valid_result(parsed(F.col("response")))).select(*CHUNK), CHUNK, "left_semi")
+    for turn in range(1, rounds + 1):
+        names, links = entity_items(said).select(*CHUNK, "name", "seq"), relation_items(said).select(*CHUNK, "source", "predicate", "target").distinct()
+        first = names.groupBy(*CHUNK, "name").agg(F.min("seq").alias("seq"))
+        listed = first.groupBy(*CHUNK).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda x: x["name"]), ", ").alias("listed"))
+        told = F.concat(F.col("prompt"), F.lit("\nAlready found: "), F.coalesce("listed", F.lit("-")), F.lit("\nGive only what is missing."))
+        more = stage(generated(on.join(listed, CHUNK, "left").withColumn("prompt", told).select(*asked.columns), model, json=True, parallel=parallel).withColumn("turn", F.lit(turn)), "said")
+        new = entity_items(more).select(*CHUNK, "name").join(first, [*CHUNK, "name"], "left_anti").select(*CHUNK)
+        new = new.unionByName(relation_items(more).select(*CHUNK, "source", "predicate", "target").join(links, [*CHUNK, "source", "predicate", "target"], "left_anti").select(*CHUNK)).distinct()
+        said = said.unionByName(more)
+        on = stage(on.join(new, CHUNK, "left_semi"), "active")
+        if not on.limit(1).count():
+            break
+    return said
+
+
 def extract(chunks: DataFrame, entities: DataFrame, relations: DataFrame, model: LanguageModel, settings: Settings = DEFAULTS, mode: str = "single", parallel: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entities, relations, responses with ok) of chunks; a failed call leaves its chunk out."""
+    """(entities, relations, all responses with ok: a row for each call) of chunks; a failed call leaves its chunk out.
+
+    What a model said is written before it is used, as it may not answer twice alike."""
     asked = prompts(chunks, entities, relations, settings)
     if mode == "single":
-        said = generated(asked, model, json=True, parallel=parallel).withColumn("turn", F.lit(0))
-        for turn in range(1, settings.glean_rounds + 1):
-            more = generated(asked.withColumn("prompt", F.concat(F.col("prompt"), F.lit(f"\nWhat is missing? ({turn})"))), model, json=True, parallel=parallel)
-            said = said.unionByName(more.withColumn("turn", F.lit(turn)))
+        said = stage(generated(asked, model, json=True, parallel=parallel).withColumn("turn", F.lit(0)), "said")
+        said = gleaned(asked, said, model, settings.glean_rounds, parallel)
         return *reconcile(entity_items(said), relation_items(said)), said
-    counted = asked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("collection", "source_id")))
-    said = generated(group_prompts(counted, type_split(settings.profile, F.col("n"), settings.fast_threshold)), model, json=True, parallel=parallel)
+    # The entity pass hints at names only; the relation pass asks with the whole prompt.
+    counted = prompts(chunks, entities, None, settings).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("collection", "source_id")))
+    said = stage(generated(group_prompts(counted, type_split(settings.profile, F.col("n"), settings.fast_threshold)), model, json=True, parallel=parallel), "said")
     order = {g: i for i, (g, _) in enumerate(TYPE_GROUPS)} | {"ALL": 0}
     said = said.withColumn("turn", F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("type_group")])
     found = entity_items(said, strict=False, drop_noise=True)
     listed = found.groupBy(*CHUNK).agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("listed"))
     second = asked.join(listed, CHUNK).withColumn("prompt", F.concat(F.lit("Relations among: "), F.col("listed"), F.lit("\n"), F.col("prompt"))).drop("listed")
-    told = generated(second, model, json=True, parallel=parallel)
-    return *reconcile(found, relation_items(told, strict=False)), said
+    told = stage(generated(second, model, json=True, parallel=parallel), "said")
+    return *reconcile(found, relation_items(told, strict=False)), said.unionByName(told.withColumn("turn", F.lit(len(TYPE_GROUPS))), allowMissingColumns=True)
 
 
 def desc_candidates(items: DataFrame, minimum: int = 2) -> DataFrame:

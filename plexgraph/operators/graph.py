@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import drop_staged, stage
 from .scope import in_scope
 
 NODE = ["collection", "name"]
@@ -82,13 +83,12 @@ def resolve_merges(pairs: DataFrame) -> DataFrame:
     """(collection, drop, keep) with chains followed to their end, by pointer jumping: about log2 of the longest chain in rounds.
 
     pairs: collection, keep, drop.  Of several keeps for one drop the least stays; a cycle goes to its least name."""
-    now = pairs.where("keep <> drop").groupBy("collection", "drop").agg(F.min("keep").alias("keep"))
+    now = stage(pairs.where("keep <> drop").groupBy("collection", "drop").agg(F.min("keep").alias("keep")), "merges")
     seen = None
     while True:
         up = now.select("collection", F.col("drop").alias("keep"), F.col("keep").alias("up"))
-        now = now.join(up, ["collection", "keep"], "left").select("collection", "drop", F.when(F.col("up") == F.col("drop"), F.least("keep", "drop")).otherwise(F.coalesce("up", "keep")).alias("keep"))
-        if now.sparkSession.sparkContext.getCheckpointDir():
-            now = now.checkpoint()
+        before, now = now, stage(now.join(up, ["collection", "keep"], "left").select("collection", "drop", F.when(F.col("up") == F.col("drop"), F.least("keep", "drop")).otherwise(F.coalesce("up", "keep")).alias("keep")), "merges")
+        drop_staged(before)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("collection", "drop", "keep").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.where("keep <> drop").select("collection", "drop", "keep")
@@ -187,8 +187,8 @@ def degrees(relations: DataFrame) -> DataFrame:
 
 
 def isolated(entities: DataFrame, relations: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Entities without any relation; bridges do not count."""
-    return in_scope(entities, scope).select(*NODE).join(ends(in_scope(relations, scope)).distinct(), NODE, "left_anti").orderBy(*NODE)
+    """Entities without any relation, in no order; bridges do not count."""
+    return in_scope(entities, scope).select(*NODE).join(ends(in_scope(relations, scope)).distinct(), NODE, "left_anti")
 
 
 def drop_isolated(entities: DataFrame, relations: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -200,6 +200,12 @@ def both_ways(bridges: DataFrame) -> DataFrame:
     return there.unionByName(bridges.select("collection_hi", "name_hi", "collection_lo", "name_lo").toDF("collection", "name", "other_collection", "other_name"))
 
 
+def bridged(bridges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (collection_a, name_a, collection_b, name_b) that a bridge joins, in either order."""
+    there = both_ways(bridges).toDF("collection_a", "name_a", "collection_b", "name_b").distinct()
+    return pairs.join(there, there.columns, "left_semi").select(*pairs.columns)
+
+
 def bridge_neighbours(bridges: DataFrame, nodes: DataFrame | None = None, scope: list[str] | None = None) -> DataFrame:
     out = both_ways(bridges)
     if nodes is not None:

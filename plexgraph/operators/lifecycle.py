@@ -26,9 +26,9 @@ def new_source_ids(changed: DataFrame) -> DataFrame:
 
 
 def upsert_documents(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """A row replaces those with its source_id or its (collection, file_name)."""
+    """A row replaces those with its source_id or its (collection, file_name); of several new ones of a file the greatest source_id stays."""
     kept = state.join(batch.select("source_id").distinct(), "source_id", "left_anti").join(batch.select(*FILE).distinct(), FILE, "left_anti")
-    return kept.select(*state.columns).unionByName(batch.dropDuplicates(FILE).select(*state.columns))
+    return kept.select(*state.columns).unionByName(batch.groupBy(*FILE).agg(F.max_by(F.struct(*state.columns), "source_id").alias("row")).select("row.*"))
 
 
 def superseded(state: DataFrame, batch: DataFrame) -> DataFrame:
@@ -92,6 +92,35 @@ def mark_dirty(state: DataFrame, collections: DataFrame, dirty: bool = True) ->
     return state.join(names, "collection", "left_anti").select("collection", "dirty", "graph_signature").unionByName(new)
 
 
+def drop_build_state(state: DataFrame, collections: DataFrame) -> DataFrame:
+    return state.join(collections.select("collection").distinct(), "collection", "left_anti").select(*state.columns)
+
+
+def content_hash_of(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys (collection, file_name) with source_id and content_hash, null for a file that isn't stored."""
+    return keys.select(*FILE).join(documents.select(*FILE, "source_id", "content_hash"), FILE, "left")
+
+
+def source_names(documents: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """source_id and file_name of every document."""
+    return in_scope(documents, scope).select("source_id", "file_name")
+
+
+def start_progress(progress: DataFrame, batch: DataFrame) -> DataFrame:
+    """progress with batch's rows (its columns), which replace those of the same files."""
+    return progress.join(batch.select(*FILE).distinct(), FILE, "left_anti").select(*progress.columns).unionByName(batch.select(*progress.columns))
+
+
+def end_progress(progress: DataFrame, files: DataFrame) -> DataFrame:
+    return progress.join(files.select(*FILE).distinct(), FILE, "left_anti").select(*progress.columns)
+
+
+def usage_on(usage: DataFrame, day: str | None = None) -> int:
+    """Requests of a Pacific day (yyyy-mm-dd), today's by default."""
+    date = F.lit(day).cast("date") if day else F.to_date(F.from_utc_timestamp(F.current_timestamp(), "America/Los_Angeles"))
+    return usage.where(F.col("usage_date") == date).agg(F.coalesce(F.sum("request_count"), F.lit(0))).first()[0]
+
+
 def is_dirty(state: DataFrame, collections: DataFrame) -> DataFrame:
     """A collection without a build is dirty."""
     return collections.select("collection").distinct().join(state, "collection", "left").select("collection", F.coalesce("dirty", F.lit(True)).alias("dirty"))
@@ -99,7 +128,9 @@ def is_dirty(state: DataFrame, collections: DataFrame) -> DataFrame:
 
 def status(entities: DataFrame, relations: DataFrame, documents: DataFrame, chunk_rows: DataFrame) -> DataFrame:
     """(what, n): one small row for each figure."""
-    figures = {"entities": entities, "relations": relations, "documents": documents, "chunks": chunk_rows, "types": entities.select("type").distinct(), "predicates": relations.select("predicate").distinct(), "collections": entities.select("collection").distinct()}
+    from .graph import isolated
+
+    figures = {"isolated": isolated(entities, relations), "entities": entities, "relations": relations, "documents": documents, "chunks": chunk_rows, "types": entities.select("type").distinct(), "predicates": relations.select("predicate").distinct(), "collections": entities.select("collection").distinct()}
     out = None
     for name, df in figures.items():
         row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")

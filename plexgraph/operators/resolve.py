@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
-from ..functions.vector_math import dot, unit
-from .graph import both_ways, contexts, degrees
-
-BLOCKS = 64
+from .graph import add_aliases, both_ways, contexts, degrees, merge_entities, resolve_merges
+from .vectors import BLOCK_ROWS, units
 
 
 def canonical_blacklist(blacklist: DataFrame) -> DataFrame:
@@ -43,19 +43,40 @@ def normalized_duplicates(entities: DataFrame, relations: DataFrame, blacklist:
     return not_blacklisted(pairs, blacklist)
 
 
-def similar_pairs(vectors: DataFrame, low: float, high: float | None = None, key: str = "name", vector: str = "vector", group: str | None = "collection", blocks: int = BLOCKS) -> DataFrame:
-    """Pairs a < b of one group with low < cosine (<= high): exact, in a grid of blocks.
-
-    Each row goes to the cells of its block's row and column, so a cell meets two blocks only; the
-    cells spread a large group over blocks * (blocks + 1) / 2 tasks."""
-    own = vectors.select(*([F.col(group).alias("g")] if group else [F.lit("").alias("g")]), F.col(key).alias("k"), unit(F.col(vector)).alias("u")).withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    left = own.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1)))).select("g", F.col("block").alias("p"), F.col("other").alias("q"), F.col("k").alias("a"), F.col("u").alias("ua"))
-    right = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).select("g", F.col("other").alias("p"), F.col("block").alias("q"), F.col("k").alias("b"), F.col("u").alias("ub"))
-    met = left.join(right, ["g", "p", "q"]).where((F.col("p") != F.col("q")) | (F.col("a") < F.col("b")))
-    scored = met.select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), dot(F.col("ua"), F.col("ub")).alias("score")).where(F.col("score") > low)
-    if high is not None:
-        scored = scored.where(F.col("score") <= high)
-    return scored.select(*([F.col("g").alias(group)] if group else []), "a", "b", "score")
+def similar_pairs(vectors: DataFrame, low: float, high: float | None = None, key: str = "name", vector: str = "vector", group: str | None = "collection", apart: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs a < b of one group with low < cosine (<= high), of different values of apart if given: exact, in a grid of blocks.
+
+    A group has as many blocks as its rows need, and each row goes to the cells of its block's row and
+    column; a cell is one matrix product of two blocks, so a large group is spread over many tasks."""
+    own = vectors.select(*([F.col(group).alias("g")] if group else [F.lit("").alias("g")]), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("u"), *([F.col(apart).cast("string").alias("x")] if apart else []))
+    # Without other keys than the group's, so many small groups stay in one cell each.
+    sizes = own.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
+    own = own.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("k"), "blocks").cast("int"))
+    left = own.withColumn("q", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumnRenamed("block", "p").drop("blocks")
+    right = own.where("blocks > 1").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("block")))).where("p < block").withColumnRenamed("block", "q").drop("blocks")
+    right = right.toDF(*right.columns)  # columns of its own, not those of left
+    kinds = [own.schema[c].dataType.simpleString() for c in ("g", "k")]
+
+    def cell(here: pa.Table, there: pa.Table) -> pa.Table:
+        inner = here.num_rows and here.column("p")[0].as_py() == here.column("q")[0].as_py()
+        there = here if inner else there
+        names = [x.column("k").combine_chunks() for x in (here, there)]
+        if not here.num_rows or not there.num_rows:
+            i = j = score = np.zeros(0, np.int64)
+        else:
+            score = units(here.column("u")) @ units(there.column("u")).T
+            good = score > low if high is None else (score > low) & (score <= high)
+            if inner:
+                good &= np.triu(np.ones(score.shape, bool), 1)
+            if apart:
+                good &= np.not_equal.outer(*[np.array(x.column("x").to_pylist(), object) for x in (here, there)])
+            i, j = np.nonzero(good)
+            score = score[i, j]
+        groups = (here if here.num_rows else there).column("g").combine_chunks()
+        return pa.table({"g": groups.take(pa.array(np.zeros(len(i), np.int64))), "a": names[0].take(pa.array(i)), "b": names[1].take(pa.array(j)), "score": pa.array(score, pa.float64())})
+
+    met = left.groupBy("g", "p", "q").cogroup(right.groupBy("g", "p", "q")).applyInArrow(cell, f"g {kinds[0]}, a {kinds[1]}, b {kinds[1]}, score double").where("a <> b")
+    return met.select(*([F.col("g").alias(group)] if group else []), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
 def merge_candidates(vectors: DataFrame, relations: DataFrame, threshold: float = 0.92, blacklist: DataFrame | None = None) -> DataFrame:
@@ -80,14 +101,27 @@ def review_candidates(vectors: DataFrame, entities: DataFrame, relations: DataFr
     return pairs.join(of("keep"), ["collection", "keep"], "left").join(of("drop"), ["collection", "drop"], "left").select("collection", "keep", "drop", "score", "keep_context", "drop_context").orderBy(F.desc("score"), "collection", "keep", "drop")
 
 
-def bridge_candidates(vectors: DataFrame, bridges: DataFrame, threshold: float = 0.90, blocks: int = BLOCKS) -> DataFrame:
+def bridge_candidates(vectors: DataFrame, bridges: DataFrame, threshold: float = 0.90, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs of different collections above threshold that no bridge joins; vectors: collection, name, vector."""
-    own = vectors.select(F.struct("collection", "name").alias("k"), F.col("vector"))
-    pairs = similar_pairs(own, threshold, key="k", group=None, blocks=blocks).where("a.collection <> b.collection")
+    own = vectors.select(F.struct("collection", "name").alias("k"), F.col("vector"), "collection")
+    pairs = similar_pairs(own, threshold, key="k", group=None, apart="collection", block_rows=block_rows)
     flat = pairs.select(F.col("a.collection").alias("collection"), F.col("a.name").alias("name"), F.col("b.collection").alias("other_collection"), F.col("b.name").alias("other_name"), "score")
     return flat.join(both_ways(bridges), ["collection", "name", "other_collection", "other_name"], "left_anti")
 
 
+def apply_merges(entities: DataFrame, relations: DataFrame, bridges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph after all pairs (collection, keep, drop): chains followed to their end, each dropped name an alias of what stays."""
+    plan = resolve_merges(pairs)
+    surface = plan.select("collection", F.col("keep").alias("name"), F.col("drop").alias("alias"))
+    return merge_entities(add_aliases(entities, surface), relations, bridges, plan)
+
+
 def review_decisions(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merges, blacklist rows) of decided: collection, keep, drop, approved, reason."""
     return decided.where("approved").select("collection", "keep", "drop"), decided.where("not approved").select("collection", F.col("keep").alias("node_a"), F.col("drop").alias("node_b"), "reason")
+
+
+def apply_review(entities: DataFrame, relations: DataFrame, bridges: DataFrame, blacklist: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The graph with the approved merges, and the blacklist with the rejected pairs."""
+    merges, rejected = review_decisions(decided)
+    return *apply_merges(entities, relations, bridges, merges), add_blacklist(blacklist, rejected)

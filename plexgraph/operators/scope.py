@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import drop_staged, stage
+
 
 def in_scope(df: DataFrame, scope: list[str] | None, column: str = "collection") -> DataFrame:
     """None is all collections, a list those named; an empty list is none."""
@@ -19,13 +21,15 @@ def descendants(hierarchy: DataFrame) -> DataFrame:
     edges = hierarchy.where("parent is not null").select(F.col("parent").alias("collection"), F.col("collection").alias("descendant")).distinct()
     every = hierarchy.select("collection").unionByName(hierarchy.where("parent is not null").select(F.col("parent").alias("collection"))).distinct()
     reach = edges.unionByName(every.select("collection", F.col("collection").alias("descendant"))).distinct()
-    n = -1
+    n, before = -1, None
     while True:
-        reach = reach.checkpoint() if reach.sparkSession.sparkContext.getCheckpointDir() else reach
+        reach = stage(reach, "descendants")
+        if before is not None:
+            drop_staged(before)
         now = reach.count()
         if now == n:
             return reach
-        n = now
+        n, before = now, reach
         step = reach.alias("a").join(reach.alias("b"), F.col("a.descendant") == F.col("b.collection")).select("a.collection", "b.descendant")
         reach = reach.unionByName(step).distinct()
 
@@ -61,6 +65,11 @@ def unset_parent(hierarchy: DataFrame, collection: str) -> DataFrame:
     return hierarchy.where(F.col("collection") != collection)
 
 
+def resolve_scope(scope: list[str] | None, entities: DataFrame, documents: DataFrame) -> list[str]:
+    """The collections that a scope means: those named, else all that hold a document or an entity, in order."""
+    return scope if scope is not None else [r[0] for r in known_collections(entities, documents).collect()]
+
+
 def children(hierarchy: DataFrame, parent: str) -> DataFrame:
     return hierarchy.where(F.col("parent") == parent).select("collection").orderBy("collection")
 

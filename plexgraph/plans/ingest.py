@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.chunking import chunks
-from ..functions.text import clean_markdown, document_label
+from ..functions.text import clean_markdown, content_hash, document_label
 from ..operators import extract as X
 from ..operators import graph as G
 from ..operators import lifecycle as L
 from ..operators import vectors as V
 from ..providers import Embedding, LanguageModel, embedded
 from ..sources.store import Store
+from ..staging import stage
 
 
 def chunked(documents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -22,19 +23,47 @@ def chunked(documents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return documents.select("collection", "source_id", "file_name", F.posexplode(cut).alias("chunk_idx", "text"))
 
 
-def ingest(store: Store, incoming: DataFrame, model: LanguageModel, embedding: Embedding, settings: Settings = DEFAULTS, mode: str = "single", parallel: int | None = None) -> int:
+GRAPH = ("entities", "relations", "same_as", "entity_desc_candidates")
+
+
+def ingest(store: Store, incoming: DataFrame, model: LanguageModel, embedding: Embedding, settings: Settings = DEFAULTS, mode: str = "single", parallel: int | None = None, wave: int | None = None, metered: bool = False) -> int:
     """Process what changed of incoming (collection, file_name, content); returns the new version.
 
-    Nothing of a batch is visible before its commit, so a crash leaves the old version and the next
-    run does the whole batch again under the same source ids."""
-    spark = store.spark
-    state = {n: store.table(n) for n in ("documents", "chunks", "entities", "relations", "same_as", "entity_desc_candidates", "merge_blacklist", "community_build_state")}
-    changed = L.new_source_ids(L.needs_processing(incoming, state["documents"])).persist()
-    cut = chunked(changed, settings).persist()
+    Chunks go in waves of `wave` places (all at once by default): a wave's prompts see what the waves
+    before it found, and its commit holds its part of the graph with every file's progress.  An ingest
+    that broke off goes on after its last wave, under the same source ids, if a file's content and
+    number of chunks are as they were; else the file starts anew.  The last commit stores the documents,
+    retires what they replace and ends the progress.  metered records the calls as today's usage."""
+    progress = store.table("ingest_progress")
+    hashed = incoming.withColumn("content_hash", content_hash(F.col("content")))
+    pending = hashed.join(progress.select("collection", "file_name", "content_hash"), ["collection", "file_name", "content_hash"], "left_semi").select(*incoming.columns)
+    changed = L.needs_processing(incoming, store.table("documents")).select(*incoming.columns).unionByName(pending).distinct()
+    named = L.new_source_ids(changed.withColumn("content_hash", content_hash(F.col("content"))))
+    counted = L.request_counts(named, settings).withColumnRenamed("n_requests", "total_chunks")
+    resumed = L.resumable(progress, counted).withColumn("source_id", F.coalesce("resumed_id", "source_id")).drop("resumed_id")
+    changed = stage(resumed, "changed")
+    cut = stage(chunked(changed, settings).join(changed.select("source_id", "first_chunk"), "source_id"), "chunks")
     vectors = cut.select("collection", "source_id", "chunk_idx", "text", embedded(F.col("text"), embedding).alias("embedding"))
-    found, links, _ = X.extract(cut.select("collection", "source_id", "chunk_idx", "text"), state["entities"], state["relations"], model, settings, mode, parallel)
-    # A model may not answer twice alike: what it said is fixed before several tables are made from it.
-    found, links = (df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist() for df in (found, links))
+    store.commit(chunks=V.upsert_chunks(store.table("chunks"), vectors), ingest_progress=L.start_progress(progress, changed.withColumn("done_chunks", F.col("first_chunk"))))
+    last = changed.agg(F.max("total_chunks")).first()[0] or 0
+    for low in range(0, last, wave or max(1, last)):
+        high = low + (wave or last)
+        part = cut.where((F.col("chunk_idx") >= F.greatest(F.lit(low), "first_chunk")) & (F.col("chunk_idx") < high))
+        if part.limit(1).count():
+            _absorb(store, changed, part.drop("first_chunk"), model, settings, mode, parallel, high, metered)
+    state = {n: store.table(n) for n in ("documents", "chunks", *GRAPH)}
+    retired = L.superseded(state["documents"], changed)
+    old_chunks, relations, candidates = L.without_sources(retired, state["chunks"], state["relations"], state["entity_desc_candidates"])
+    return store.commit(
+        documents=L.upsert_documents(state["documents"], changed.withColumn("last_modified", F.current_timestamp())), chunks=old_chunks, relations=relations, entity_desc_candidates=candidates,
+        ingest_progress=L.end_progress(store.table("ingest_progress"), changed), community_build_state=L.mark_dirty(store.table("community_build_state"), changed),
+    )
+
+
+def _absorb(store: Store, changed: DataFrame, cut: DataFrame, model: LanguageModel, settings: Settings, mode: str, parallel: int | None, done: int, metered: bool) -> None:
+    """Commit what the model finds in some chunks, with the progress of their files."""
+    state = {n: store.table(n) for n in (*GRAPH, "merge_blacklist", "ingest_progress", "api_usage")}
+    found, links, calls = X.extract(cut.select("collection", "source_id", "chunk_idx", "text"), state["entities"], state["relations"], model, settings, mode, parallel)
     label = changed.select("collection", "source_id", document_label(F.col("file_name")).alias("label"))
     found, links = X.promote_first_person(found.join(label, ["collection", "source_id"]), links.join(label, ["collection", "source_id"]), F.col("label"), settings.first_person_scope)
     names = found.select("collection", F.col("name").alias("candidate")).unionByName(links.select("collection", F.explode(F.array("source", "target")).alias("candidate")))
@@ -52,21 +81,21 @@ def ingest(store: Store, incoming: DataFrame, model: LanguageModel, embedding: E
     merges, aliases = X.coref_fold(entities, state["relations"], nodes, state["merge_blacklist"])
     if not settings.coref_merge:
         merges = merges.limit(0)
-    retired = L.superseded(state["documents"], changed)
-    old_chunks, old_relations, old_candidates = L.without_sources(retired, state["chunks"], state["relations"], state["entity_desc_candidates"])
-    relations = G.upsert_relations(old_relations, edges, entities)
-    entities, relations, bridges = G.merge_entities(G.add_aliases(entities, surface.unionByName(aliases)), relations, state["same_as"], merges)
+    relations = G.upsert_relations(state["relations"], edges, entities)
+    entities, relations, bridges = G.merge_entities(G.add_aliases(entities, surface.unionByName(aliases)), relations, state["same_as"], G.resolve_merges(merges))
     candidates = nodes.where("description <> ''").select("collection", F.col("name").alias("entity_name"), F.col("source_id").alias("source_doc"), "description", "seq").groupBy("collection", "entity_name", "source_doc").agg(F.max_by("description", "seq").alias("description"))
+    reached = changed.select("collection", "file_name", F.least(F.lit(done), "total_chunks").alias("done_chunks"))
     out = {
-        "documents": L.upsert_documents(state["documents"], changed.withColumn("last_modified", F.current_timestamp())),
-        "chunks": V.upsert_chunks(old_chunks, vectors),
         "entities": entities,
         "relations": relations,
         "same_as": bridges,
-        "entity_desc_candidates": old_candidates.join(candidates, ["collection", "entity_name", "source_doc"], "left_anti").unionByName(candidates),
-        "community_build_state": L.mark_dirty(state["community_build_state"], changed),
+        "entity_desc_candidates": state["entity_desc_candidates"].join(candidates, ["collection", "entity_name", "source_doc"], "left_anti").unionByName(candidates),
+        "ingest_progress": L.mark_done(state["ingest_progress"], reached),
     }
-    return store.commit(**out)
+    if metered:
+        events = calls.agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("ts", F.current_timestamp())
+        out["api_usage"] = L.record_usage(state["api_usage"], events)
+    store.commit(**out)
 
 
 def delete_document(store: Store, collection: str, file_name: str) -> int:
@@ -78,10 +107,10 @@ def delete_document(store: Store, collection: str, file_name: str) -> int:
 
 
 def delete_collection(store: Store, collection: str) -> int:
-    """Without a collection: documents, chunks, graph, candidates, communities, reports, progress and blacklist; the hierarchy stays."""
+    """Without a collection: documents, chunks, graph, candidates, communities and reports; its progress, blacklist and place in the hierarchy stay."""
     e, r, b = G.delete_collection(store.table("entities"), store.table("relations"), store.table("same_as"), collection)
     keep = F.col("collection") != collection
-    rest = {n: store.table(n).where(keep) for n in ("documents", "chunks", "entity_desc_candidates", "communities", "community_build_state", "community_reports", "ingest_progress", "merge_blacklist")}
+    rest = {n: store.table(n).where(keep) for n in ("documents", "chunks", "entity_desc_candidates", "communities", "community_build_state", "community_reports")}
     return store.commit(entities=e, relations=r, same_as=b, **rest)
 
 

@@ -10,6 +10,7 @@ from ..functions.text import document_label, strip_fence
 from ..operators.community import boundary_edges, dominant_sources
 from ..providers import LanguageModel, generated
 from ..schema import REPORTS
+from ..staging import stage
 
 KEY = ["collection", "community_id"]
 
@@ -21,6 +22,11 @@ def parsed_report(raw):
     return F.when(good, F.struct(r["title"].alias("title"), r["summary"].alias("summary"), r["rating"].try_cast("double").alias("rating")))
 
 
+def model_for_level(level: int, model: LanguageModel, top_model: LanguageModel | None = None, settings: Settings = DEFAULTS) -> LanguageModel:
+    """The top model, if there is one, for the levels above report_top_levels."""
+    return top_model if top_model is not None and level < settings.report_top_levels else model
+
+
 def leaf_material(communities: DataFrame, entities: DataFrame, relations: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """For each community: members, inner and outer relations as text, dominant source and their signature."""
     member = communities.select(*KEY, F.explode("entity_names").alias("name")).join(entities.select("collection", "name", "description"), ["collection", "name"], "left")
@@ -43,7 +49,7 @@ def generate_reports(communities: DataFrame, entities: DataFrame, relations: Dat
     leaves = communities.join(parents, KEY, "left_anti")
     material = leaf_material(leaves, entities, relations, settings).withColumn("prompt", F.concat_ws("\n", F.lit("Report on these members:"), "members", F.lit("Relations:"), "inner", F.lit("Beyond:"), "outer", F.lit("Source:"), "source"))
     # Every level reads it: made once, it keeps the relations out of the levels' plans.
-    material = material.checkpoint() if spark.sparkContext.getCheckpointDir() else material.persist()
+    material = stage(material, "material")
     top = communities.agg(F.max("level")).first()[0]
     done = spark.createDataFrame([], REPORTS + ", source string")
     for level in range(-1 if top is None else top, -1, -1):
@@ -57,11 +63,10 @@ def generate_reports(communities: DataFrame, entities: DataFrame, relations: Dat
         kept = old.select(*KEY, F.col("content_signature"), "title", "summary", "rating", "updated_at")
         reused = wanted.join(kept, [*KEY, "content_signature"])
         fresh = wanted.join(kept, [*KEY, "content_signature"], "left_anti")
-        said = generated(fresh, top_model if top_model is not None and level < settings.report_top_levels else model, json=True).withColumn("report", parsed_report(F.col("response"))).where("report is not null")
+        said = generated(fresh, model_for_level(level, model, top_model, settings), json=True).withColumn("report", parsed_report(F.col("response"))).where("report is not null")
         names = [x.split()[0] for x in REPORTS.split(", ")] + ["source"]
         new = said.select(*KEY, "level", "report.*", "content_signature", F.current_timestamp().alias("updated_at"), "source").select(*names)
         level_rows = reused.select(*names).unionByName(new)
         # A model may not answer twice alike: what a level said is kept before the next one reads it.
-        level_rows = level_rows.checkpoint() if spark.sparkContext.getCheckpointDir() else level_rows.persist()
-        done = done.unionByName(level_rows)
+        done = done.unionByName(stage(level_rows, "reports"))
     return done.drop("source")

@@ -5,8 +5,14 @@ Provider failures are values (a status column), so no task dies because one prom
 from __future__ import annotations
 
 import hashlib
+import subprocess
+import tempfile
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
+from json import dumps, loads
+from pathlib import Path
 from typing import Protocol
 
 import numpy as np
@@ -57,6 +63,55 @@ class Scripted:
         return self.answer(prompt)
 
 
+class LocalHttp:
+    """A model server that takes a POST of a prompt and answers with a field `response`; an error or an empty answer fails, nothing else is asked instead."""
+
+    def __init__(self, url: str, model: str, timeout: float = 600.0, temperature: float | None = None):
+        self.url, self.model, self.timeout, self.temperature = url, model, timeout, temperature
+
+    def generate(self, prompt: str, *, json: bool = False) -> str:
+        ask: dict[str, object] = {"model": self.model, "prompt": prompt, "stream": False, "think": False}
+        if self.temperature is not None:
+            ask["options"] = {"temperature": self.temperature}
+        if json:
+            ask["format"] = "json"
+        request = urllib.request.Request(self.url, data=dumps(ask).encode(), headers={"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as got:
+                said = loads(got.read())
+        except urllib.error.HTTPError as e:
+            raise ProviderError(f"{self.url}: {e}", e.code == 429 or e.code >= 500) from e
+        except (OSError, ValueError) as e:
+            raise ProviderError(f"{self.url}: {e}", isinstance(e, OSError)) from e
+        if not isinstance(said, dict) or not said.get("response"):
+            raise ProviderError(f"{self.url}: no answer")
+        return said["response"]
+
+
+class CommandLine:
+    """A program that reads the prompt from its standard input and writes its answer to the file that the prompt's last line names.
+
+    Both lie in files of the worker's own that are always removed; a failure or an empty file fails the call."""
+
+    def __init__(self, command: list[str], timeout: float = 600.0):
+        self.command, self.timeout = command, timeout
+
+    def generate(self, prompt: str, *, json: bool = False) -> str:
+        with tempfile.TemporaryDirectory(prefix="plexgraph-call-") as folder:
+            answer = Path(folder) / "answer.txt"
+            asked = Path(folder) / "prompt.txt"
+            asked.write_text(f"{prompt}\n\nWrite the answer, as plain text and nothing else, to this file: {answer}", encoding="utf-8")
+            try:
+                with asked.open("rb") as source:
+                    subprocess.run(self.command, stdin=source, capture_output=True, timeout=self.timeout, check=True)
+            except (OSError, subprocess.SubprocessError) as e:
+                raise ProviderError(f"{self.command[0]}: {e}") from e
+            said = answer.read_text(encoding="utf-8").strip() if answer.exists() else ""
+        if not said:
+            raise ProviderError(f"{self.command[0]}: no answer")
+        return said
+
+
 class Patient:
     """Retries retryable failures with growing pauses, and paces all attempts."""
 

@@ -36,7 +36,8 @@ RELATIONS = """relation_events AS (
 ), relations AS (SELECT collection, source, target, predicate, valid_from, arg_max(source_doc, seq) AS source_doc FROM relation_events GROUP BY collection, source, target, predicate, valid_from)"""
 GRAPH = f"WITH {ENTITIES}, {RELATIONS} "
 UNIT = "unit AS (SELECT vec_id, 'label_' || label AS collection, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
-COSINE = "round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6)"
+FULL_COSINE = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
+COSINE = f"round({FULL_COSINE}, 6)"
 COMMUNITY = "member AS (SELECT collection, n_name AS community_id, c_name AS name FROM customer JOIN geo ON c_nationkey = n_nationkey UNION ALL SELECT collection, n_name, s_name FROM supplier JOIN geo ON s_nationkey = n_nationkey UNION ALL SELECT collection, n_name, n_name FROM geo)"
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -241,8 +242,8 @@ def bridge_candidates(t):
 
 def _top_sql(where: str) -> str:
     return (
-        f"WITH {UNIT}, s AS (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score FROM unit a JOIN unit b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0{where}), "
-        'r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s) SELECT * FROM r WHERE "rank" <= 12'
+        f"WITH {UNIT}, s AS (SELECT a.vec_id AS query_id, b.vec_id, {FULL_COSINE} AS score FROM unit a JOIN unit b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0{where}), "
+        'r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, round(score, 6) AS score FROM s) SELECT * FROM r WHERE "rank" <= 12'
     )
 
 

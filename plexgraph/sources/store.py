@@ -1,11 +1,12 @@
 """Versioned Parquet tables: every commit writes new snapshots, then one pointer file.
 
-A reader sees the old version or the new one, never a mixture; a backup is a kept version, a restore
-moves the pointer.  Paths go through Hadoop's file systems, so a store may lie anywhere Spark reads."""
+A reader sees the old version or the new one, never a mixture; a restore moves the pointer to a kept
+version, or brings back a copy that lies outside the store.  Paths go through Hadoop's file systems, so a store may lie anywhere Spark reads."""
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,9 +53,7 @@ class Store:
     def _point(self, paths: dict[str, str]) -> int:
         found = self._versions()
         version = (found[-1] if found else 0) + 1
-        out = self._fs.create(self._path(f"{self.root}/versions/{version:08d}"), False)
-        out.write(bytearray(json.dumps(paths).encode()))
-        out.close()
+        self._write(f"{self.root}/versions/{version:08d}", json.dumps(paths))
         return version
 
     def _read_name(self, version: int) -> str:
@@ -64,6 +63,35 @@ class Store:
         """Make an older version the newest."""
         return self._point(self._read(version))
 
+    def backup(self, folder: str, keep: int = 10, clock=time.time) -> str:
+        """Copy the newest version to a folder of its own below `folder`, and keep the newest `keep` copies; returns the copy's path.
+
+        A copy shares nothing with the store, so it outlives pruning and damage."""
+        at = f"{folder.rstrip('/')}/{int(clock() * 1000):015d}"
+        paths = self.current()
+        for name in paths:
+            self.table(name).write.parquet(f"{at}/{name}")
+        self._write(f"{at}/tables.json", json.dumps(sorted(paths)))
+        copies = sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(folder)) if self._fs.exists(self._path(f"{folder}/{x.getPath().getName()}/tables.json")))
+        for old in copies[:-keep] if keep > 0 else []:
+            self._fs.delete(self._path(f"{folder}/{old}"), True)
+        return at
+
+    def restore_copy(self, at: str) -> int:
+        """Make a copy the newest version: its tables are written first, so a failure leaves the store as it was."""
+        names = json.loads("".join(r.value for r in self.spark.read.text(f"{at}/tables.json").collect()))
+        return self.commit(**{n: self.spark.read.schema(TABLES[n]).parquet(f"{at}/{n}") for n in names})
+
+    def size(self) -> int:
+        """Bytes below the store's root."""
+        at = self._path(self.root)
+        return self._fs.getContentSummary(at).getLength() if self._fs.exists(at) else 0
+
+    def _write(self, at: str, text: str) -> None:
+        out = self._fs.create(self._path(at), False)
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def prune(self, keep: int = 10) -> int:
         """Forget all versions but the newest `keep`, and data that only they had."""
         found = self._versions()

@@ -187,7 +187,7 @@ def test_ingest_store_and_inbox(spark, tmp_path):
     (inbox / "skip.bin").write_text("x")
     store = Store(spark, str(tmp_path / "store"))
     model = Scripted(lambda p: said([{"name": "나", "type": "PERSON"}, {"name": "장인", "type": "PERSON", "description": "d", "aliases": ["빙장"]}, {"name": "빙장", "type": "PERSON"}], [{"source": "장인", "target": "나", "predicate": "manages"}, {"source": "빙장", "target": "나", "predicate": "likes"}]))
-    docs = whole_files(spark, str(inbox), "c")
+    docs = whole_files(spark, str(inbox), "c", "*.{md,txt}")
     v1 = I.ingest(store, docs, model, HashedNgrams())
     assert sorted(r.name for r in store.table("entities").collect()) == ["장인", "화자(봄봄)"]
     assert store.table("chunks").count() == 1 and store.table("documents").count() == 1

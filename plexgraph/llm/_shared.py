@@ -1,15 +1,14 @@
-"""Plumbing the training-data operators share: shared storage, staging, driver-safe worker paths."""
+"""Plumbing the training-data operators share: staging, column names, joins that deal hot keys to several tasks."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..staging import drop, drop_staged, shared_folder, stage, staged_path
+from ..workers import ready
+
+__all__ = ["columns", "drop", "drop_staged", "hot_keys", "lower_ascii", "ready", "shared_folder", "spread_join", "stage", "staged_path", "table", "tokenizer_file", "unused"]
 
 #: Where the public tokenizer vocabularies lie; a parameter of every operator that tokenizes.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -17,37 +16,43 @@ BYTE_BPE = "byte_bpe_50k.json"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package even if the driver found it by its own sys.path."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that df doesn't have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_plexgraph_shared", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="plexgraph-")
-        spark._plexgraph_shared = folder
-    return folder.rstrip("/")
+def columns(df: DataFrame, *left_out: str) -> list[Column]:
+    """df's columns, whatever signs their names hold, without those left out."""
+    names = {x.lower() for x in left_out}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
 
 
-def staged_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+#: Rows of one key that a task may get in a join, at least; beyond it, and beyond this part of all rows, a key is dealt to several tasks.
+HOT_ROWS, HOT_PARTS = 1 << 16, 512
 
 
-def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back.
+def hot_keys(counts: DataFrame, key: Column, total: int, least: int = HOT_ROWS, parts: int = HOT_PARTS) -> list[tuple[int, int]]:
+    """(key, tasks to deal it to) of the keys (a long) with more rows (column n of counts) than least and than the total's share of a part: fewer than `parts` keys."""
+    bound = max(least, total // parts)
+    if total <= bound:
+        return []
+    return [(r[0], -(-r[1] // bound)) for r in counts.where(F.col("n") > bound).select(key, "n").collect()]
 
-    A lost executor then costs a reread, not a recomputation of what came before."""
-    spark = df.sparkSession
-    path = staged_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: Column, hot: list[tuple[int, int]], how: str) -> DataFrame:
+    """many joined with one on keys; rows of a hot key (by is its column on both sides) are dealt to several tasks, and one's row of it goes to each."""
+    if not hot:
+        return many.join(one, keys, how)
+    tasks = F.broadcast(many.sparkSession.createDataFrame(hot, "__by long, __tasks int"))
+    left = many.join(tasks, by == F.col("__by"), "left").withColumn("__salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), "__tasks"), F.lit(0)).cast("int")).drop("__by", "__tasks")
+    right = one.join(tasks, by == F.col("__by"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__tasks", F.lit(1)) - 1))).drop("__by", "__tasks")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +63,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def with_fields(schema: T.StructType, *new: tuple[str, T.DataType]) -> T.StructType:
-    """schema without the columns of new's names, then new: an operator's column wins over an input's of that name."""
-    names = {n.lower() for n, _ in new}
-    return T.StructType([f for f in schema.fields if f.name.lower() not in names] + [T.StructField(n, t) for n, t in new])
-
-
 def tokenizer_file(path: str | None) -> str:
     """path, or else the installed public byte-level BPE vocabulary."""
     if path:

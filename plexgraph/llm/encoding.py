@@ -26,7 +26,7 @@ END_ID = 0
 #: Entries of each of the two generations of a worker's table of words (about 190 bytes each).
 WORD_ENTRIES = 400_000
 #: Bytes of text that are encoded at once, unless one text is longer.
-BLOCK = 16 << 20
+BLOCK = 24 << 20
 #: Plain words that the model gets in one call.
 TOGETHER = 48
 

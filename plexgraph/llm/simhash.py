@@ -8,9 +8,11 @@ bucket (leading bits) that its ball touches; the variants are made, sorted and c
 bucket, in slices of bounded size, so they are never stored or shuffled.
 
 Edge cases: null or blank texts have fingerprint zero and are linked like any other; texts of fewer
-words than a shingle hash the whole sequence; repeated rows and equal texts share a fingerprint and
-are one node; a null id belongs to its component but names it only if it has no other id; an empty
-table gives no rows.
+words than a shingle hash the whole sequence; a text of any length is hashed whole by one task, in
+parts; a bit that exactly half of the hashes set is 0; repeated rows and equal texts share a
+fingerprint and are one node; a null id belongs to its component but names it only if it has no other
+id; an empty table gives no rows; an input column named like a result column (fp, component_id) is
+replaced, all others are kept, and keep_one keeps every column.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ready, stage, table
+from ._shared import columns, drop_staged, hot_keys, ready, spread_join, stage, table
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 BITS = 64
@@ -137,45 +139,57 @@ def ball_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node's least connected node, by alternating large and small stars.
 
-    Every round is staged in the shared folder; no task gathers a node's links."""
+    Every round is staged in the shared folder, and the round before it deleted; a node of very many
+    links is dealt to several tasks."""
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     while True:
+        total = 2 * now.count()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = stage(small, "links")
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = spread_join(both, least, ["a"], F.col("a"), hot_keys(least, F.col("a"), total), "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, low, ["a"], F.col("a"), hot_keys(low, F.col("a"), total), "inner").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        before, now = now, stage(small, "links")
+        drop_staged(before)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = tuple(state)
 
 
-def _placed(docs: DataFrame, shingle: int, radius: int, seed: int) -> DataFrame:
-    """docs with fp, root (the component's least fingerprint) and component_id."""
-    known = stage(fingerprints(docs, shingle, seed), "fingerprints")
-    prints = stage(known.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+def _placed(known: DataFrame, radius: int) -> DataFrame:
+    """Staged rows (with fp and doc_id) with __root, the component's least fingerprint, and component_id.
+
+    A fingerprint that very many rows share is dealt to several tasks."""
+    prints = stage(known.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     root = components(ball_links(prints, radius))
-    placed = prints.join(root, prints["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return known.join(placed.join(named, "root").select("fp", "root", "component_id"), "fp")
+    placed = prints.join(root, prints["fp"] == root["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("__root"))
+    named = placed.groupBy("__root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    rows, distinct = prints.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    of_print = spread_join(placed, named.drop("n"), ["__root"], F.col("__root"), hot_keys(named, F.col("__root"), distinct), "inner").select("fp", "__root", "component_id")
+    return spread_join(known, of_print, ["fp"], F.col("fp"), hot_keys(prints, F.col("fp"), rows), "inner")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """docs with fp and component_id, the smallest doc_id that links reach."""
-    kept = [c for c in docs.columns if c.lower() not in ("fp", "root", "component_id")]
-    return _placed(docs.select(*kept), shingle, radius, seed).select(*kept, "fp", "component_id")
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, text: bool = True) -> DataFrame:
+    """docs (without text, where that is false, so that no text is moved) with fp and component_id, the smallest doc_id that links reach."""
+    kept = columns(docs, "fp", "component_id", *([] if text else ["text"]))
+    known = fingerprints(docs.select(F.struct(*kept).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, seed).drop("text")
+    out = _placed(stage(known, "fingerprints"), radius).select("__row", F.col("fp").alias("__fp"), F.col("component_id").alias("__id"))
+    return out.select("__row.*", F.col("__fp").alias("fp"), F.col("__id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """One document of each component, the one that names it, with docs' own columns; any one where no document has an id."""
-    own = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    found = _placed(own, shingle, radius, seed)
-    return found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"]).select("row.*")
+    """One document of each component with all of docs' columns: the one whose id names it (any, where no document has an id); of several such rows that of the least text hash.
+
+    Texts are shuffled once, by a number of their own, to meet the numbers that stay."""
+    rows = docs.select(F.struct(*columns(docs)).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("__hash"), F.monotonically_increasing_id().alias("__nth"))
+    known = stage(fingerprints(rows, shingle, seed).drop("text"), "fingerprints")
+    placed = _placed(known.select("doc_id", "fp", "__hash", "__nth"), radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = placed.groupBy("__root").agg(F.min(F.struct("__hash", "__nth")).alias("least")).select(F.col("least.__nth").alias("__nth"))
+    return known.join(stay, "__nth", "left_semi").select("__row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), text=False)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

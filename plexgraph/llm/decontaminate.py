@@ -6,28 +6,36 @@ the window, the last `window` words are hit, and the state gives the items.  Ite
 window are hit as a whole.  Stretches in which fewer consecutive word pairs than a window needs occur
 in the benchmark at all are passed over, as no window can lie in them.
 
-One automaton holds at most AUTOMATON_WORDS words and is the only thing sent to the executors; a
-larger benchmark is cut into several, and the documents pass through one after the other.
-
-Edge cases: null texts and texts without words have no words and no hits; an item without words
-occurs nowhere; equal items are all reported; a null item_id marks words but is not listed or
-counted; an empty benchmark leaves all clean; repeated document rows are judged alike.
+One automaton holds at most AUTOMATON_WORDS words, unless one item has more, as flat arrays and
+a table of windows (about 210 bytes a word, checked against AUTOMATON_BYTES), and is the only thing sent to the executors; a larger
+benchmark is cut into several that are made one at a time, and the documents pass through one after
+the other.  Building and scanning take linear time: each state knows the state of its window.
+
+Edge cases: null texts and texts without words have no words and no hits; a text of any length is
+scanned whole by one task; an item without words occurs nowhere; equal items, which tie, are all
+reported; a null item_id marks words but is not listed or counted; an empty benchmark leaves all
+clean; an empty document table gives no rows; repeated document rows are judged alike; an input column
+named like the result column is replaced, all others are kept, and decontaminate keeps every column.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ready, table
+from ._shared import columns, ready, stage, table, unused
 
 WINDOW = 10
-AUTOMATON_WORDS = 2_000_000
+AUTOMATON_WORDS, AUTOMATON_BYTES = 500_000, 256 << 20
 #: A document with this share of hit words is dropped; of any other, the hit spans are cut out.
 DROP_COVERAGE = 0.5
 KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -53,13 +61,16 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Of all items' word sequences: transitions, suffix links and longest lengths; items of each state."""
+    """Of all items' word sequences: transitions, suffix links and longest lengths; items of each state.
+
+    Once built it is a set of flat arrays: a state's transitions are a sorted range of `codes`, with
+    their `targets`."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length = array("i", [-1]), array("i", [0])
         self.names: list[object] = []
         pairs: set[int] = set()
         ends: list[tuple[int, int]] = []  # (state, item) at each prefix of each item
@@ -81,25 +92,52 @@ class Automaton:
             if len(codes) < window:
                 whole.append((last, len(codes), item))
         self.pairs = np.array(sorted(pairs), np.int64)
-        # Items whose windows end where a state's strings end, at the state whose lengths include the window's.
+        # The nearest of each state and its suffix links whose lengths include the window's; -1 where all are shorter.
+        link, length = self.link, self.length
+        self.at = array("i", [-1]) * len(link)
+        order = np.argsort(np.frombuffer(length, np.intc), kind="stable").tolist()
+        for state in order[1:]:
+            if length[state] >= window:
+                self.at[state] = state if length[link[state]] < window else self.at[link[state]]
         found: dict[int, set[int]] = defaultdict(set)
         for state, item in ends:
-            while self.length[self.link[state]] >= window:
-                state = self.link[state]
-            found[state].add(item)
+            found[self.at[state]].add(item)
         self.at_window = {s: tuple(sorted(v)) for s, v in found.items()}
-        short: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for state, n, item in whole:
-            while self.length[self.link[state]] >= n:
-                state = self.link[state]
-            short[state].append((n, item))
-        # Every state learns the short items that end there, from its suffix links.
-        self.short: dict[int, tuple[tuple[int, int], ...]] = {}
+            while length[link[state]] >= n:  # fewer steps than the window has words
+                state = link[state]
+            short[state][n].append(item)
+        # Every state knows the nearest suffix link (itself first) where short items end.
+        self.ends = array("i", [-1]) * len(link)
+        self.short = {s: dict(v) for s, v in short.items()}
         if short:
-            for state in sorted(range(len(self.next)), key=self.length.__getitem__):
-                own = tuple(short.get(state, ())) + (self.short.get(self.link[state], ()) if state else ())
-                if own:
-                    self.short[state] = own
+            for state in order[1:]:
+                self.ends[state] = state if state in short else self.ends[link[state]]
+        self._flatten()
+
+    def _flatten(self) -> None:
+        sizes = [len(x) for x in self.next]
+        self.first = array("i", np.r_[0, np.cumsum(sizes)].astype(np.intc).tobytes())
+        codes, targets = array("i"), array("i")
+        for state, x in enumerate(self.next):
+            for c in sorted(x):
+                codes.append(c)
+                targets.append(x[c])
+            self.next[state] = None
+        self.codes, self.targets = codes, targets
+        del self.next
+
+    def nbytes(self) -> int:
+        """Bytes of the flat arrays, and an estimate of the words' and items' tables."""
+        flat = sum(len(x) * x.itemsize for x in (self.link, self.length, self.at, self.ends, self.first, self.codes, self.targets))
+        return flat + self.pairs.nbytes + 160 * (len(self.ids) + len(self.at_window) + len(self.names) + len(self.short))
+
+    def step(self, state: int, c: int) -> int:
+        """The state after c; -1 where there is none."""
+        high = self.first[state + 1]
+        at = bisect_left(self.codes, c, self.first[state], high)
+        return self.targets[at] if at < high and self.codes[at] == c else -1
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -158,28 +196,31 @@ class Automaton:
         if len(codes) < self.shortest or not codes.any():
             return [], set()
         hits: list[tuple[int, int]] = []
-        items: set[int] = set()
-        window, nxt, link, length, short = self.window, self.next, self.link, self.length, self.short
+        windows: set[int] = set()
+        shorts: set[tuple[int, int]] = set()
+        window, step, link, length, short = self.window, self.step, self.link, self.length, self.short
         for low, high in self.stretches(codes):
             state, n = 0, 0
             for i, c in enumerate(codes[low:high].tolist(), low):
-                while state and c not in nxt[state]:
+                after = step(state, c)
+                while after < 0 and state:
                     state = link[state]
                     n = length[state]
-                if c in nxt[state]:
-                    state, n = nxt[state][c], n + 1
+                    after = step(state, c)
+                if after >= 0:
+                    state, n = after, n + 1
                 if n >= window:
+                    # A longer match may lie in a state above the window's: its links lead there.
                     hits.append((i - window + 1, i + 1))
-                    at = state
-                    while length[link[at]] >= window:
-                        at = link[at]
-                    items.update(self.at_window.get(at, ()))
-                if state in short:
-                    for size, item in short[state]:
+                    windows.add(self.at[state])
+                at = self.ends[state]
+                while at > 0:
+                    for size in short[at]:
                         if size <= n:
                             hits.append((i - size + 1, i + 1))
-                            items.add(item)
-        return hits, items
+                            shorts.add((at, size))
+                    at = self.ends[link[at]]
+        return hits, {x for s in windows for x in self.at_window.get(s, ())} | {x for s, size in shorts for x in short[s][size]}
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -192,21 +233,31 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, most: int = AUTOMATON_WORDS) -> list[Automaton]:
-    """The benchmark, a table of test items that a driver holds by its nature, as automata of bounded size."""
-    out, items, size = [], [], 0
+def automata(benchmark: DataFrame, window: int = WINDOW, most: int = AUTOMATON_WORDS) -> Iterator[Automaton]:
+    """The benchmark, a table of test items that a driver reads by its nature, as automata of bounded size, one after the other."""
+    items, size, made = [], 0, False
     for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         words = normal_words(row[1])
         if items and size + len(words) > most:
-            out.append(Automaton(items, window))
-            items, size = [], 0
+            yield Automaton(items, window)
+            items, size, made = [], 0, True
         items.append((row[0], words))
         size += len(words)
-    return [*out, Automaton(items, window)] if items or not out else out
+    if items or not made:
+        yield Automaton(items, window)
+
+
+def sent(spark: SparkSession, machine: Automaton):
+    """The automaton as a broadcast, its size checked in bytes."""
+    if machine.nbytes() > AUTOMATON_BYTES:
+        raise ValueError(f"an automaton of {machine.nbytes()} bytes; lower `most`, the words of one automaton")
+    return spark.sparkContext.broadcast(machine)
+
 
+def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = AUTOMATON_WORDS, name: str = "contamination", machines: Iterator[Automaton] | None = None) -> DataFrame:
+    """docs with the column name: n_words, n_hit, items (sorted) and spans (hit word ranges).
 
-def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = AUTOMATON_WORDS) -> DataFrame:
-    """docs with contamination: n_words, n_hit, items (sorted) and spans (hit word ranges)."""
+    With several automata the documents are staged between them, so that a worker holds one."""
     spark = docs.sparkSession
     ready(spark)
 
@@ -225,9 +276,11 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: i
 
         return F.arrow_udf(own, FOUND).asNondeterministic()  # else a filter on it would run it twice
 
-    out = docs.withColumn("contamination", F.lit(None).cast(FOUND))
-    for machine in automata(benchmark, window, most):
-        out = out.withColumn("contamination", step(spark.sparkContext.broadcast(machine))(F.col("text").cast("string"), "contamination"))
+    out = docs.select(*columns(docs, name), F.lit(None).cast(FOUND).alias(name))
+    for i, machine in enumerate(machines or automata(benchmark, window, most)):
+        if i:
+            out = stage(out, "contamination")
+        out = out.withColumn(name, step(sent(spark, machine))(F.col("text").cast("string"), F.col(f"`{name}`")))
     return out
 
 
@@ -246,28 +299,30 @@ def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_coverage: float = DROP_COVERAGE) -> DataFrame:
-    """docs without the spans that occur in the benchmark, and without documents that mostly do; columns as before."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_coverage: float = DROP_COVERAGE, most: int = AUTOMATON_WORDS) -> DataFrame:
+    """docs without the spans that occur in the benchmark, and without documents that mostly do; all columns as before."""
     spark = docs.sparkSession
     ready(spark)
-    machines = automata(benchmark, window)
+    made = automata(benchmark, window, most)
+    machines = list(islice(made, 2))
+    found_name, clean = unused(docs, "contamination", "clean")
     if len(machines) > 1:
-        found = matched(docs, benchmark, window)
-        spans = F.col("contamination.spans")
-        clean = F.arrow_udf(lambda texts, spans: _cut_all(texts.to_pylist(), spans.to_pylist(), drop_coverage), CLEAN).asNondeterministic()("text", spans)
-        out = found.withColumn("__clean", clean)
+        found = matched(docs, benchmark, window, most, found_name, chain(machines, made))
+        cut_ = F.arrow_udf(lambda texts, spans: _cut_all(texts.to_pylist(), spans.to_pylist(), drop_coverage), CLEAN).asNondeterministic()(F.col("text").cast("string"), F.col(f"{found_name}.spans"))
+        out = found.withColumn(clean, cut_)
     else:  # one pass: a task needs one Python worker
-        shared = spark.sparkContext.broadcast(machines[0])
+        shared = sent(spark, machines[0])
 
         def own(texts: pa.Array) -> pa.Array:
             texts = texts.to_pylist()
             return _cut_all(texts, [[{"low": a, "high": b} for a, b in union(shared.value.scan(normal_words(t))[0])] for t in texts], drop_coverage)
 
-        out = docs.withColumn("__clean", F.arrow_udf(own, CLEAN).asNondeterministic()(F.col("text").cast("string")))
-    kept, cut_ = out.where("__clean.keep"), F.col("__clean.text").isNotNull()
+        out = docs.withColumn(clean, F.arrow_udf(own, CLEAN).asNondeterministic()(F.col("text").cast("string")))
+    text, was_cut = F.col(f"{clean}.text"), F.col(f"{clean}.text").isNotNull()
+    new = {"text": F.when(was_cut, text).otherwise(F.col("text")).alias("text")}
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(cut_, F.length("__clean.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.withColumn("text", F.when(cut_, F.col("__clean.text")).otherwise(F.col("text"))).select(*docs.columns)
+        new["n_chars"] = F.when(was_cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    return out.where(f"{clean}.keep").select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 #: text is null where nothing was cut.

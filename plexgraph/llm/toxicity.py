@@ -18,7 +18,10 @@ that does, so their number is bounded by the sample as well.
 
 Edge cases: null and empty texts have no tokens and get the score of a text without segments; rows
 with a null id are scored but are never training data; labels with null are ignored; without labels
-of both classes all scores are 0; repeated rows get equal scores.
+of both classes all scores are 0; repeated rows and equal texts get equal scores; a text of any
+length is scanned once, in linear time, by one task; an empty table gives no rows; an input column
+named like the result column is replaced, and those of any other name are kept (without_toxic keeps
+all of them).
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ready, stage, table
+from ._shared import columns, drop_staged, ready, stage, table, unused
 from .encoding import Generations
 
 SAMPLE, MIN_DOCUMENTS, PRIOR, DRIFT = 40_000, 3, 10.0, 1.6
@@ -134,9 +137,12 @@ class Model:
 
 
 def maximal_segments(places: list[int], each: list[float], drift: float) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments, where tokens outside places score -drift and those at places each[i]."""
-    # Candidates as (low, high, first, end): the running total before and after each.
-    held: list[tuple[float, float, int, int]] = []
+    """All maximal scoring segments, where tokens outside places score -drift and those at places each[i].
+
+    Linear: every held candidate knows the nearest one before it with a lower total, and what lies
+    between the two is never looked at again."""
+    # Candidates as (low, high, first, end, earlier): the running total before and after each.
+    held: list[tuple[float, float, int, int, int]] = []
     total, before = 0.0, -1
     for i in places:
         low = total - drift * (i - before - 1)
@@ -146,13 +152,13 @@ def maximal_segments(places: list[int], each: list[float], drift: float) -> list
         while True:
             j = len(held) - 1
             while j >= 0 and held[j][0] >= low:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][1] >= high:
-                held.append((low, high, first, i + 1))
+                held.append((low, high, first, i + 1, j))
                 break
             low, first = held[j][0], held[j][2]
             del held[j:]
-    return [(b - a, f, e) for a, b, f, e in held]
+    return [(b - a, f, e) for a, b, f, e, _ in held]
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_documents: int = MIN_DOCUMENTS) -> Model:
@@ -206,14 +212,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_document
 
     model.calibrate([(r.toxic, r.n, r.scores) for r in read.where("check").select("toxic", "text").mapInArrow(segments, "toxic int, n long, scores array<double>").collect()])
     shared.unpersist()
+    drop_staged(counted)
     return model
 
 
 FOUND = "struct<score:double,passages:array<struct<score:double,low:int,high:int>>>"
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with toxicity: score (0 to 1) and passages (significant segments as token ranges)."""
+def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """docs with the column name: score (0 to 1) and passages (significant segments as token ranges)."""
     spark = docs.sparkSession
     ready(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -227,12 +234,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             rows.append({"score": machine.probability(n, found), "passages": good})
         return pa.array(rows, pa.struct([("score", pa.float64()), ("passages", pa.list_(pa.struct([("score", pa.float64()), ("low", pa.int32()), ("high", pa.int32())])))]))
 
-    return docs.withColumn("toxicity", F.arrow_udf(own, FOUND)(F.col("text").cast("string")))
+    return docs.select(*columns(docs, name), F.arrow_udf(own, FOUND)(F.col("text").cast("string")).alias(name))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that score at least threshold."""
-    return scored(docs, learn(docs, labels)).where(F.col("toxicity.score") < threshold).select(*docs.columns)
+    """docs without those that score at least threshold; all columns as they were."""
+    (name,) = unused(docs, "toxicity")
+    return scored(docs, learn(docs, labels), name).where(F.col(f"{name}.score") < threshold).select(*columns(docs))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

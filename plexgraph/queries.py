@@ -116,9 +116,10 @@ def scope_counts(t):
     return G.counts(B.entities(t), B.relations(t), ["ASIA", "EUROPE"])
 
 
-@query(GRAPH + ", ends AS (SELECT collection, source AS name FROM relations UNION SELECT collection, target FROM relations) SELECT collection, name FROM entities EXCEPT SELECT collection, name FROM ends")
+@query(GRAPH + ", ends AS (SELECT collection, source AS name FROM relations WHERE predicate <> 'LOCATED_IN' UNION SELECT collection, target FROM relations WHERE predicate <> 'LOCATED_IN') SELECT collection, name FROM entities EXCEPT SELECT collection, name FROM ends")
 def isolated_entities(t):
-    return G.isolated(B.entities(t), B.relations(t))
+    """Of the graph of trade alone, in which nations and parts that nobody ordered or sold stand by themselves."""
+    return G.isolated(B.entities(t), B.relations(t).where("predicate <> 'LOCATED_IN'"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -345,12 +346,12 @@ def reconcile_pair_dedup(t):
 
 @query(
     f"WITH {GEO} SELECT collection, c_name AS entity_name, count(*) AS n_candidates, array_to_string(list(o_orderpriority ORDER BY 'order_' || o_orderkey), '|') AS candidates "
-    "FROM orders JOIN customer ON o_custkey = c_custkey JOIN geo ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) >= 12"
+    "FROM orders JOIN customer ON o_custkey = c_custkey JOIN geo ON c_nationkey = n_nationkey GROUP BY 1, 2 HAVING count(*) >= 2"
 )
 def desc_candidates_min(t):
     items = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(B.geography(t)), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = items.select("collection", F.col("c_name").alias("entity_name"), F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("source_doc"), F.col("o_orderpriority").alias("description"))
-    return extract.desc_candidates(rows, 12).withColumn("candidates", F.array_join("candidates", "|"))
+    return extract.desc_candidates(rows).withColumn("candidates", F.array_join("candidates", "|"))
 
 
 # Communities and reports
@@ -390,9 +391,19 @@ def communities_leiden(t):
     return C.detect(B.entities(t), B.relations(t)).select("collection", "community_id", "level", "parent_community_id", "size")
 
 
-@query()
+REPORTED = f"""{SIDED}, n AS (SELECT *, row_number() OVER (PARTITION BY collection, community_id, side ORDER BY source, predicate, target, valid_from) AS nth FROM sided),
+line AS (SELECT collection, community_id, side, source || ' -[' || predicate || ']-> ' || target || ' ' || valid_from AS x FROM n WHERE side = 'inner' OR nth <= 20),
+told AS (SELECT collection, community_id, coalesce(string_agg(x, chr(10) ORDER BY x) FILTER (WHERE side = 'inner'), '') AS i, coalesce(string_agg(x, chr(10) ORDER BY x) FILTER (WHERE side = 'outer'), '') AS o FROM line GROUP BY 1, 2),
+people AS (SELECT m.collection, community_id, string_agg(concat_ws(': ', m.name, e.description), chr(10) ORDER BY concat_ws(': ', m.name, e.description)) AS m FROM member m LEFT JOIN entities e ON e.collection = m.collection AND e.name = m.name GROUP BY 1, 2),
+leaf AS (SELECT collection, community_id, 1 AS level, concat_ws(chr(10), 'Report on these members:', m, 'Relations:', i, 'Beyond:', o, 'Source:', '') AS p, substr(sha256(concat_ws(chr(31), m, i, o, '')), 1, 16) AS content_signature FROM people JOIN told USING (collection, community_id)),
+low AS (SELECT *, length(p) || ' characters' AS title, length(p) - length(replace(p, chr(10), '')) || ' lines' AS summary FROM leaf),
+top AS (SELECT collection, 'all ' || collection AS community_id, 0 AS level, concat_ws(chr(10), 'Report on these reports:', string_agg(title || chr(10) || summary, chr(10) || chr(10) ORDER BY title || chr(10) || summary), 'Source:', '') AS p, substr(sha256(concat_ws(chr(31), string_agg(content_signature, '|' ORDER BY content_signature), '')), 1, 16) AS content_signature FROM low GROUP BY collection),
+both_ AS (SELECT collection, community_id, level, p, content_signature FROM leaf UNION ALL SELECT * FROM top)"""
+
+
+@query(GRAPH + f", {REPORTED} SELECT collection, community_id, level, length(p) || ' characters' AS title, length(p) - length(replace(p, chr(10), '')) || ' lines' AS summary, CAST(7 AS DOUBLE) AS rating, content_signature FROM both_")
 def reports_bottom_up(t):
-    """Rows only: reports by a scripted model, from the nations up to their regions."""
+    """Reports by a scripted model that tells its prompt's size, from the nations up to their regions."""
     low = _nation_communities(t).withColumn("level", F.lit(1)).withColumn("parent_community_id", F.concat(F.lit("all "), "collection"))
     high = low.groupBy("collection", F.col("parent_community_id").alias("community_id")).agg(F.array_sort(F.flatten(F.collect_list("entity_names"))).alias("entity_names")).withColumn("level", F.lit(0)).withColumn("parent_community_id", F.lit(None).cast("string"))
     from .schema import REPORTS
@@ -488,9 +499,9 @@ def entity_contexts(t):
     return G.contexts(B.entities(t), B.relations(t)).withColumn("lines", F.array_join("lines", "\n"))
 
 
-@query()
+@query(f"WITH {GEO}, p AS (SELECT collection, c_name, c_custkey, c_nationkey, max(c_custkey) OVER (PARTITION BY c_nationkey) AS last FROM customer JOIN geo ON c_nationkey = n_nationkey) SELECT p.collection, p.c_name AS \"drop\", c.c_name AS keep FROM p JOIN customer c ON c.c_custkey = p.last WHERE p.c_custkey <> p.last")
 def coref_fold(t):
-    """Rows only: which entities a person's aliases absorb, with chains followed to their end."""
+    """Which entities a person's aliases absorb, with chains followed to their end: each customer's alias is the one before in its nation."""
     geo = F.broadcast(B.geography(t))
     people = t.customer.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
     before = F.lag("c_name").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))

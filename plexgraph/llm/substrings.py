@@ -17,8 +17,14 @@ hence have anchors at the same offset, and those anchors' suffixes begin with th
    ever different surroundings) would gather in one task; its windows' 128-bit hashes are counted instead,
    over all partitions.
 
-Edge cases: a null text is empty; texts shorter than `width` lose nothing; repeated rows count as
-occurrences of each other; null ids are ordinary; an empty table gives no rows.
+A gram, class or text that a third of all rows share is dealt to several tasks in every join.  What is
+gathered for one text (its anchors, its spans) is bounded by its length.
+
+Edge cases: a null text is empty; texts shorter than `width` lose nothing; a very long text is searched
+in overlapping parts and put together by one task; repeated rows and equal texts count as occurrences
+of each other, so nothing depends on an order among ties; null ids are ordinary; an empty table gives
+no rows; an input column named like the result column is replaced, all others are kept, and
+without_repeats keeps every column.
 """
 
 from __future__ import annotations
@@ -30,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ready, stage, staged_path, table
+from ._shared import columns, drop_staged, hot_keys, ready, spread_join, stage, table, unused
 
 WIDTH, GRAM = 200, 32
 #: Classes of one gram that a bucket of the suffix array sorts at once (about 30 MB of bytes); the
 #: windows of larger groups are counted.
 GROUP_CLASSES = 1 << 16
+#: Rows of one gram or class that a join gives to one task at least.
+HOT_ROWS = 1 << 12
 #: Bytes of several short texts, or of a part of a long one, that are searched for anchors at once.
 BLOCK = 1 << 18
 ANCHORS = "doc_id long, doc_key long, pos long, reach_left int, reach_right int, gram long, around long"
@@ -275,19 +283,21 @@ def window_spans(suffixes: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     return own.join(twice, ["h1", "h2"], "left_semi").select("doc_id", "doc_key", "low", (F.col("low") + width).alias("high"))
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_classes: int = GROUP_CLASSES) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_classes: int = GROUP_CLASSES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, doc_key and spans: byte ranges, in any order, that cover exactly the bytes to remove."""
-    found_path = staged_path(docs.sparkSession, "anchors")
-    find_anchors(docs, width, gram).write.option("compression", "zstd").parquet(found_path)
-    found = docs.sparkSession.read.schema(ANCHORS).parquet(found_path)
-    common = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    kept = stage(found.join(common, "gram", "left_semi"), "repeated-anchors")
-    _drop(docs.sparkSession, found_path)
+    spark = docs.sparkSession
+    found = stage(find_anchors(docs, width, gram), "anchors")
+    gram_ = F.col("gram")
+    counts = stage(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
+    kept = stage(spread_join(found, counts.select("gram"), ["gram"], gram_, hot_keys(counts, gram_, found.count(), hot_rows), "left_semi"), "repeated-anchors")
+    drop_staged(found)
+    drop_staged(counts)
     classes = stage(kept.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "doc_key", "pos", "reach_left", "reach_right")).alias("one")), "classes")
-    whole = kept.join(classes.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").where(F.col("reach_left") + F.col("reach_right") >= width)
+    twice, both = classes.where("n > 1"), F.xxhash64("gram", "around")
+    whole = spread_join(kept, twice.select("gram", "around"), ["gram", "around"], both, hot_keys(twice, both, kept.count(), hot_rows), "left_semi").where(F.col("reach_left") + F.col("reach_right") >= width)
     whole = whole.select("doc_id", "doc_key", (F.col("pos") - F.col("reach_left")).alias("low"), (F.col("pos") + F.col("reach_right")).alias("high"))
-    many = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    ones = classes.join(many, "gram").select("one.*", (F.col("classes") > group_classes).alias("large"))
+    many = stage(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "classes-of-grams")
+    ones = spread_join(classes.select("gram", "one"), many, ["gram"], gram_, hot_keys(many, gram_, classes.count(), hot_rows), "inner").select("one.*", (F.col("n") > group_classes).alias("large"))
     wanted = ones.groupBy(F.col("doc_id").alias("d"), F.col("doc_key").alias("k")).agg(F.collect_list(F.struct("pos", "reach_left", "reach_right", "large")).alias("places"))
     texts = docs.select(F.col("doc_id").cast("long"), doc_key().alias("doc_key"), F.col("text").cast("string").cast("binary").alias("data"))
     joined = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_key") == F.col("k")))
@@ -310,13 +320,6 @@ def _surroundings(joined: DataFrame) -> DataFrame:
     return joined.select("doc_id", "doc_key", "data", "places").mapInArrow(cut, "doc_id long, doc_key long, pos long, large boolean, suffix binary, prefix binary")
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    """Delete a staged table that nothing reads any more, by the store's own file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for low, high in sorted(spans):
@@ -331,12 +334,13 @@ REST = "struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>"
 
 
 def _rest(docs: DataFrame, name: str, own, kind: str, width: int, gram: int, group_classes: int) -> DataFrame:
-    """docs with a column made of a text's bytes and of the spans to remove."""
-    spans = repeated_spans(docs, width, gram, group_classes).select(F.col("doc_id").alias("__d"), F.col("doc_key").alias("__k"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__key", doc_key())
-    met = keyed.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
-    made = F.arrow_udf(own, kind).asNondeterministic()(F.col("text").cast("string").cast("binary"), "__spans")  # else a use of two fields would run it twice
-    return met.select(*[keyed[f"`{c}`"] for c in docs.columns if c.lower() != name], made.alias(name))
+    """docs with a column made of a text's bytes and of the spans to remove, instead of any of that name."""
+    d, k, found, key = unused(docs, "__d", "__k", "__spans", "__key")
+    spans = repeated_spans(docs, width, gram, group_classes).select(F.col("doc_id").alias(d), F.col("doc_key").alias(k), F.col("spans").alias(found))
+    keyed = docs.withColumn(key, doc_key())
+    met = keyed.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(key) == F.col(k)), "left")
+    made = F.arrow_udf(own, kind).asNondeterministic()(F.col("text").cast("string").cast("binary"), F.col(found))  # else a use of two fields would run it twice
+    return met.select(*columns(docs, name), made.alias(name))
 
 
 def _kept(data: bytes, spans: list[dict] | None) -> tuple[list[tuple[int, int]], bytes]:
@@ -372,11 +376,12 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group
         """The new text; null where nothing goes."""
         return pa.array([_kept(text.as_py() or b"", found)[1].decode("utf-8", "ignore") if found else None for text, found in zip(texts, spans.to_pylist(), strict=True)], pa.string())
 
-    found = _rest(docs, "__text", own, "string", width, gram, group_classes)
-    out = found.withColumn("text", F.coalesce("__text", "text"))
+    (name,) = unused(docs, "__text")
+    new, was_cut = F.col(name), F.col(name).isNotNull()
+    given = {"text": F.coalesce(new, "text").alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__text").isNotNull(), F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        given["n_chars"] = F.when(was_cut, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    return _rest(docs, name, own, "string", width, gram, group_classes).select(*[given.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,24 +4,30 @@ Pages of one host are aligned: the block structure of each page is merged into i
 simple tree matching (the largest order-preserving matching of equal labels, level by level), and
 every template node counts the pages that have it.  Then each page is aligned with its host's template,
 and the pages of each text at each node are counted.  Nodes whose text most pages
-share are template; nodes whose text varies are slots.  A page is then aligned with its host's
-template: of its article (or, without one, of the template's node that holds most of the varying
-text) the blocks in slots are the content.
+share are template; nodes whose text varies are slots.  The template's region of content is its node
+that holds most of the varying text, with the article around it, or else with the nearest varying main
+heading; a page's content are the blocks in slots of that region.
 
 What a template cannot tell is read from the markup: elements that by their name, role or class are
-menus, headers, footers, sidebars, notices, adverts, forms or reader comments are never content, even
-where their text varies.  Only whole tokens of a class or id tell, and what holds the page's main (or,
-without one, all its articles) is never left out.  Where most of an article is constant, the pages are copies of each other and
-all of it is content.
+menus, headers, footers, sidebars, notices, adverts, forms or reader comments are aligned like all
+others, but are never content, even where their text varies.  Only whole tokens of a class or id tell,
+and what holds the page's main (or, without one, all its articles) is never left out.  Where most of
+the region is constant, the pages are copies of each other and all of it is content.  On a host of
+fewer than MIN_PAGES pages, where nothing can be told from the others, and on a page that lacks its
+template's region, the articles (or mains) of the page itself are the region.
 
 Templates are merged in three steps (task, host and part, host), each of which holds one host's
 template at a time.  The pages of (host, node, text) are counted exactly, by a grouping that is partial
-in each task first; a template keeps the texts that most pages share.
+in each task first; a template keeps the texts that most pages share.  Repeated parts of a page (runs
+of up to four labels) are one node, so a tree is as wide as its page is varied, and all walks over
+trees use stacks of their own, so depth is no limit.  Pages are parsed in every one of the three
+passes: storing parsed trees would take more disk than the pages.
 
 Edge cases: a null or empty html gives an empty text; a null URL belongs to the host ''; a host with
 fewer than MIN_PAGES pages has no constant nodes; unclosed and stray tags are closed or ignored as
-browsers do; repeated rows are extracted alike; an input column named like a result column is
-replaced.
+browsers do; of alignments of equal weight the one that skips the template's nodes first is taken; a
+very long or deep page is held by one task; repeated rows are extracted alike; an empty table gives no
+rows; an input column named like the result column (text) is replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ready, stage, table
+from ._shared import columns, drop_staged, ready, stage, table
 from .url_filter import split_url
 
 MIN_PAGES, CONSTANT, COPIES = 5, 0.5, 0.5
@@ -63,41 +69,43 @@ ENDS_P = BLOCK - {"body", "caption", "dd", "dt", "head", "html", "legend", "li",
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = {"td", "th", "caption", "html", "button", "object", "template"}
 #: Names of elements, roles and classes that mark what is not an article.
-NEVER = {"aside", "audio", "button", "canvas", "datalist", "dialog", "embed", "footer", "form", "head", "iframe", "input", "map", "menu", "nav", "noscript", "object", "search", "select", "svg", "template", "video"} | RAW
+NEVER = {"aside", "button", "dialog", "footer", "form", "menu", "nav", "search"}
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "disqus", "footer", "gdpr", "header", "login",
     "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "share", "sharing", "sidebar", "sidenav",
     "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget",
 }
-#: Of these, browsers show nothing.
+#: Of these, browsers show nothing that is read as text; of the first, not even an article inside.
 INERT = {"template", "noscript"}
+UNSEEN = {"audio", "canvas", "datalist", "embed", "head", "iframe", "input", "map", "noscript", "object", "select", "svg", "template", "video"} | RAW
+#: Labels that a repeated part of a page has at most.
+PERIOD = 4
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Block:
-    """A block element, or a run of text between blocks (label "#")."""
+    """A block element, or a run of text between blocks (label "#"); aside tells what by its markup is no content."""
 
-    __slots__ = ("kids", "label", "links", "tag", "text")
+    __slots__ = ("aside", "kids", "label", "links", "tag", "text")
 
-    def __init__(self, tag: str, label: str):
-        self.tag, self.label, self.kids, self.text, self.links = tag, label, [], "", 0
+    def __init__(self, tag: str, label: str, aside: bool = False):
+        self.tag, self.label, self.kids, self.text, self.links, self.aside = tag, label, [], "", 0, aside
 
 
-def _never(tag: str, said: dict[str, str], inside_article: bool) -> bool:
+def _never(tag: str, said: dict[str, str], inside_article: bool) -> int:
+    """2: not shown as text; 1: shown, but no content by its markup; 0: neither."""
+    if said and tag not in ("html", "body") and (("style" in said and _hidden(said["style"])) or said.get("aria-hidden") == "true"):
+        return 2
     if tag in NEVER or (tag == "header" and not inside_article):
-        return True
-    if not said:
-        return False
-    if tag in ("html", "body"):
-        return False
-    if ("style" in said and _hidden(said["style"])) or said.get("aria-hidden") == "true":
-        return True
+        return 1
+    if not said or tag in ("html", "body"):
+        return 0
     if said.get("role", "").lower() in ROLES:
-        return True
+        return 1
     if tag in ("article", "main"):
-        return False
-    return not MARKS.isdisjoint(f"{said.get('class', '')} {said.get('id', '')}".lower().split())
+        return 0
+    return 0 if MARKS.isdisjoint(f"{said.get('class', '')} {said.get('id', '')}".lower().split()) else 1
 
 
 def _hidden(style: str) -> bool:
@@ -113,7 +121,7 @@ def _hidden(style: str) -> bool:
 
 
 def parse(source: str | None) -> Block:
-    """The page's tree of blocks, without what can never be content."""
+    """The page's tree of blocks, without what is never shown as text."""
     root, found = _parse(source or "", frozenset())
     chosen = [x for x in found if x[0] == "main"] or found
     if chosen and all(mute for _, _, mute in chosen):
@@ -142,13 +150,13 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Block, list[tuple[str,
             held.clear()
             if text:
                 run = Block("#", "#")
-                run.text, run.links = text, min(links, len(text))
+                run.text, run.links, run.aside = text, min(links, len(text)), open_[-1][1].aside
                 open_[-1][1].kids.append(run)
         links = 0
 
     def close(n: int) -> None:
         for tag, _, mute, *_ in open_[n:]:
-            if tag in BLOCK and not mute:
+            if tag in BLOCK and mute < 2:
                 flush()
                 break
         del open_[n:]
@@ -161,7 +169,7 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Block, list[tuple[str,
             low = source.find("<", low + 1)
         if low < 0:
             m, low = None, end
-        if low > at and not open_[-1][2]:
+        if low > at and open_[-1][2] < 2:
             some = source[at:low]
             if "&" in some:
                 some = entities.unescape(some)
@@ -189,7 +197,7 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Block, list[tuple[str,
             if tag == "br" or tag == "hr":
                 if tag == "hr":
                     flush()
-                held.append(" ") if not open_[-1][2] else None
+                held.append(" ") if open_[-1][2] < 2 else None
             continue
         if tag in ENDS_P:
             for i in range(len(open_) - 1, 0, -1):
@@ -211,8 +219,11 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Block, list[tuple[str,
             found.append((tag, frozenset(x[4] for x in open_[1:]), mute))
         body = m[3] or ""
         said = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(body)} if "=" in body else {}
-        mute = 1 if mute or tag in INERT or (low not in spared and _never(tag, said, article)) else 0
-        if not mute and article and tag != "header" and any(t == "header" for t, *_ in open_) and tag in BLOCK and tag not in HEADINGS and tag not in ("div", "section", "hgroup"):
+        # 2: not shown as text; 1: shown, but no content. What is left out inside a line is not aligned.
+        mute = max(mute, 2 if tag in INERT else 0 if low in spared else 2 if tag in UNSEEN else _never(tag, said, article))
+        if mute == 1 and tag not in BLOCK and not open_[-1][2]:
+            mute = 2
+        if not mute and article and tag != "header" and tag in BLOCK and tag not in HEADINGS and tag not in ("div", "section", "hgroup") and any(x[0] == "header" for x in open_):
             mute = 1  # of an article's own header, its headings stay
         if tag in RAW:
             stop = RAW_END[tag].search(source, at)
@@ -220,13 +231,14 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Block, list[tuple[str,
             continue
         if tag == "a":
             link += 1
-        if tag in ("td", "th") and not mute:
+        if tag in ("td", "th") and mute < 2:
             held.append(" ")
         if tag in BLOCK:
-            if not open_[-1][2]:
+            if open_[-1][2] < 2:
                 flush()
-            if not mute:
-                own = Block(tag, tag + "".join(sorted("." + x for x in set(NAME_PARTS.findall(said.get("class", "").lower())))))
+            if mute < 2:
+                kinds = "".join(sorted("." + x for x in set(NAME_PARTS.findall(said.get("class", "").lower()))))
+                own = Block(tag, ("!" if mute else "") + tag + kinds, mute > 0)
                 into.kids.append(own)
                 into = own
         if body.endswith("/") and tag not in BLOCK:
@@ -242,176 +254,269 @@ def _node(label: str) -> list:
 
 
 def _mark(text: str) -> int:
+    """A text by its length and hash."""
     return min(len(text), 0x7FFFFFFF) << 32 | crc32(text.encode("utf-8", "replace"))
 
 
-def _numbered(node: list) -> Iterator[list]:
-    """A template's nodes in a fixed order."""
-    yield node
-    for kid in node[5]:
-        yield from _numbered(kid)
+def _numbered(node: list) -> list[list]:
+    """A template's nodes, each before its kids."""
+    out, rest = [], [node]
+    while rest:
+        out.append(rest.pop())
+        rest += reversed(out[-1][5])
+    return out
 
 
-def of_page(block: Block) -> list:
-    """A page's tree as a template of one page; neighbours of one label are one repeated node."""
-    out = _node(block.label)
-    out[1], out[2], out[3] = 1, len(block.text), block.links
-    for kid in block.kids:
-        own = of_page(kid)
-        if out[5] and out[5][-1][0] == own[0]:
-            merge(out[5][-1], own, pages=0)
-        else:
-            out[5].append(own)
-    return out
+def repeats(labels: list[str]) -> list[list[int]]:
+    """The places of equal parts of a row of labels: neighbours of one label, or of up to PERIOD labels, share their slots."""
+    if len(set(labels)) == len(labels):
+        return [[i] for i in range(len(labels))]
+    names: list[str] = []
+    slots: list[list[int]] = []
+    for i, label in enumerate(labels):
+        if names and names[-1] == label:
+            slots[-1].append(i)
+            continue
+        names.append(label)
+        slots.append([i])
+        n = 2
+        while n <= PERIOD and 2 * n <= len(names):
+            if names[-1 - n] == names[-1] and names[-n:] == names[-2 * n : -n]:
+                for into, own in zip(slots[-2 * n : -n], slots[-n:], strict=True):
+                    into += own
+                del names[-n:], slots[-n:]
+                n = 1
+            n += 1
+    return slots
 
 
-def match(a: list, b: list) -> int:
-    """Simple tree matching: nodes in the largest order-preserving matching of two trees."""
-    if a[0] != b[0]:
-        return 0
-    return 1 + sum(match(a[5][i], b[5][j]) for i, j in align(a[5], b[5]))
+def of_page(block: Block) -> list:
+    """A page's tree as a template of one page; repeated parts are one node."""
+    order, rest = [], [(block, None)]
+    while rest:
+        own, holder = rest.pop()
+        node = _node(own.label)
+        node[1], node[2], node[3] = 1, len(own.text), own.links
+        order.append(node)
+        if holder:
+            holder[5].append(node)
+        rest += [(kid, node) for kid in reversed(own.kids)]
+    for node in reversed(order):
+        if len(node[5]) > 1 and len({k[0] for k in node[5]}) < len(node[5]):
+            _work([("fold", node, None)], 0)
+    return order[0]
+
+
+def merge(into: list, other: list) -> list:
+    """Merge a tree into a template of the same label."""
+    _work([("merge", into, other)], None)
+    return into
 
 
-def align(a: list[list], b: list[list]) -> list[tuple[int, int]]:
-    """Pairs of the heaviest order-preserving matching of two lists of nodes."""
-    if len(a) == len(b) and all(x[0] == y[0] for x, y in zip(a, b, strict=True)):
-        return [(i, i) for i in range(len(a))]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    w = [[match(x, y) for y in b] for x in a]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + w[i][j] if w[i][j] else 0)
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if w[i][j] and best[i][j] == best[i + 1][j + 1] + w[i][j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return out
+def _work(work: list[tuple], pages: int | None) -> None:
+    """Merge and fold what is on the stack; parts of one page (pages 0) are folded again after their kids' merges."""
+    known: dict[tuple[int, int], int] = {}
+    while work:
+        what, a, b = work.pop()
+        if what == "fold":
+            slots = repeats([k[0] for k in a[5]])
+            if len(slots) < len(a[5]):
+                kids, a[5] = a[5], [a[5][x[0]] for x in slots]
+                work += [("merge", kids[x[0]], kids[y]) for x in slots for y in reversed(x[1:])]
+            continue
+        a[1] += b[1] if pages is None else pages
+        a[2] += b[2]
+        a[3] += b[3]
+        if not b[5]:
+            continue
+        if pages == 0:
+            work.append(("fold", a, None))
+        kids, i, j = [], 0, 0
+        for x, y in [*align(a[5], b[5], known), (len(a[5]), len(b[5]))]:
+            kids += a[5][i:x] + b[5][j:y]
+            if x < len(a[5]):
+                kids.append(a[5][x])
+                work.append(("merge", a[5][x], b[5][y]))
+            i, j = x + 1, y + 1
+        a[5] = kids
 
 
-def merge(into: list, other: list, pages: int | None = None) -> list:
-    """Merge a tree into a template of the same label."""
-    into[1] += other[1] if pages is None else pages
-    into[2] += other[2]
-    into[3] += other[3]
-    pairs = align(into[5], other[5])
-    kids, i, j = [], 0, 0
-    for x, y in [*pairs, (len(into[5]), len(other[5]))]:
-        kids += into[5][i:x] + other[5][j:y]
-        if x < len(into[5]):
-            kids.append(merge(into[5][x], other[5][y], pages))
-        i, j = x + 1, y + 1
-    if pages == 0:  # repeated parts of one page: fold what became neighbours
-        folded: list[list] = []
-        for kid in kids:
-            if folded and folded[-1][0] == kid[0]:
-                merge(folded[-1], kid, 0)
-            else:
-                folded.append(kid)
-        kids = folded
-    into[5] = kids
-    return into
+def _same(a: list[list], b: list[list]) -> bool:
+    return len(a) == len(b) and all(x[0] == y[0] for x, y in zip(a, b, strict=True))
 
 
-def varying(node: list, total: int) -> int:
-    """Chars of a template's node and below that are neither links nor shared by most pages."""
-    most = max(node[4].values(), default=0)
-    own = 0 if total >= MIN_PAGES and most >= CONSTANT * total else node[2] - node[3]
-    return own + sum(varying(k, total) for k in node[5])
+def match(a: list, b: list, known: dict[tuple[int, int], int] | None = None) -> int:
+    """Simple tree matching: nodes in the largest order-preserving matching of two trees."""
+    known = {} if known is None else known
+    work = [(a, b)]
+    while work:
+        x, y = work[-1]
+        if (id(x), id(y)) in known:
+            work.pop()
+            continue
+        if x[0] != y[0]:
+            known[id(x), id(y)] = 0
+            work.pop()
+            continue
+        pairs = zip(x[5], y[5], strict=True) if _same(x[5], y[5]) else ((p, q) for p in x[5] for q in y[5] if p[0] == q[0])
+        lack = [(p, q) for p, q in pairs if (id(p), id(q)) not in known]
+        plain = [(p, q) for p, q in lack if not p[5] or not q[5]]
+        known.update(((id(p), id(q)), 1) for p, q in plain)
+        if len(plain) < len(lack):
+            work += [(p, q) for p, q in lack if p[5] and q[5]]
+            continue
+        known[id(x), id(y)] = 1 + sum(known[id(x[5][i]), id(y[5][j])] for i, j in align(x[5], y[5], known))
+        work.pop()
+    return known[id(a), id(b)]
 
 
-def content_path(template: list) -> list[str]:
-    """Labels from the root to the deepest node that holds most of the varying text."""
-    total, path, node = template[1], [], template
-    whole = varying(template, total)
+def align(a: list[list], b: list[list], known: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """Pairs of the heaviest order-preserving matching of two lists of nodes, equal ends apart."""
+    if _same(a, b):
+        return [(i, i) for i in range(len(a))]
+    low = 0
+    while low < min(len(a), len(b)) and a[low][0] == b[low][0]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high][0] == b[-1 - high][0]:
+        high += 1
+    out = [(i, i) for i in range(low)]
+    x, y = a[low : len(a) - high], b[low : len(b) - high]
+    if x and y:
+        places: dict[str, list[int]] = {}
+        for j, q in enumerate(y):
+            places.setdefault(q[0], []).append(j)
+        best = [[0] * (len(y) + 1)]
+        weights: list[dict[int, int]] = []
+        for p in reversed(x):
+            own = {j: match(p, y[j], known) if p[5] and y[j][5] else 1 for j in places.get(p[0], ())}
+            weights.append(own)
+            under = best[-1]
+            if not own:
+                best.append(under)
+                continue
+            row = under[:]
+            for j in range(len(y) - 1, -1, -1):
+                top = row[j + 1] if row[j + 1] > under[j] else under[j]
+                if j in own and under[j + 1] + own[j] > top:
+                    top = under[j + 1] + own[j]
+                row[j] = top
+            best.append(row)
+        best.reverse()
+        weights.reverse()
+        i = j = 0
+        while i < len(x) and j < len(y):
+            if j in weights[i] and best[i][j] == best[i + 1][j + 1] + weights[i][j]:
+                out.append((low + i, low + j))
+                i, j = i + 1, j + 1
+            elif best[i][j] == best[i + 1][j]:
+                i += 1
+            else:
+                j += 1
+    return out + [(len(a) - n, len(b) - n) for n in range(high, 0, -1)]
+
+
+def region(template: list) -> list | None:
+    """The template's node that holds most of the varying text; None where none varies."""
+    total = template[1]
+    order = _numbered(template)
+    varies: dict[int, int] = {}  # chars of a node and below that are neither links nor aside nor of texts that most pages share
+    heading: set[int] = set()  # nodes that have a varying main heading
+    for node in reversed(order):
+        shared = sum((int(mark) >> 32) * n for mark, n in node[4].items() if n >= CONSTANT * total) if total >= MIN_PAGES else 0
+        own = 0 if node[0][0] == "!" else max(0, node[2] - node[3] - shared) + sum(varies[id(k)] for k in node[5])
+        varies[id(node)] = own
+        if own and (node[0].split(".")[0] == "h1" or any(id(k) in heading for k in node[5])):
+            heading.add(id(node))
+    whole, path = varies[id(template)], [template]
+    if not whole:
+        return None
     while True:
-        good = [(varying(k, total), k) for k in node[5] if k[0] != "#"]
-        top, kid = max(good, key=lambda x: x[0], default=(0, None))
-        if kid is None or 2 * top <= whole or kid[1] < CONSTANT * node[1] or kid[0].split(".")[0] in ("p", "li", "tr", "td", "pre", "blockquote", *HEADINGS):
-            return path
-        path.append(kid[0])
-        node = kid
+        kid = max((k for k in path[-1][5] if k[0] != "#"), key=lambda k: varies[id(k)], default=None)
+        if kid is None or 2 * varies[id(kid)] <= whole or kid[1] < CONSTANT * path[-1][1] or kid[0].split(".")[0] in ("p", "li", "tr", "td", "pre", "blockquote", *HEADINGS):
+            break
+        path.append(kid)
+    held = next((x for x in path if x[0].split(".")[0] == "article"), None)
+    return held or next((x for x in reversed(path) if id(x) in heading), path[-1])
 
 
 def _articles(block: Block) -> list[Block]:
-    out, rest = [], [block]
-    while rest:
-        b = rest.pop()
-        if b.tag == "article":
-            out.append(b)
-        else:
-            rest += reversed(b.kids)
-    if out:
-        return out
-    rest = [block]
-    while rest:
-        b = rest.pop()
-        if b.tag == "main":
-            out.append(b)
-        else:
-            rest += reversed(b.kids)
-    return out
+    for tag in ("article", "main"):
+        out, rest = [], [block]
+        while rest:
+            b = rest.pop()
+            if b.tag == tag and not b.aside:
+                out.append(b)
+            else:
+                rest += reversed(b.kids)
+        if out:
+            return out
+    return []
 
 
 def _runs(block: Block, node: list | None) -> Iterator[tuple[Block, list | None]]:
-    """Every run of text below block, with the template node that it aligns with."""
-    if block.text:
+    """Every block below block and itself, in page order, with the template node that it aligns with."""
+    rest: list[tuple[Block, list | None]] = [(block, node)]
+    while rest:
+        block, node = rest.pop()
         yield block, node
-    if not block.kids:
-        return
-    mates: dict[str, list[list]] = {}
-    for kid in node[5] if node else ():
-        mates.setdefault(kid[0], []).append(kid)
-    groups: list[list] = []
-    for kid in block.kids:
-        if groups and groups[-1][0] == kid.label:
-            groups[-1][5].append(kid)
+        if not block.kids:
+            continue
+        if not node or not node[5]:
+            rest += [(k, None) for k in reversed(block.kids)]
+            continue
+        have, labels = node[5], [k.label for k in block.kids]
+        mates: list[list | None] = [None] * len(labels)
+        slots = repeats(labels)
+        if len(slots) == len(have) and all(labels[x[0]] == k[0] for x, k in zip(slots, have, strict=True)):
+            pairs = enumerate(range(len(slots)))
         else:
-            groups.append([kid.label, 0, 0, 0, {}, [kid]])
-    have = node[5] if node else []
-    mate = dict.fromkeys(range(len(groups)))
-    if [g[0] for g in groups] == [k[0] for k in have]:
-        mate = dict(enumerate(have))
-    elif have:
-        plain = [[g[0], 0, 0, 0, {}, []] for g in groups]
-        for i, j in align([[k[0], 0, 0, 0, {}, []] for k in have], plain):
-            mate[j] = have[i]
-    for j, g in enumerate(groups):
-        for kid in g[5]:
-            yield from _runs(kid, mate[j])
-
-
-def extract(root: Block, template: list | None) -> str:
-    """The page's main text, by its host's template."""
-    total = template[1] if template else 0
-    where = {id(b): n for b, n in _runs(root, template)}
-    parts = _articles(root)
-    if not parts:
-        parts = [root]
-        for label in content_path(template) if template else ():
-            below = [k for p in parts for k in p.kids if k.label == label]
-            if not below:
-                break
-            parts = below
+            pairs = align([[k[0], 0, 0, 0, {}, []] for k in have], [[labels[x[0]], 0, 0, 0, {}, []] for x in slots], {})
+        for i, j in pairs:
+            for x in slots[j]:
+                mates[x] = have[i]
+        rest += zip(reversed(block.kids), reversed(mates), strict=True)
 
-    def constant(block: Block) -> bool:
-        node = where.get(id(block))
-        return bool(node) and total >= MIN_PAGES and node[4].get(str(_mark(block.text)), 0) >= CONSTANT * total
 
-    runs = [b for p in parts for b, _ in _runs(p, None)]
-    fixed = [constant(b) for b in runs]
-    chars = sum(len(b.text) for b in runs)
-    if sum(len(b.text) for b, f in zip(runs, fixed, strict=True) if f) > COPIES * chars:
+def extract(root: Block, template: list | None, wanted: list | None = None) -> str:
+    """The page's main text, by its host's template; wanted is the template's region, if it is known already."""
+    total = template[1] if template else 0
+    met = list(_runs(root, template))
+    inside: set[int] = set()
+    if total >= MIN_PAGES and (wanted := wanted or region(template)) is not None:
+        inside = {id(b) for b, n in met if n is wanted}
+    inside = inside or {id(b) for b in _articles(root)} or {id(root)}
+    runs: list[tuple[Block, list | None]] = []
+    for block, node in met:
+        if id(block) in inside:
+            inside.update(id(k) for k in block.kids)
+            if block.text and not block.aside:
+                runs.append((block, node))
+    fixed = [bool(n) and total >= MIN_PAGES and n[4].get(str(_mark(b.text)), 0) >= CONSTANT * total for b, n in runs]
+    if sum(len(b.text) for (b, _), f in zip(runs, fixed, strict=True) if f) > COPIES * sum(len(b.text) for b, _ in runs):
         fixed = [False] * len(runs)
-    return "\n\n".join(b.text for b, f in zip(runs, fixed, strict=True) if not f)
+    return "\n\n".join(b.text for (b, _), f in zip(runs, fixed, strict=True) if not f)
 
 
 def _pack(node: list) -> str:
-    return json.dumps(node, separators=(",", ":"))
+    """The nodes in order, each with the number of its kids."""
+    return json.dumps([[*n[:5], len(n[5])] for n in _numbered(node)], separators=(",", ":"))
+
+
+def _unpack(packed: str) -> list:
+    nodes = json.loads(packed)
+    lack: list[list] = []  # nodes that wait for kids, with how many
+    for node in nodes:
+        if lack:
+            holder = lack[-1]
+            holder[0][5].append(node)
+            holder[1] -= 1
+            if not holder[1]:
+                lack.pop()
+        if node[5]:
+            lack.append([node, node[5]])
+        node[5] = []
+    return nodes[0]
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -435,7 +540,7 @@ def templates(pages: DataFrame) -> DataFrame:
     def join(group: pa.Table) -> pa.Table:
         out = None
         for x in group.column("template"):
-            node = json.loads(x.as_py())
+            node = _unpack(x.as_py())
             out = merge(out, node) if out else node
         return pa.table({"host": group.column("host").slice(0, 1), "pages": pa.array([out[1]], pa.int64()), "template": pa.array([_pack(out)], pa.string())})
 
@@ -445,12 +550,12 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def _met(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """pages (columns url, html, __key: host) with their host's columns of known (__host, __template and others)."""
+    """pages (columns __url, __html, __key: host) with their host's columns of known (__host, __template and others)."""
     if (known.agg(F.sum(F.length("__template"))).first()[0] or 0) <= BROADCAST_CHARS:
         return pages.join(F.broadcast(known), F.col("__key") == F.col("__host"), "left")
     # A host of any size is spread over SALTS tasks or more.
     salted = known.withColumn("__nth", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pages = pages.withColumn("__salt", F.pmod(F.xxhash64("url", F.crc32("html")), F.lit(SALTS)).cast("int"))
+    pages = pages.withColumn("__salt", F.pmod(F.xxhash64("__url", F.crc32("__html")), F.lit(SALTS)).cast("int"))
     return pages.join(salted.hint("shuffle_hash"), (F.col("__key") == F.col("__host")) & (F.col("__salt") == F.col("__nth")), "left")
 
 
@@ -463,9 +568,9 @@ def with_texts(pages: DataFrame, known: DataFrame) -> DataFrame:
             n: Counter[tuple[int, int, int, int]] = Counter()
             for key, total, source, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if key != at:
-                    at, template = key, json.loads(packed.as_py())
+                    at, template = key, _unpack(packed.as_py())
                     nth = {id(node): i for i, node in enumerate(_numbered(template))}
-                n.update({(key, total, nth[id(node)], _mark(b.text)) for b, node in _runs(parse(source.as_py()), template) if node})
+                n.update({(key, total, nth[id(node)], _mark(b.text)) for b, node in _runs(parse(source.as_py()), template) if node and b.text})
             keys = list(n)
             columns = [pa.array([k[i] for k in keys], pa.int32() if i == 2 else pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(list(n.values()), pa.int64())], ["__id", "__pages", "node", "mark", "n"])
@@ -474,8 +579,8 @@ def with_texts(pages: DataFrame, known: DataFrame) -> DataFrame:
         out = []
         for source, texts in zip(packed, shared, strict=True):
             if texts.as_py():
-                template = json.loads(source.as_py())
-                nodes = list(_numbered(template))
+                template = _unpack(source.as_py())
+                nodes = _numbered(template)
                 for x in texts.as_py():
                     nodes[x["node"]][4][str(x["mark"])] = x["n"]
                 out.append(_pack(template))
@@ -484,7 +589,7 @@ def with_texts(pages: DataFrame, known: DataFrame) -> DataFrame:
         return pa.array(out, pa.string())
 
     seen = _met(pages, known.where(F.col("__pages") >= MIN_PAGES)).where("__id is not null")
-    counts = seen.select("__id", "__pages", F.col("html").cast("string").alias("html"), "__template").mapInArrow(own, "__id long, __pages long, node int, mark long, n long")
+    counts = seen.select("__id", "__pages", "__html", "__template").mapInArrow(own, "__id long, __pages long, node int, mark long, n long")
     counts = counts.groupBy("__id", "__pages", "node", "mark").agg(F.sum("n").alias("n")).where(F.col("n") >= CONSTANT * F.col("__pages"))
     shared = counts.groupBy(F.col("__id").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("node", "mark", "n"))).alias("__texts"))
     met = known.join(shared, F.col("__id") == F.col("__of"), "left")
@@ -493,24 +598,27 @@ def with_texts(pages: DataFrame, known: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """pages (columns url, html) with text."""
-    host = split_url(F.col("url"))[0]
-    known = templates(pages.select(host.alias("host"), "html")).select(F.monotonically_increasing_id().alias("__id"), F.col("host").alias("__host"), F.col("pages").alias("__pages"), F.col("template").alias("__template"))
-    keyed = pages.withColumn("__key", host)
-    known = stage(with_texts(keyed.select("url", "html", "__key"), stage(known, "templates")), "templates").select("__host", "__template")
+    host, html = split_url(F.col("url"))[0], F.col("html").cast("string")
+    known = templates(pages.select(host.alias("host"), html.alias("html"))).select(F.monotonically_increasing_id().alias("__id"), F.col("host").alias("__host"), F.col("pages").alias("__pages"), F.col("template").alias("__template"))
+    keyed = pages.select(F.struct(*columns(pages, "text")).alias("__row"), F.col("url").alias("__url"), html.alias("__html"), host.alias("__key"))
+    bare = stage(known, "templates")
+    known = stage(with_texts(keyed.select("__url", "__html", "__key"), bare), "templates").select("__host", "__template")
+    drop_staged(bare)
 
     def own(sources: pa.Array, hosts: pa.Array) -> pa.Array:
-        seen: dict[str, list | None] = {}
+        seen: dict[str, tuple[list | None, list | None]] = {}
         out = []
         for source, packed in zip(sources, hosts, strict=True):
             packed = packed.as_py()
             if packed not in seen:
                 seen.clear() if len(seen) > 64 else None
-                seen[packed] = json.loads(packed) if packed else None
-            out.append(extract(parse(source.as_py()), seen[packed]))
+                template = _unpack(packed) if packed else None
+                seen[packed] = template, region(template) if template and template[1] >= MIN_PAGES else None
+            out.append(extract(parse(source.as_py()), *seen[packed]))
         return pa.array(out, pa.string())
 
-    met = _met(keyed, known)
-    return met.select(*[met[f"`{c}`"] for c in pages.columns if c.lower() != "text"], F.arrow_udf(own, "string")(F.col("html").cast("string"), "__template").alias("text"))
+    met = _met(keyed, known).select("__row", F.arrow_udf(own, "string")("__html", "__template").alias("__text"))
+    return met.select("__row.*", F.col("__text").alias("text"))
 
 
 def op4_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Paragraph, line, sentence, white space; after them, single characters.
+#: Fixed values, which decide where chunks begin: paragraph, line, sentence, white space; after them, single characters.
 LADDER = tuple(re.compile(x) for x in (r"\n\s*\n", r"\n", r"[.!?。?！][\s\"'”’)\]]*\s+", r"\s+"))
 
 

@@ -14,6 +14,7 @@ from .operators import export, extract, lifecycle, resolve, scope, vectors
 from .operators import graph as G
 from .plans import evaluate, reports, search
 from .providers import HashedNgrams, Scripted, embedded
+from .schema import NUMBER_UNITS
 from .sources import bindings as B
 
 GEO = "geo AS (SELECT n_nationkey, n_name, r_name AS collection FROM nation JOIN region ON n_regionkey = r_regionkey)"
@@ -77,7 +78,7 @@ BRIDGES = "bridges AS (SELECT a.collection AS collection_lo, a.name AS name_lo,
 
 @query(f"WITH {ENTITIES} SELECT collection, name, type, description FROM entities")
 def entity_upsert_lww(t):
-    return B.entities(t).select("collection", "name", "type", "description")
+    return B.upserted_entities(t).select("collection", "name", "type", "description")
 
 
 @query(GRAPH + "SELECT * FROM relations")
@@ -299,7 +300,7 @@ def chunk_text(t):
     return t.documents.select("doc_id", F.posexplode(chunks(T.clean_markdown(F.col("text")), 1960, 392)).alias("chunk_idx", "text"))
 
 
-UNITS = ["퍼센트", "시간", "달러", "억", "조", "만", "천", "백", "원", "명", "개", "주", "건", "회", "배", "위", "년", "월", "일", "시", "분", "초", "%"]
+UNITS = sorted(NUMBER_UNITS, key=len, reverse=True)
 
 
 def _noise_sql() -> str:

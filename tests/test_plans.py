@@ -120,7 +120,7 @@ def test_subquestions():
 
 @pytest.mark.parametrize(
     ("scores", "ratio", "least", "most", "want"),
-    [([1, 0.9, 0.45, 0.2], 0.5, 1, 20, 2), ([0.5, 0.48, 0.46, 0.44], 0.5, 1, 20, 4), ([1, 0.2, 0.1, 0.05], 0.9, 3, 20, 3), ([1, 0.2], 0.9, 3, 20, 2), ([], 0.5, 1, 20, 0), ([1.0] * 10, 0.1, 1, 4, 4), ([-0.1, -0.2, -0.3, -0.4], 0.55, 3, 20, 3)],
+    [([8, 7, 3, 2], 0.8, 1, 20, 2), ([9, 8, 7], 0.6, 1, 20, 3), ([10, 1, 1, 1, 1], 0.7, 4, 20, 4), ([6], 0.7, 2, 20, 1), ([], 0.7, 2, 20, 0), ([2] * 9, 0.3, 1, 5, 5), ([-1, -2, -3, -4], 0.5, 2, 20, 2)],
 )
 def test_admission(spark, scores, ratio, least, most, want):
     df = spark.createDataFrame([("q", "c", str(i), float(s)) for i, s in enumerate(scores)], "subquery string, collection string, community_id string, score double")

@@ -16,11 +16,11 @@ def column(spark, values, f):
 @pytest.mark.parametrize(
     ("text", "size", "overlap", "want"),
     [
-        ("가나다라마바사", 3, 0, ["가나다", "라마바", "사"]),
-        ("가나다라마바사아자차", 4, 2, ["가나다라", "다라마바", "마바사아", "사아자차"]),
-        ("가" * 850, 1000, 200, ["가" * 850]),
-        ("", 10, 0, []),
-        (None, 10, 0, []),
+        ("abcdefgh", 5, 0, ["abcde", "fgh"]),
+        ("0123456789abc", 6, 3, ["012345", "345678", "6789ab", "9abc"]),
+        ("short enough", 12, 5, ["short enough"]),
+        ("", 7, 2, []),
+        (None, 7, 2, []),
     ],
 )
 def test_chunks(text, size, overlap, want):
@@ -28,12 +28,12 @@ def test_chunks(text, size, overlap, want):
 
 
 def test_chunks_keep_sentences_and_ends():
-    text = "첫 문장이다. 두 번째 문장이다. 세 번째 문장이다."
-    got = chunk_text(text, 20)
-    assert len(got) >= 2 and "".join(got) == text and got[0].rstrip().endswith(".")
-    long = chunk_text("가" * 1250 + "나" * 1250, 1000, 200)
-    assert all(len(c) > 200 for c in long) and long[0][0] == "가" and long[-1][-1] == "나"
-    assert all(len(c) <= 10 for c in chunk_text("aaaa bbbb cccccc ddddddd", 10, 4, strict=True))
+    text = "The tide went out. Nobody saw the boat! Was it gone? It was."
+    got = chunk_text(text, 25)
+    assert got == ["The tide went out. ", "Nobody saw the boat! ", "Was it gone? It was."] and "".join(got) == text
+    lines = "".join(f"line {i}\n" for i in range(300))
+    assert all(x.endswith("\n") for x in chunk_text(lines, 70, 20)) and "".join(chunk_text(lines, 70)) == lines
+    assert all(len(c) <= 12 for c in chunk_text("one three seventeen two eleven", 12, 6, strict=True))
 
 
 def test_chunks_of_a_column(spark):
@@ -42,29 +42,29 @@ def test_chunks_of_a_column(spark):
 
 
 def test_clean_markdown(spark):
-    table = "| 기관명 |  | 케이퓨얼셀 | 등록번호 |  | 111-88 |\n|---|---|---|---|---|---|\n|  |  |  |\n본문\n\n\n\n끝 | 그리고"
-    got, rules, null = column(spark, [table, "|   |   |   |   |\n" * 50 + "한 줄", None], T.clean_markdown)
-    assert got == "기관명 케이퓨얼셀 등록번호 111-88\n본문\n\n끝 | 그리고"
-    assert rules == "한 줄" and null is None
+    table = "| port |  | ships | 41 |\n|:--|--|--|--:|\n| | | |\nafter\n\n\n\n\nlast | one pipe"
+    got, rules, null = column(spark, [table, "|---|---|---|\n" * 9 + "the only line", None], T.clean_markdown)
+    assert got == "port ships 41\nafter\n\nlast | one pipe"
+    assert rules == "the only line" and null is None
 
 
 def test_names(spark):
-    noise = ["1995년 2월 16일", "27.6%", "1,057만 명", "1,057", "", "1,057만", "3조원", "5천억", "2025년", "13.30%", "1시간 30분"]
-    real = ["카카오", "김범수", "아이폰 15", "코로나19", "카카오 T", "제2공장", "G7"]
+    noise = ["7", "88.5 %", "12월 3일", "4,200원", "9억", "", "60만 개", "2시간 5분", "3배"]
+    real = ["항구", "A4 용지", "7번 부두", "Route 66", "MP3", "x1"]
     assert column(spark, noise, T.is_noise_name) == [True] * len(noise)
     assert column(spark, real, T.is_noise_name) == [False] * len(real)
-    assert column(spark, ["길동이", "홍길동이", "점순이", "순이", "감자"], T.strip_particle) == ["길동", "홍길동", "점순", "순이", "감자"]
-    a, b, c, d, e, f = column(spark, ["연료전지 시스템", "연료전지시스템", "GC/FID", "GC/FID/TCD", "홍길동이", "길동"], T.name_key)
-    assert a == b and c != d and e != f
-    assert column(spark, ["works at", "  Located-In  ", "__a  b__"], T.predicate) == ["WORKS_AT", "LOCATED_IN", "A_B"]
-    assert column(spark, ["person", "자산", None, " Work "], T.entity_type) == ["PERSON", "OTHER", "OTHER", "WORK"]
+    assert column(spark, ["선장은", "등대를", "배가", "바다와", "항구"], T.strip_particle) == ["선장", "등대", "배가", "바다", "항구"]
+    a, b, c, d, e, f = column(spark, ["North  Pier", "north-pier", "Pier 1/2", "Pier 1/2/3", "선장은", "선장"], T.name_key)
+    assert a == b and c != d and e == f
+    assert column(spark, ["sails to", " Moored-At ", "_x __y_"], T.predicate) == ["SAILS_TO", "MOORED_AT", "X_Y"]
+    assert column(spark, ["location", "vessel", None, " Event "], T.entity_type) == ["LOCATION", "OTHER", "OTHER", "EVENT"]
     assert set(column(spark, list(ENTITY_TYPES), T.entity_type)) == set(ENTITY_TYPES)
-    assert column(spark, ["나", "나무", "저"], lambda c: T.first_person(c, F.lit("봄봄"))) == ["화자(봄봄)", "나무", "화자(봄봄)"]
-    assert column(spark, ["나", "내"], lambda c: T.first_person(c, F.lit("봄봄"), "collection")) == ["화자", "화자"]
+    assert column(spark, ["나", "나룻배", "저"], lambda c: T.first_person(c, F.lit("일지"))) == ["화자(일지)", "나룻배", "화자(일지)"]
+    assert column(spark, ["나", "내"], lambda c: T.first_person(c, F.lit("일지"), "collection")) == ["화자", "화자"]
     assert column(spark, ["나"], lambda c: T.first_person(c, F.lit("x"), "off")) == ["나"]
-    assert column(spark, ["001_봄봄.md", "a.b.txt"], T.document_label) == ["봄봄", "a.b"]
+    assert column(spark, ["17_log.txt", "log.2.txt"], T.document_label) == ["log", "log.2"]
 
 
 def test_aliases(spark):
-    df = spark.createDataFrame([("장인", ["빙장", "", "장인", "봉필씨", "빙장", "  "]), ("x", None)], "name string, aliases array<string>")
-    assert [r[0] for r in df.select(T.clean_aliases(F.col("name"), F.col("aliases"))).collect()] == [["빙장", "봉필씨"], []]
+    df = spark.createDataFrame([("harbour", ["port", " ", "harbour", "haven ", "port", ""]), ("x", None)], "name string, aliases array<string>")
+    assert [r[0] for r in df.select(T.clean_aliases(F.col("name"), F.col("aliases"))).collect()] == [["port", "haven"], []]

@@ -62,3 +62,56 @@ def test_reports_tell_all_relations(spark, folder):
     # Each customer orders one part on three days; S0 produces two parts.
     assert got["N0"].summary == f"{lines(5, 4, 3 * 3 + 2) - 1} lines"
     assert got["N1"].summary == f"{lines(4, 3, 3 * 3) - 1} lines"
+
+
+def test_leiden_against_every_partition():
+    """On small graphs, the modularity that is found is that of the best of all partitions, or nearly."""
+    import numpy as np
+
+    def quality(part, a, b, w):
+        total, out = w.sum(), 0.0
+        for c in set(part):
+            own = [i for i, p in enumerate(part) if p == c]
+            inner = sum(x for i, j, x in zip(a, b, w, strict=True) if i in own and j in own)
+            degree = sum(x * ((i in own) + (j in own)) for i, j, x in zip(a, b, w, strict=True))
+            out += inner / total - (degree / (2 * total)) ** 2
+        return out
+
+    def partitions(n):
+        def grow(part, top):
+            if len(part) == n:
+                yield part
+            else:
+                for c in range(top + 2):
+                    yield from grow([*part, c], max(top, c))
+        yield from grow([0], 0)
+
+    rng = np.random.default_rng(8)
+    exact = 0
+    for _ in range(12):
+        n = 7
+        edges = sorted({(min(x), max(x)) for x in rng.integers(0, n, (11, 2)).tolist() if x[0] != x[1]})
+        a, b, w = np.array([e[0] for e in edges]), np.array([e[1] for e in edges]), rng.integers(1, 4, len(edges)).astype(float)
+        best = max(quality(p, a, b, w) for p in partitions(n))
+        got = quality(C.leiden(n, a, b, w, 42).tolist(), a, b, w)
+        assert got >= 0.9 * best - 1e-9
+        exact += got >= best - 1e-9
+    assert exact >= 8
+
+
+def test_nearest_documents_of_an_item(spark, tmp_path):
+    """The context of an answer against a plain ranking by the same embeddings."""
+    import numpy as np
+
+    from plexgraph.providers import HashedNgrams
+
+    docs = [(i, f"text {i % 7} of {'ab' * (i % 5)} and {i}") for i in range(40)]
+    items = [(i, f"what of {'ab' * i} and {i}") for i in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.query_id, r.rank, r.doc_id) for r in queries.QUERIES["local_answer_context"](spark, str(tmp_path)).collect())
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    one = HashedNgrams()
+    score = unit(np.array(one.embed([t for _, t in items]))) @ unit(np.array(one.embed([t for _, t in docs]))).T
+    want = [(q, n + 1, d) for q in range(4) for n, d in enumerate(sorted(range(40), key=lambda d: (-round(score[q, d], 12), d))[:12])]
+    assert [x[:2] for x in got] == [x[:2] for x in want] and sum(a == b for a, b in zip(got, want, strict=True)) >= 44

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -96,7 +97,7 @@ def test_nearest_matches_brute_force_and_its_exclusions(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(601, None), (602, [0.0] * 16), (603, [float("nan")] * 16), (604, [None] + [1.0] * 15), (605, [1.0]), (None, [1.0] * 16), (606, []), (607, [float("inf")] * 16), rows[5]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = nearest(df, lambda i: i % 20 == 0, k=10).collect()
+    got = nearest(df, lambda i: i % 20 == 0, k=10, share=1.0).collect()
     want = []
     for q in range(0, 600, 20):
         s = [(-float(np.sum(x[i] * x[q])), i) for i in range(600) if i != q]
@@ -104,21 +105,34 @@ def test_nearest_matches_brute_force_and_its_exclusions(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == sorted(want)
 
 
-def test_nearest_recall_when_candidates_are_few(spark):
+def recall(spark, x, k=20, every=50, **options):
+    """The part of the true k nearest that the search finds."""
     from plexgraph.llm.permutation_index import nearest
 
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 32))
-    x /= np.linalg.norm(x, axis=1)[:, None]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = nearest(df, lambda i: i % 50 == 0, k=10, least=100, block_rows=1000, query_rows=20).collect()
+    got = nearest(df, lambda i: i % every == 0, k=k, **options).collect()
     hits = total = 0
-    for q in range(0, 3000, 50):
+    for q in range(0, len(x), every):
         s = x @ x[q]
         s[q] = -9
-        hits += len(set(np.argsort(-s)[:10].tolist()) & {r.vec_id for r in got if r.query_id == q})
-        total += 10
-    assert hits / total >= 0.9
+        hits += len(set(np.argsort(-s)[:k].tolist()) & {r.vec_id for r in got if r.query_id == q})
+        total += k
+    return hits / total
+
+
+def test_nearest_recall_with_a_tenth_as_candidates(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert recall(spark, x) >= 0.9
+    assert recall(spark, x, block_rows=1000, query_rows=20) >= 0.9  # three blocks, three groups of queries
+
+
+def test_nearest_recall_on_fifty_thousand_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert recall(spark, x, every=1000) >= 0.9
 
 
 def test_nearest_of_nothing_and_of_few(spark):
@@ -143,6 +157,7 @@ def library_ids(text):
 
 
 def test_encoder_equals_the_library():
+    from plexgraph.llm import encoding
     from plexgraph.llm._shared import tokenizer_file
     from plexgraph.llm.encoding import Encoder
 
@@ -152,6 +167,14 @@ def test_encoder_equals_the_library():
     for _ in range(3000):
         text = "".join(r.choice(signs) for _ in range(r.randint(0, 14)))
         assert enc.encode(text) == library_ids(text).astype(enc.dtype).tobytes(), repr(text)
+    # Many texts in one block, and blocks of several texts.
+    texts = [None, *("".join(r.choice(signs) for _ in range(r.randint(0, 14))) for _ in range(3000)), *(prose(r, 300) for _ in range(40)), "zz " * 3000]
+    block, encoding.BLOCK = encoding.BLOCK, 20_000
+    try:
+        got = [x.as_py() for low, ids in enc.encode_all(pa.array(["cut off", *texts], pa.string()).slice(1)) for x in ids]
+    finally:
+        encoding.BLOCK = block
+    assert got == [library_ids(x).astype(enc.dtype).tobytes() for x in texts]
 
 
 def test_repair_round_trip():
@@ -169,6 +192,20 @@ def test_repair_round_trip():
             assert np.array_equal(shard.document(i), ids[ends[i] - lengths[i] : ends[i]])
         if n == 4000 and top == 6:
             assert len(shard.rules) and len(shard.symbols) < n * 0.7
+        if top == 1:  # runs of one id compress as well
+            assert len(shard.symbols) < n / 50  # ten documents, each a sum of powers of two
+        # To the end: no pair inside a document is left min_count times.
+        bounds = np.r_[0, shard.ends]
+        left = Counter()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            own, i = shard.symbols[a:b].tolist(), 0
+            left.update(p for p in zip(own, own[1:], strict=False) if p[0] != p[1])
+            while i + 1 < len(own):
+                if own[i] == own[i + 1]:
+                    left[own[i], own[i]] += 1
+                    i += 1
+                i += 1
+        assert max(left.values(), default=0) < 3
 
 
 def test_token_files_hold_every_document_in_order(spark, docs, empty):

@@ -12,6 +12,7 @@ from ..functions.text import clean_aliases, entity_type, first_person, is_noise_
 from ..providers import LanguageModel, generated
 from ..schema import SEED_PREDICATES, TYPE_PRIORITY
 from ..staging import stage
+from .mentions import mentions
 
 CHUNK = ["collection", "source_id", "chunk_idx"]
 ENTITY = "struct<name:string,id:string,text:string,entity:string,label:string,type:string,description:string,aliases:array<string>>"
@@ -32,16 +33,11 @@ def _blank(x: Column) -> Column:
 
 
 def prompts(chunks: DataFrame, entities: DataFrame, relations: DataFrame | None, settings: Settings = DEFAULTS) -> DataFrame:
-    """chunks with prompt: known names that occur in the chunk (the first max_name_hints), known predicates (none without relations), and the text.
-
-    Names are found by an equi-join on two-character grams at first, so no pair of name and chunk is
-    tried that shares no gram of the name's first two characters."""
-    names = entities.select("collection", "name").where(F.length("name") >= 1).withColumn("gram", F.substring("name", 1, 2))
-    grams = chunks.select(*CHUNK, "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(2))))).alias("gram"))
-    single = chunks.select(*CHUNK, "text", F.explode(F.array_distinct(F.split("text", ""))).alias("gram"))
-    met = grams.unionByName(single.where(F.length("gram") == 1)).distinct().join(names, ["collection", "gram"]).where(F.contains("text", "name"))
+    """chunks with prompt: known names that occur in the chunk (the first max_name_hints), known predicates (none without relations), and the text."""
+    keyed = chunks.select("collection", F.struct("source_id", "chunk_idx").alias("chunk"), "text")
+    met = mentions(keyed, entities.select("collection", "name", F.col("name").alias("hint")), "chunk", "hint", ["collection"]).select("collection", "chunk.*", F.col("hint").alias("name"))
     nth = F.row_number().over(Window.partitionBy(*CHUNK).orderBy("name"))
-    hints = met.select(*CHUNK, "name").distinct().withColumn("nth", nth).where(F.col("nth") <= settings.max_name_hints).groupBy(*CHUNK).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+    hints = met.withColumn("nth", nth).where(F.col("nth") <= settings.max_name_hints).groupBy(*CHUNK).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
     both = chunks.join(hints, CHUNK, "left")
     if relations is None:
         both = both.withColumn("predicates", F.lit(None).cast("string"))

@@ -12,6 +12,7 @@ from .functions.chunking import chunks
 from .operators import community as C
 from .operators import export, extract, lifecycle, resolve, scope, vectors
 from .operators import graph as G
+from .operators.mentions import mentions
 from .plans import evaluate, reports, search
 from .providers import HashedNgrams, Scripted, embedded
 from .schema import NUMBER_UNITS
@@ -443,7 +444,7 @@ def usage_by_pacific_date(t):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def mention_match(t):
-    return search.mentions(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("name")), "doc_id", "item_id")
+    return mentions(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("name")), "doc_id", "item_id")
 
 
 QUESTION = "What do NATION_3 and NATION_14 trade with Customer#000000007?"

@@ -16,7 +16,8 @@ from plexgraph.operators import graph as G
 from plexgraph.operators import lifecycle as L
 from plexgraph.operators import resolve
 from plexgraph.plans import ingest as I
-from plexgraph.plans import resolution, search
+from plexgraph.operators.mentions import mentions
+from plexgraph.plans import resolution
 from plexgraph.providers import CommandLine, HashedNgrams, LocalHttp, ProviderError, Scripted
 from plexgraph.schema import ENTITIES, RELATIONS
 from plexgraph.sources.files import file_names, route
@@ -212,7 +213,7 @@ def test_mentions_by_automaton_and_by_join(spark):
     want = {("c", "t1", 1), ("c", "t1", 2), ("c", "t1", 3), ("x", "t4", 5), }
     want |= {("c", "t3", 6)}
     for most in (10**6, 0):
-        got = [tuple(r) for r in search.mentions(texts, names, "key", "id", ["collection"], most).collect()]
+        got = [tuple(r) for r in mentions(texts, names, "key", "id", ["collection"], most).collect()]
         assert sorted(got) == sorted(want)
 
 

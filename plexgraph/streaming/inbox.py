@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.files import route
 
-def drain(spark: SparkSession, folder: str, collection: str, handle: Callable[[DataFrame, int], None], checkpoint: str, glob: str = "*.{md,txt}", files_per_batch: int = 1000) -> StreamingQuery:
+log = logging.getLogger(__name__)
+
+
+def drain(spark: SparkSession, folder: str, collection: str, handle: Callable[[DataFrame, int], None], checkpoint: str, glob: str = "*", files_per_batch: int = 1000) -> StreamingQuery:
     """Hand all files that are not yet done to handle(documents, batch), in batches, then stop.
 
     The checkpoint remembers what is done; a batch that failed comes again with the same number, and
@@ -19,6 +24,27 @@ def drain(spark: SparkSession, folder: str, collection: str, handle: Callable[[D
     return docs.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def filed(spark: SparkSession, folder: str, handle: Callable[[DataFrame, int], None], processed: str | None = None, failed: str | None = None) -> Callable[[DataFrame, int], None]:
+    """handle, and then the batch's files moved: to processed, or to failed if it raised, which lets the next batch go on.
+
+    With files_per_batch 1 a file's failure is its own."""
+
+    def own(documents: DataFrame, batch: int) -> None:
+        names = [r[0] for r in documents.select("file_name").distinct().orderBy("file_name").collect()]  # at most files_per_batch
+        try:
+            handle(documents, batch)
+        except Exception:
+            if not failed:
+                raise
+            log.exception("batch %s of %s failed", batch, folder)
+            route(spark, folder, names, failed)
+        else:
+            if processed:
+                route(spark, folder, names, processed)
+
+    return own
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Events (ts, event_type) in tumbling windows with a watermark; works on streams and tables alike."""
     own = events.withWatermark("ts", late) if events.isStreaming else events

@@ -137,6 +137,26 @@ def test_files_are_moved_and_not_overwritten(spark, tmp_path):
     assert (b / "f.md").read_text() == "x" and (b / "12500_f.md").read_text() == "y" and file_names(spark, str(a)) == []
 
 
+def test_an_inbox_files_what_it_handled(spark, tmp_path):
+    from plexgraph.streaming.inbox import drain, filed
+
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for name in ("a.md", "bad.md", "c.txt"):
+        (inbox / name).write_text(name)
+    seen = []
+
+    def handle(documents, batch):
+        rows = [r.file_name for r in documents.collect()]
+        if "bad.md" in rows:
+            raise ValueError("bad")
+        seen.extend(rows)
+
+    drain(spark, str(inbox), "c", filed(spark, str(inbox), handle, str(tmp_path / "done"), str(tmp_path / "failed")), str(tmp_path / "cp"), files_per_batch=1).awaitTermination()
+    assert sorted(seen) == ["a.md", "c.txt"] and file_names(spark, str(inbox)) == []
+    assert sorted(x.name for x in (tmp_path / "done").iterdir() if not x.name.startswith(".")) == ["a.md", "c.txt"] and (tmp_path / "failed" / "bad.md").exists()
+
+
 def test_command_line_of_ingest(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setitem(sys.modules, "own_models", type(sys)("own_models"))
     sys.modules["own_models"].both = lambda: (Scripted(word_model), HashedNgrams())

@@ -196,7 +196,7 @@ def test_ingest_store_and_inbox(spark, tmp_path):
     I.ingest(store, docs, model, HashedNgrams())
     assert store.table("documents").first().source_id == source
     (inbox / "01_봄봄.md").write_text("바뀐 글.")
-    drain(spark, str(inbox), "c", lambda df, n: I.ingest(store, df, model, HashedNgrams()), str(tmp_path / "cp")).awaitTermination()
+    drain(spark, str(inbox), "c", lambda df, n: I.ingest(store, df, model, HashedNgrams()), str(tmp_path / "cp"), "*.{md,txt}").awaitTermination()
     assert store.table("chunks").collect()[0].text == "바뀐 글." and store.table("documents").count() == 1
     assert {r.source_doc for r in store.table("relations").collect()} == {store.table("documents").first().source_id}
     I.delete_document(store, "c", "01_봄봄.md")

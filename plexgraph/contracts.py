@@ -16,7 +16,7 @@ from .operators import graph as G
 from .plans import ingest, reports, search
 from .providers import ProviderError, Scripted, embedded
 from .queries import BRIDGES, COSINE, ENTITIES, FULL_COSINE, GEO, GRAPH, UNIT, _bridges, _nation_communities, _no_bridges, _variants, query
-from .schema import PARTICLES, SEED_PREDICATES, TABLES
+from .schema import DECOMPOSED_BACKENDS, PARTICLES, SEED_PREDICATES, TABLES
 from .sources import bindings as B
 from .sources.store import Store
 from .staging import staged_path
@@ -147,9 +147,12 @@ def reconciled_entities(t):
     return extract.reconcile(e, r)[0].select(F.col("source_id").cast("long").alias("doc"), "name", "type", "description")
 
 
-@query("SELECT mode, backend, CASE WHEN mode <> 'auto' THEN mode WHEN backend IN ('ollama', 'claude_cli', 'codex_cli') THEN 'decomposed' ELSE 'single' END AS chosen FROM (SELECT unnest(['auto', 'single', 'decomposed']) AS mode), (SELECT unnest(['ollama', 'claude_cli', 'codex_cli', 'gemini', 'other']) AS backend)")
+BACKENDS = [*DECOMPOSED_BACKENDS, "gemini", "other"]
+
+
+@query(f"SELECT mode, backend, CASE WHEN mode <> 'auto' THEN mode WHEN backend IN {DECOMPOSED_BACKENDS!r} THEN 'decomposed' ELSE 'single' END AS chosen FROM (SELECT unnest(['auto', 'single', 'decomposed']) AS mode), (SELECT unnest({BACKENDS!r}) AS backend)")
 def extraction_modes(t):
-    return _of(t, [(m, b, extract.extraction_mode(m, b)) for m in ("auto", "single", "decomposed") for b in ("ollama", "claude_cli", "codex_cli", "gemini", "other")], "mode string, backend string, chosen string")
+    return _of(t, [(m, b, extract.extraction_mode(m, b)) for m in ("auto", "single", "decomposed") for b in BACKENDS], "mode string, backend string, chosen string")
 
 
 @query(f"WITH {PIECES} SELECT doc_id, false AS fast, k <= 3 AS auto, true AS quality FROM n")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions.text import clean_aliases, entity_type, first_person, is_noise_name, predicate, strip_fence
 from ..providers import LanguageModel, generated
-from ..schema import SEED_PREDICATES, TYPE_PRIORITY
+from ..schema import DECOMPOSED_BACKENDS, SEED_PREDICATES, TYPE_PRIORITY
 from ..staging import stage
 from .mentions import mentions
 
@@ -138,7 +138,7 @@ def promote_first_person(entities: DataFrame, relations: DataFrame, label: Colum
 
 
 def extraction_mode(mode: str, backend: str) -> str:
-    return mode if mode != "auto" else "decomposed" if backend in ("ollama", "claude_cli", "codex_cli") else "single"
+    return mode if mode != "auto" else "decomposed" if backend in DECOMPOSED_BACKENDS else "single"
 
 
 def type_split(profile: str, chunk_count: Column, threshold: int = DEFAULTS.fast_threshold) -> Column:

@@ -36,3 +36,6 @@ NUMBER_UNITS = ("퍼센트", "시간", "억", "조", "만", "천", "백", "원",
 PARTICLES = ("이", "가", "은", "는", "을", "를", "과", "와")
 FIRST_PERSON = ("나", "내", "저")
 NARRATOR = "화자"
+
+#: Backends for which the automatic extraction mode is the decomposed one.
+DECOMPOSED_BACKENDS = ("ollama", "claude_cli", "codex_cli")

@@ -24,7 +24,7 @@ LETTER, NUMBER, OTHER, SPACE = range(4)
 SHORT_ENDS, LONG_ENDS = b"stmd", (b"re", b"ve", b"ll")
 END_ID = 0
 #: Entries of each of the two generations of a worker's table of words (about 190 bytes each).
-WORD_ENTRIES = 400_000
+WORD_ENTRIES = 250_000
 #: Bytes of text that are encoded at once, unless one text is longer.
 BLOCK = 24 << 20
 #: Plain words that the model gets in one call.
@@ -214,6 +214,7 @@ class Encoder:
             high = max(low + 1, int(np.searchsorted(ends, done + block, "right")))
             yield low, self.encode_block(pa.concat_arrays([texts.slice(low, high - low)]))
             low = high
+        pa.default_memory_pool().release_unused()  # workers are kept, their blocks' memory is not
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_block(pa.array([text or ""], pa.string()))[0].as_py()

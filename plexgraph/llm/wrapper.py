@@ -79,9 +79,13 @@ MARKS = {
 #: Of these, browsers show nothing that is read as text; of the first, not even an article inside.
 INERT = {"template", "noscript"}
 UNSEEN = {"audio", "canvas", "datalist", "embed", "head", "iframe", "input", "map", "noscript", "object", "select", "svg", "template", "video"} | RAW
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that tell something without an attribute, and those that go from an article's own header.
+TOLD = INERT | UNSEEN | NEVER | {"header"}
+HEADED = BLOCK - HEADINGS - {"div", "header", "hgroup", "section"}
+NOTHING: dict[str, str] = {}
 #: Labels that a repeated part of a page has at most.
 PERIOD = 4
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Block:
@@ -146,7 +150,7 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Block, list[tuple[str,
     def flush() -> None:
         nonlocal links
         if held:
-            text = " ".join("".join(held).split())
+            text = " ".join((held[0] if len(held) == 1 else "".join(held)).split())
             held.clear()
             if text:
                 run = Block("#", "#")
@@ -218,12 +222,13 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Block, list[tuple[str,
         if tag in ("article", "main"):
             found.append((tag, frozenset(x[4] for x in open_[1:]), mute))
         body = m[3] or ""
-        said = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(body)} if "=" in body else {}
+        said = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(body)} if "=" in body else NOTHING
         # 2: not shown as text; 1: shown, but no content. What is left out inside a line is not aligned.
-        mute = max(mute, 2 if tag in INERT else 0 if low in spared else 2 if tag in UNSEEN else _never(tag, said, article))
+        if said or tag in TOLD:
+            mute = max(mute, 2 if tag in INERT else 0 if low in spared else 2 if tag in UNSEEN else _never(tag, said, article))
         if mute == 1 and tag not in BLOCK and not open_[-1][2]:
             mute = 2
-        if not mute and article and tag != "header" and tag in BLOCK and tag not in HEADINGS and tag not in ("div", "section", "hgroup") and any(x[0] == "header" for x in open_):
+        if article and not mute and tag in HEADED and any(x[0] == "header" for x in open_):
             mute = 1  # of an article's own header, its headings stay
         if tag in RAW:
             stop = RAW_END[tag].search(source, at)
@@ -237,7 +242,7 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Block, list[tuple[str,
             if open_[-1][2] < 2:
                 flush()
             if mute < 2:
-                kinds = "".join(sorted("." + x for x in set(NAME_PARTS.findall(said.get("class", "").lower()))))
+                kinds = "".join(sorted("." + x for x in set(NAME_PARTS.findall(said["class"].lower())))) if "class" in said else ""
                 own = Block(tag, ("!" if mute else "") + tag + kinds, mute > 0)
                 into.kids.append(own)
                 into = own
@@ -563,13 +568,15 @@ def with_texts(pages: DataFrame, known: DataFrame) -> DataFrame:
     """known (columns __id, __host, __pages, __template), its nodes with the texts that most of the host's pages have there."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, template, nth = None, None, {}
+        have: dict[int, tuple[list, dict[int, int]]] = {}
         for batch in batches:
             n: Counter[tuple[int, int, int, int]] = Counter()
             for key, total, source, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if key != at:
-                    at, template = key, _unpack(packed.as_py())
-                    nth = {id(node): i for i, node in enumerate(_numbered(template))}
+                if key not in have:
+                    have.clear() if len(have) > 64 else None
+                    template = _unpack(packed.as_py())
+                    have[key] = template, {id(node): i for i, node in enumerate(_numbered(template))}
+                template, nth = have[key]
                 n.update({(key, total, nth[id(node)], _mark(b.text)) for b, node in _runs(parse(source.as_py()), template) if node and b.text})
             keys = list(n)
             columns = [pa.array([k[i] for k in keys], pa.int32() if i == 2 else pa.int64()) for i in range(4)]

@@ -24,6 +24,7 @@ import struct
 from collections.abc import Iterator
 from functools import cached_property
 from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ MAGIC = b"RPG1"
 SHARD_IDS = 1 << 20
 #: A pair that a shard holds less often gets no rule: a rule takes 12 bytes, each of its uses saves 2.
 MIN_COUNT = 8
-CELL_BITS, SPREAD = 20, np.uint64(0x9E3779B97F4A7C15)
+CELL_BITS, SPREAD = 18, np.uint64(0x9E3779B97F4A7C15)
 SHARDS = "part int, shard int, start long, n_tokens long, payload binary"
 
 
@@ -91,11 +92,6 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, min_count: int = M
         alive[over], held = False, over[alive[over]]
         where = np.flatnonzero(alive[:-1] & ~last[:-1])
         pair = (seq[where].astype(np.uint64) << shift) | seq[where + 1]
-        # A cell of few pairs holds no frequent one; only the others are sorted.
-        if len(pair) > 1 << CELL_BITS - 3:
-            cell = _cells(pair)
-            many = np.flatnonzero(np.bincount(cell, minlength=1 << CELL_BITS)[cell] >= min_count)
-            where, pair = where[many], pair[many]
         keys, counts = np.unique(pair, return_counts=True)
         keys, counts = keys[counts >= min_count], counts[counts >= min_count]
         lefts, rights = set(), set()
@@ -262,8 +258,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, shard_i
     ordered.mapInArrow(shards, SHARDS).write.parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) from shards at path."""
+def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) from shards at path; with digest, the ids' crc32 (ids_crc32) instead of them."""
     ready(spark)
     rows = spark.read.schema(SHARDS).parquet(path)
     totals = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
@@ -282,14 +278,18 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 for a in range(0, len(sizes), 4096):
                     b = min(a + 4096, len(sizes))
                     own = offsets[a : b + 1]
-                    data = ids[begins[a] : ends[b - 1]].tobytes()
-                    binary = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((own - own[0]).astype(np.int32).tobytes()), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[a:b], pa.int64()), pa.array(begins[a:b] + start + base[part]), pa.array(sizes[a:b]), binary], ["doc_id", "start", "n_tokens", "ids"])
+                    if digest:
+                        last = pa.array([crc32(ids[x:y]) for x, y in zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True)], pa.int64())
+                    else:
+                        data = ids[begins[a] : ends[b - 1]].tobytes()
+                        last = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((own - own[0]).astype(np.int32).tobytes()), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[a:b], pa.int64()), pa.array(begins[a:b] + start + base[part]), pa.array(sizes[a:b]), last], names)
 
-    return rows.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
+    names = ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"]
+    return rows.mapInArrow(documents, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staged_path(spark, "token-shards")
     write_ids(table(spark, sf_dir, "documents"), path)
-    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_ids(spark, path, digest=True)

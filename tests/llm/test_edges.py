@@ -171,6 +171,33 @@ def test_the_template_decides_what_no_markup_tells():
     assert [extract(t, template) for t in trees] == want
 
 
+def test_pages_in_spark_are_what_extract_makes_of_them(spark):
+    """Random pages of three hosts, against templates, counts and extraction one page at a time."""
+    from plexgraph.llm.wrapper import CONSTANT, MIN_PAGES, _mark, _numbered, _runs, extract, main_text, merge, of_page, parse
+
+    r = random.Random(41)
+    parts = ["<p>{}</p>", "<div class=ad>{}</div>", "<h2>{}</h2>", "<ul><li>{}<li>more</ul>", "<nav>{}</nav>", "<div class=box><p>{}</p></div>", "<aside>{}</aside>", "<p>Follow us</p>", "<header><h1>{}</h1><p>by us</p></header>"]
+    rows = []
+    for i in range(90):
+        body = "".join(r.choice(parts).format(f"{r.choice(['same words', 'é ' + str(i)])} {r.randint(0, 3)}") for _ in range(r.randint(0, 14)))
+        holder = r.choice(["<article>{}</article>", "<div class=main><h1>t</h1>{}</div>", "<article>{}</article><article>second</article>", "{}", "<main>{}</main>"])
+        rows.append((i, f"http://{'abc'[min(2, i % 17 // 7)]}.com/{i}", f"<body><div class=top>Site</div>{holder.format(body)}<div class=end>Bye {i % 2}</div>"))
+    rows += [(200, "http://few.com/", "<article>one page</article>"), (201, None, None)]
+    got = {x.page_id: x.text for x in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1).sortWithinPartitions("page_id")).collect()}
+    host = lambda url: url.split("/")[2] if url else ""
+    trees, templates, seen = {i: parse(h) for i, _, h in rows}, {}, Counter()
+    for i, u, _ in rows:
+        page = of_page(trees[i])
+        templates[host(u)] = merge(templates[host(u)], page) if host(u) in templates else page
+    for i, u, _ in rows:
+        nth = {id(n): k for k, n in enumerate(_numbered(templates[host(u)]))}
+        seen.update({(host(u), nth[id(n)], _mark(b.text)) for b, n in _runs(trees[i], templates[host(u)]) if n and b.text})
+    for (h, k, mark), n in seen.items():
+        if templates[h][1] >= MIN_PAGES and n >= CONSTANT * templates[h][1]:
+            _numbered(templates[h])[k][4][str(mark)] = n
+    assert got == {i: extract(trees[i], templates[host(u)]) for i, u, _ in rows}
+
+
 def test_templates_are_packed_and_matched_at_any_depth():
     from plexgraph.llm.wrapper import _pack, _unpack, match, merge, of_page, parse, repeats
 

@@ -222,9 +222,10 @@ def test_token_files_hold_every_document_in_order(spark, docs, empty):
         assert r.start == at and len(r.ids) == 4 * r.n_tokens
         at += r.n_tokens
     assert Counter((r.doc_id, bytes(r.ids)) for r in got) == Counter((r[0], library_ids(r[1]).tobytes()) for r in corpus())
+    assert sorted((r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in got) == sorted((r.start, r.n_tokens, r.ids_crc32) for r in read_ids(spark, path, digest=True).collect())
     path = staged_path(spark, "test")
     write_ids(empty, path)
-    assert read_ids(spark, path).collect() == []
+    assert read_ids(spark, path).collect() == read_ids(spark, path, digest=True).collect() == []
 
 
 def test_packing_cuts_the_concatenation(spark, docs, empty):

@@ -68,6 +68,17 @@ class Generations(dict):
             self.clear()
         self[key] = value
 
+    def put_all(self, keys: list, values: list) -> None:
+        """Many entries, by parts that fill up the young half."""
+        low = 0
+        while low < len(keys):
+            if len(self) >= self.entries:
+                self.old = self.copy()
+                self.clear()
+            high = low + self.entries - len(self)
+            self.update(zip(keys[low:high], values[low:high], strict=True))
+            low = high
+
 
 def _binary(bounds: np.ndarray, data: pa.Buffer | None) -> pa.BinaryArray:
     """The parts of data that lie between bounds."""
@@ -154,18 +165,18 @@ class Encoder:
         young, old = self.words, self.words.old
         ids = list(map(young.get, words))
         missed = [i for i, x in enumerate(ids) if x is None]
-        plain = []
-        for i in missed:
-            w = words[i]
-            ids[i] = x = old.get(w)
-            if x is None and w[0] == 0x20 and (w[1:].isalpha() or w[1:].decode().isalpha()):
-                plain.append(i)
-        for i, x in zip(plain, self._plain([words[i] for i in plain]), strict=True):
+        names = [words[i] for i in missed]
+        found = list(map(old.get, names))
+        lack = [k for k, x in enumerate(found) if x is None]
+        plain = [k for k in lack if names[k][0] == 0x20 and (names[k][1:].isalpha() or names[k][1:].decode().isalpha())]
+        for k, x in zip(plain, self._plain([names[k] for k in plain]), strict=True):
+            found[k] = x
+        for k in lack:
+            if found[k] is None:
+                found[k] = self._word(names[k])
+        for i, x in zip(missed, found, strict=True):
             ids[i] = x
-        for i in missed:
-            if ids[i] is None:
-                ids[i] = self._word(words[i])
-            young.put(words[i], ids[i])
+        young.put_all(names, found)
         return ids
 
     def encode_block(self, texts: pa.Array) -> pa.BinaryArray:
@@ -182,7 +193,7 @@ class Encoder:
         starts = word_starts(raw, bounds)
         words = _binary(np.append(starts, np.int32(len(raw))), pa.py_buffer(raw)).dictionary_encode()
         # Each text's words, then the ids of a text that the library cuts itself, then the end id.
-        codes, names = words.indices.to_numpy(), self._known(words.dictionary.to_pylist())
+        codes, names = words.indices.to_numpy(), self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         past = np.searchsorted(starts, bounds)
         tail = np.full(n, len(names), np.int32)
         tail[odd] += 1 + np.arange(len(odd), dtype=np.int32)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..staging import drop, drop_staged, shared_folder, stage, staged_path
 from ..workers import ready
 
-__all__ = ["columns", "drop", "drop_staged", "hot_keys", "lower_ascii", "ready", "shared_folder", "spread_join", "stage", "staged_path", "table", "tokenizer_file", "unused"]
+__all__ = ["CRC_TABLE_SQL", "columns", "crc32_sql", "drop", "drop_staged", "hot_keys", "lower_ascii", "ready", "shared_folder", "spread_join", "stage", "staged_path", "table", "tokenizer_file", "unused"]
 
 #: Where the public tokenizer vocabularies lie; a parameter of every operator that tokenizes.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -70,3 +70,16 @@ def tokenizer_file(path: str | None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(BYTE_BPE)
+
+
+#: A DuckDB table t of CRC-32's steps for each byte, by its definition: eight shifts each.
+CRC_TABLE_SQL = """crc_table AS (
+  SELECT list(list_reduce(list_prepend(byte, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY byte) AS t
+  FROM (SELECT CAST(range AS BIGINT) AS byte FROM range(256))
+)"""
+
+
+def crc32_sql(hexed: str) -> str:
+    """DuckDB SQL for the CRC-32 of bytes given by their hex digits, where crc_table's t is at hand."""
+    each = f"list_transform(range(CAST(length({hexed}) // 2 AS BIGINT)), lambda i: CAST(CAST('0x' || substr({hexed}, 2 * i + 1, 2) AS INTEGER) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {each}), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"

@@ -26,7 +26,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import drop_staged, lower_ascii, stage, table, unused
+from ._shared import CRC_TABLE_SQL, LOWER, UPPER, crc32_sql, lower_ascii, stage, table, unused
 
 ORDERS, BUCKETS = 1, 10_000
 LEAST_WORDS, PERCENT, SEED = 20, 10, "2024"
@@ -124,23 +124,15 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: CRC-32 by its definition: eight shifts for each byte, without a table.
-ORACLE_SQL = r"""
-WITH words AS (
-  SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
-  UNION ALL
-  SELECT 't', NULL, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
-),
-steps AS (SELECT CAST(range AS BIGINT) AS byte FROM range(256)),
-crc_table AS (
-  SELECT list(list_reduce(list_prepend(byte, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY byte) AS t FROM steps
-),
+_WORDS = rf"unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w"
+
+ORACLE_SQL = f"""
+WITH words AS (SELECT 'd' AS side, doc_id, {_WORDS} FROM documents UNION ALL SELECT 't', NULL, {_WORDS} FROM benchmark),
+{CRC_TABLE_SQL},
 distinct_words AS (SELECT DISTINCT w FROM words),
 bytes AS (SELECT w, hex(encode(w)) AS h FROM distinct_words),
 hashed AS (
-  SELECT w, xor(list_reduce(
-    list_prepend(4294967295::BIGINT, list_transform(range(CAST(length(h) // 2 AS BIGINT)), lambda i: CAST(CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER) AS BIGINT))),
-    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  SELECT w, {crc32_sql('h')} % 10000 AS bucket
   FROM bytes, crc_table
 ),
 counted AS (

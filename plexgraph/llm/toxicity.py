@@ -17,7 +17,7 @@ tokens that at least MIN_DOCUMENTS of the sample hold and that speak for toxicit
 that does, so their number is bounded by the sample as well.
 
 Edge cases: null and empty texts have no tokens and get the score of a text without segments; rows
-with a null id are scored but are never training data; labels with null are ignored; without labels
+with a null id are scored, not held out, and never training data; labels with null are ignored; without labels
 of both classes all scores are 0; repeated rows and equal texts get equal scores; a text of any
 length is scanned once, in linear time, by one task; an empty table gives no rows; an input column
 named like the result column is replaced, and those of any other name are kept (without_toxic keeps
@@ -47,7 +47,7 @@ TABLE_ENTRIES = 120_000
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def tokens(text: str | None) -> list[str]:

@@ -5,7 +5,8 @@ suffixes only those at anchors are kept: in every window of `width` bytes, the l
 its `gram`-byte strings marks one position, which depends on the window's bytes alone.  Equal windows
 hence have anchors at the same offset, and those anchors' suffixes begin with the same gram.
 
-1. Anchors are found in one scan; those whose gram occurs once in the corpus are dropped.
+1. Equal rows are folded to two, which repeat each other as any number would.  Anchors are found in one
+   scan; those whose gram occurs once in the corpus are dropped.
 2. Anchors with equal surroundings (all bytes that a window over the gram can reach) form a class.  A
    class of two or more is repeated as a whole.
 3. One suffix of each class whose gram has further classes goes into the suffix array: suffixes are
@@ -22,7 +23,7 @@ gathered for one text (its anchors, its spans) is bounded by its length.
 
 Edge cases: a null text is empty; texts shorter than `width` lose nothing; a very long text is searched
 in overlapping parts and put together by one task; repeated rows and equal texts count as occurrences
-of each other, so nothing depends on an order among ties; null ids are ordinary; an empty table gives
+of each other, so nothing depends on an order among ties, and any number of them costs what two do; null ids are ordinary; an empty table gives
 no rows; an input column named like the result column is replaced, all others are kept, and
 without_repeats keeps every column.
 """
@@ -283,10 +284,27 @@ def window_spans(suffixes: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
     return own.join(twice, ["h1", "h2"], "left_semi").select("doc_id", "doc_key", "low", (F.col("low") + width).alias("high"))
 
 
+def folded(docs: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) of each different row once; and the same with repeated rows twice, which tells all that more copies would."""
+    who = F.struct(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("doc_key"))
+    texts = docs.select(who.alias("who"), F.col("text").cast("string").alias("text"))
+    copies = stage(texts.groupBy("who").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-rows")
+    rows = copies.agg(F.sum("n")).first()[0]
+    plain = lambda df: df.select(F.col("who.doc_id").alias("doc_id"), "text")
+    if not rows:
+        drop_staged(copies)
+        return plain(texts), plain(texts)
+    key = F.xxhash64("who")
+    met = lambda how: spread_join(texts, copies.select("who"), ["who"], key, hot_keys(copies, key, rows, hot_rows), how)
+    one = plain(stage(met("left_semi").groupBy("who").agg(F.first("text").alias("text")), "rows-once"))
+    rest = plain(met("left_anti"))
+    return rest.unionByName(one), rest.unionByName(one).unionByName(one)
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, group_classes: int = GROUP_CLASSES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, doc_key and spans: byte ranges, in any order, that cover exactly the bytes to remove."""
-    spark = docs.sparkSession
-    found = stage(find_anchors(docs, width, gram), "anchors")
+    docs, copied = folded(docs, hot_rows)
+    found = stage(find_anchors(copied, width, gram), "anchors")
     gram_ = F.col("gram")
     counts = stage(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
     kept = stage(spread_join(found, counts.select("gram"), ["gram"], gram_, hot_keys(counts, gram_, found.count(), hot_rows), "left_semi"), "repeated-anchors")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_operators import DOCS, corpus, library_ids, prose, slow_hits, slow_print, slow_rest
 
@@ -313,3 +314,44 @@ def test_an_automaton_is_flat_and_its_size_is_checked(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 1000)
     with pytest.raises(ValueError):
         decontaminate.sent(spark, machine)
+
+
+# Rows of one key
+
+
+def test_rows_of_one_id_are_dealt_to_several_tasks(spark, tmp_path):
+    """Null ids, one id many times and equal rows: no task writes most of them."""
+    from plexgraph.llm.token_output import read_ids, write_ids
+
+    rows = [(None, f"null {i}") for i in range(600)] + [(7, f"seven {i}") for i in range(600)] + [(9, "nine")] * 600
+    write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), f"{tmp_path}/ids", shard_ids=64)
+    parts = spark.read.parquet(f"{tmp_path}/ids").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
+    assert len(parts) == 4 and max(r.n for r in parts) < 0.5 * sum(r.n for r in parts)
+    got = sorted(read_ids(spark, f"{tmp_path}/ids").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 600 + [7] * 600 + [9] * 600
+
+
+def test_one_row_repeated_many_times_is_folded(spark, monkeypatch):
+    """Copies of a row beside another row with a shared gram: as many suffixes as for two copies, and the right rest."""
+    from plexgraph.llm import substrings as m
+    from tests.llm.test_operators import slow_rest
+
+    r = random.Random(8)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = say(60)
+    text = say(300) + shared + say(300)
+    others = [(2, say(200) + shared + say(300)), (3, say(900)), (3, None)]
+    made = []
+    inner = m._surroundings
+    monkeypatch.setattr(m, "_surroundings", lambda joined: made.append(inner(joined)) or made[-1])
+    sizes = {}
+    for copies in (2, 300):
+        rows = [(1, text)] * copies + others
+        got = m.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        want = slow_rest([text, text, *[t for _, t in others]])
+        told = {(x.doc_id, x.text): (x.dedup.n_removed, x.dedup.n_spans, bytes(x.dedup.kept)) for x in got}
+        assert len(got) == copies + 3
+        for (doc, own), (_, gone, runs, rest) in zip([(1, text), *others], want[1:], strict=True):
+            assert told[(doc, own)] == (gone, runs, rest)
+        sizes[copies] = made[-1].count()
+    assert sizes[300] == sizes[2]

@@ -1,8 +1,8 @@
 """Hierarchical communities: seeded Leiden for each collection, with content-addressed ids.
 
-Collections never interact, so each is one group: one algorithm at every size.  A task holds the
-numbered edges of its collection in arrays, not their names.  Label propagation is for callers who ask
-for it by max_edges."""
+Collections never interact.  A graph is aggregated by distributed rounds (leiden.py) until its edges
+are few enough to gather, and finished by the local algorithm below; a collection of few edges is
+gathered as it is.  A task holds numbered edges in arrays, and a graph's names once."""
 
 from __future__ import annotations
 
@@ -11,15 +11,21 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..schema import COMMUNITIES
 from ..staging import drop_staged, stage
+from ..workers import ready
+from .leiden import partition
+from .numbering import numbered
 from .scope import in_scope
 
-PROPAGATION_ROUNDS = 12
+#: Distinct edges of a graph that one task gathers (about 800 MB and 100 s at five million); an aggregate of them is far smaller.
+GATHER_EDGES = 2_000_000
+#: The parent of a gathered graph's communities that lies outside it.
+OUTER = -1
 
 
 def weighted_edges(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -42,16 +48,16 @@ def community_id(collection: str, level: int, members: list[str]) -> str:
     return hashlib.sha256(json.dumps({"collection": collection, "level": level, "members": sorted(members)}, ensure_ascii=False).encode()).hexdigest()[:16]
 
 
-def leiden(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, seed: int) -> np.ndarray:
+def leiden(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, seed: int, start: np.ndarray | None = None) -> np.ndarray:
     """A partition by modularity: local moves, refinement inside each community, aggregation, until nothing moves."""
     rng = np.random.default_rng(seed)
-    part = np.arange(n)
+    part = np.arange(n) if start is None else start
     total = float(w.sum())
     if not total:
         return part
     ids = np.arange(n)  # the aggregate node of each node
     size_a, size_b, size_w, m = a, b, w, n
-    start = np.arange(m)
+    start = part
     while True:  # ends: every round has fewer nodes
         moved, labels = _local(m, size_a, size_b, size_w, total, start, rng)
         part = labels[ids]
@@ -149,7 +155,7 @@ def _refine(n, a, b, w, total, labels, rng) -> np.ndarray:
     return fine
 
 
-def expand(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, settings: Settings) -> list[tuple[int, np.ndarray, int | None]]:
+def expand(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, settings: Settings, level: int = 0, parent: int | None = None) -> list[tuple[int, np.ndarray, int | None]]:
     """[(level, members, parent)]: communities larger than the limit are split again, down to the last level."""
     out: list[tuple[int, np.ndarray, int | None]] = []
     place = np.zeros(n, np.int64)
@@ -174,64 +180,88 @@ def expand(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, settings: Settin
                 e = inner[at[c] : at[c + 1]]
                 split(own, a[e], b[e], w[e], level + 1, len(out) - 1)
 
-    split(np.arange(n), a, b, w, 0, None)
+    split(np.arange(n), a, b, w, level, parent)
     return out
 
 
-def detect(entities: DataFrame, relations: DataFrame, settings: Settings = DEFAULTS, max_edges: int | None = None) -> DataFrame:
-    """The communities of every collection.  Bridges play no part.
+def detect(entities: DataFrame, relations: DataFrame, settings: Settings = DEFAULTS, gather_edges: int = GATHER_EDGES) -> DataFrame:
+    """The communities of every collection, split level by level.  Bridges play no part.
 
-    Only where max_edges is given, collections with more distinct edges get one level by label propagation."""
+    A graph (a collection, or a community to be split) of at most gather_edges distinct edges is gathered in
+    one task, with all levels below it; larger ones are aggregated by distributed rounds until they can be."""
+    ready(entities.sparkSession)
+    names = entities.select("collection", "name").distinct()
+    nodes = stage(numbered(names, "collection", "name").withColumn("parent", F.lit(None).cast("string")), "nodes")
     named = weighted_edges(entities, relations)
-    all_names = entities.select("collection", "name").distinct()
-    large = named.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_edges).select("collection") if max_edges is not None else None
-    small = lambda df: df if large is None else df.join(large, "collection", "left_anti")
-    nodes = small(all_names).withColumn("id", F.row_number().over(Window.partitionBy("collection").orderBy("name")) - 1)
-    edges = small(named)
     for end in ("a", "b"):
-        edges = edges.join(nodes.select("collection", F.col("name").alias(end), F.col("id").alias(f"id_{end}")), ["collection", end])
-    edges = edges.select("collection", F.col("id_a").alias("a"), F.col("id_b").alias("b"), "weight")
+        named = named.join(nodes.select("collection", F.col("name").alias(end), F.col("id").alias(f"id_{end}")), ["collection", end])
+    edges = stage(named.select("collection", F.lit(None).cast("string").alias("parent"), F.col("id_a").alias("a"), F.col("id_b").alias("b"), "weight"), "edges")
+    found, level = None, 0
+    while True:
+        sizes = edges.groupBy("collection", "parent").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > gather_edges)
+        graphs = [(r.collection, r.parent, g) for g, r in enumerate(sizes.collect())]  # fewer than all edges by the bound
+        told = entities.sparkSession.createDataFrame(graphs, "collection string, parent string, g int")
+        large = lambda df, how, told=told: df.join(F.broadcast(told.withColumnsRenamed({"collection": "c", "parent": "p"})), F.col("collection").eqNullSafe(F.col("c")) & F.col("parent").eqNullSafe(F.col("p")), how)
+        gathered = _gathered(*((large(nodes, "left_anti"), large(edges, "left_anti")) if graphs else (nodes, edges)), settings, level)
+        found = gathered if found is None else found.unionByName(gathered)
+        if not graphs:
+            break
+        rows, nodes, edges = _one_level(large(nodes, "inner").drop("c", "p"), large(edges, "inner").drop("c", "p"), settings, level, gather_edges)
+        found, level = found.unionByName(rows), level + 1
+    return found.join(graph_signatures(entities, relations), "collection", "left").select(*[x.split()[0] for x in COMMUNITIES.split(", ")])
+
+
+FOUND = "collection string, community_id string, level int, parent_community_id string, entity_names array<string>, size int"
+
+
+def _gathered(nodes: DataFrame, edges: DataFrame, settings: Settings, level: int) -> DataFrame:
+    """All levels from this one on, for graphs that one task holds; it holds numbered edges, and each name once."""
 
     def own(have: pa.Table, link: pa.Table) -> pa.Table:
         have = have.sort_by("id")
-        collection, names = have.column("collection")[0].as_py(), have.column("name").combine_chunks()
+        ids, names = have.column("id").to_numpy(), have.column("name").combine_chunks()
+        collection, parent = have.column("collection")[0].as_py(), have.column("parent")[0].as_py()
         a, b, w = (link.column(c).to_numpy() for c in ("a", "b", "weight"))
+        a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
         order = np.lexsort((b, a))
-        rows = expand(len(names), a[order].astype(np.int64), b[order].astype(np.int64), w[order], settings)
+        rows = expand(len(names), a[order], b[order], w[order], settings, level, None if parent is None else OUTER)
         told = [names.take(pa.array(members)).to_pylist() for _, members, _ in rows]
-        ids = [community_id(collection, level, members) for (level, _, _), members in zip(rows, told, strict=True)]
+        named = [community_id(collection, level, members) for (level, _, _), members in zip(rows, told, strict=True)]
         columns = {
             "collection": pa.array([collection] * len(rows), pa.string()),
-            "community_id": pa.array(ids, pa.string()),
+            "community_id": pa.array(named, pa.string()),
             "level": pa.array([level for level, _, _ in rows], pa.int32()),
-            "parent_community_id": pa.array([None if parent is None else ids[parent] for _, _, parent in rows], pa.string()),
+            "parent_community_id": pa.array([None if up is None else parent if up == OUTER else named[up] for _, _, up in rows], pa.string()),
             "entity_names": pa.array(told, pa.list_(pa.string())),
             "size": pa.array([len(x) for x in told], pa.int32()),
         }
         return pa.table(columns)
 
-    found = nodes.groupBy("collection").cogroup(edges.groupBy("collection")).applyInArrow(own, "collection string, community_id string, level int, parent_community_id string, entity_names array<string>, size int")
-    if large is not None and large.limit(1).count():
-        found = found.unionByName(propagated(all_names.join(large, "collection", "left_semi"), named.join(large, "collection", "left_semi")))
-    return found.join(graph_signatures(entities, relations), "collection", "left").select(*[x.split()[0] for x in COMMUNITIES.split(", ")])
-
-
-def propagated(nodes: DataFrame, edges: DataFrame, rounds: int = PROPAGATION_ROUNDS) -> DataFrame:
-    """One level of communities by label propagation, distributed; ties go to the least label.  Ends when nothing changes, after `rounds` at the latest."""
-    both = edges.select("collection", F.col("a").alias("name"), F.col("b").alias("other"), "weight").unionByName(edges.select("collection", F.col("b").alias("name"), F.col("a").alias("other"), "weight"))
-    label, before = nodes.withColumn("label", F.col("name")), None
-    for _ in range(rounds):
-        votes = both.join(label.select("collection", F.col("name").alias("other"), "label"), ["collection", "other"]).groupBy("collection", "name", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("collection", "name").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("new"))
-        now = stage(label.join(best, ["collection", "name"], "left").select("collection", "name", F.coalesce("new", "label").alias("label"), (F.coalesce("new", "label") != F.col("label")).alias("moved")), "labels")
-        if before is not None:
-            drop_staged(before)
-        label, before = now.select("collection", "name", "label"), now
-        if not now.where("moved").limit(1).count():
-            break
-    groups = label.groupBy("collection", "label").agg(F.array_sort(F.collect_list("name")).alias("entity_names"))
-    named = F.arrow_udf(lambda c, m: pa.array([community_id(x, 0, y) for x, y in zip(c.to_pylist(), m.to_pylist(), strict=True)], pa.string()), "string")("collection", "entity_names")
-    return groups.select("collection", named.alias("community_id"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent_community_id"), "entity_names", F.size("entity_names").alias("size"))
+    # A group of edges alone has no nodes and can't be: every edge's ends are nodes.
+    return nodes.groupBy("collection", "parent").cogroup(edges.groupBy("collection", "parent")).applyInArrow(own, FOUND)
+
+
+def _one_level(nodes: DataFrame, edges: DataFrame, settings: Settings, level: int, gather_edges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(communities, nodes, edges) of graphs too large to gather: one level, and the graphs of the next, which are the communities to be split."""
+    links = stage(edges.select("g", "a", "b", "weight"), "large-edges")
+    labels = partition(links, gather_edges, settings.leiden_seed, leiden)
+    # Nodes without edges are communities of their own.
+    placed = stage(nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "placed")
+    drop_staged(labels)
+    groups = placed.groupBy("collection", "parent", "g", "label").agg(F.array_sort(F.collect_list("name")).alias("entity_names"))
+    # A part of a community that does not split again is no community of its own.
+    several = groups.groupBy("g").agg(F.count(F.lit(1)).alias("several"))
+    named = F.arrow_udf(lambda c, m: pa.array([community_id(x, level, y) for x, y in zip(c.to_pylist(), m.to_pylist(), strict=True)], pa.string()), "string")("collection", "entity_names")
+    groups = groups.join(several, "g").where("parent is null or several > 1").select("collection", named.alias("community_id"), F.lit(level).alias("level"), F.col("parent").alias("parent_community_id"), "entity_names", F.size("entity_names").alias("size"), "label")
+    groups = stage(groups, "communities")
+    again = groups.where((F.col("size") > settings.community_max_size) & F.lit(level < settings.community_max_level)).select("label", F.col("community_id").alias("parent"))
+    inside = stage(placed.select("collection", "name", "id", "label").join(again, "label").select("collection", "name", "id", "parent", "label"), "nodes")
+    of = lambda c: inside.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"), *([F.col("collection"), F.col("parent")] if c == "a" else []))
+    inner = links.select("a", "b", "weight").join(of("a"), "a").join(of("b"), "b").where("of_a = of_b").select("collection", "parent", "a", "b", "weight")
+    inner = stage(inner, "edges")
+    for x in (links, placed):
+        drop_staged(x)
+    return groups.drop("label"), inside.drop("label"), inner
 
 
 def in_order(state: DataFrame, scope: list[str] | None = None, level: int | None = None) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
+from ..staging import stage
+from ..workers import ready
+from .cells import celled, meeting
 from .graph import add_aliases, both_ways, contexts, degrees, merge_entities, resolve_merges
 from .vectors import BLOCK_ROWS, units
 
@@ -44,16 +47,22 @@ def normalized_duplicates(entities: DataFrame, relations: DataFrame, blacklist:
 
 
 def similar_pairs(vectors: DataFrame, low: float, high: float | None = None, key: str = "name", vector: str = "vector", group: str | None = "collection", apart: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Pairs a < b of one group with low < cosine (<= high), of different values of apart if given: exact, in a grid of blocks.
+    """Pairs a < b of one group with low < cosine (<= high), of different values of apart if given: exact.
 
-    A group has as many blocks as its rows need, and each row goes to the cells of its block's row and
-    column; a cell is one matrix product of two blocks, so a large group is spread over many tasks."""
+    A group of more than block_rows rows is cut into blocks of near vectors (cells.py); a row goes to the
+    cells where its block meets another that may hold a pair with it, and a cell is one matrix product, so
+    a large group is spread over many tasks and most of a clustered one's cells are never made."""
+    ready(vectors.sparkSession)
     own = vectors.select(*([F.col(group).alias("g")] if group else [F.lit("").alias("g")]), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("u"), *([F.col(apart).cast("string").alias("x")] if apart else []))
-    # Without other keys than the group's, so many small groups stay in one cell each.
-    sizes = own.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
-    own = own.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("k"), "blocks").cast("int"))
-    left = own.withColumn("q", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumnRenamed("block", "p").drop("blocks")
-    right = own.where("blocks > 1").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("block")))).where("p < block").withColumnRenamed("block", "q").drop("blocks")
+    sizes = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # A group of one block is one cell; larger ones lie in blocks of near vectors, and only those meet that may hold a pair.
+    many = sizes.where(F.col("n") > block_rows)
+    single = own.join(sizes.where(F.col("n") <= block_rows).select("g"), "g", "left_semi").withColumn("p", F.lit(-1).cast("long")).withColumn("q", F.lit(-1).cast("long"))
+    blocks = celled(own.join(many.select("g"), "g", "left_semi"), many, block_rows)
+    pairs = stage(meeting(blocks, low), "cell-pairs")
+    rows = blocks.drop("angles")
+    left = single.unionByName(rows.withColumnRenamed("block", "p").join(pairs, ["g", "p"]))
+    right = rows.withColumnRenamed("block", "q").join(pairs.where("p < q"), ["g", "q"])
     right = right.toDF(*right.columns)  # columns of its own, not those of left
     kinds = [own.schema[c].dataType.simpleString() for c in ("g", "k")]
 

@@ -234,15 +234,19 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, most: int = AUTOMATON_WORDS) -> Iterator[Automaton]:
-    """The benchmark, a table of test items that a driver reads by its nature, as automata of bounded size, one after the other."""
-    items, size, made = [], 0, False
+    """The benchmark, a table of test items that a driver reads by its nature, as automata of bounded size, one after the other.
+
+    An item of more than `most` words (at least two windows) is cut into parts that overlap by a window less one word, so each window lies in one."""
+    items, size, made, most = [], 0, False, max(most, 2 * window)
     for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         words = normal_words(row[1])
-        if items and size + len(words) > most:
-            yield Automaton(items, window)
-            items, size, made = [], 0, True
-        items.append((row[0], words))
-        size += len(words)
+        for low in range(0, max(1, len(words) - window + 1), most - window + 1) if len(words) > most else (0,):
+            part = words[low : low + most]
+            if items and size + len(part) > most:
+                yield Automaton(items, window)
+                items, size, made = [], 0, True
+            items.append((row[0], part))
+            size += len(part)
     if items or not made:
         yield Automaton(items, window)
 

@@ -355,3 +355,30 @@ def test_one_row_repeated_many_times_is_folded(spark, monkeypatch):
             assert told[(doc, own)] == (gone, runs, rest)
         sizes[copies] = made[-1].count()
     assert sizes[300] == sizes[2]
+
+
+def test_long_items_are_cut_into_overlapping_parts(spark):
+    """An item of more words than an automaton holds: each of its windows is found, and it counts once."""
+    from plexgraph.llm.decontaminate import matched
+
+    words = [f"w{i}" for i in range(400)]
+    items = [(1, " ".join(words)), (2, "zz yy")]
+    docs = [(i, " ".join(words[i : i + 10])) for i in range(0, 391, 3)] + [(1000, " ".join(words)), (1001, " ".join(words[:9])), (1002, "zz yy x")]
+    got = matched(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most=50)
+    for r in got.collect():
+        n, hit, found = slow_hits(r.text, items)
+        assert (r.contamination.n_words, r.contamination.n_hit, sorted(r.contamination["items"])) == (n, hit, sorted(found))
+
+
+def test_templates_that_travel_with_pages_and_hosts_that_are_handed_on(spark, monkeypatch):
+    """Both ways to a page's template, and tasks that flush their hosts, give equal texts."""
+    from plexgraph.llm import wrapper as m
+
+    rows = [(i, f"http://h{i % 40}.net/{i}", f"<div class=z><p>menu of {i % 40}</p></div><div class=q><p>own text {i} says {i * 7}</p><p>more of {i}</p></div>") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    plain = {r.page_id: r.text for r in m.main_text(pages).collect()}
+    assert all("own text" in t and "menu" not in t for t in plain.values())
+    monkeypatch.setattr(m, "TOGETHER", 10)
+    monkeypatch.setattr(m, "FEW_HOSTS", 4)
+    monkeypatch.setattr(m, "BROADCAST_CHARS", 0)
+    assert {r.page_id: r.text for r in m.main_text(pages).collect()} == plain

@@ -16,8 +16,8 @@ the region is constant, the pages are copies of each other and all of it is cont
 fewer than MIN_PAGES pages, where nothing can be told from the others, and on a page that lacks its
 template's region, the articles (or mains) of the page itself are the region.
 
-Templates are merged in three steps (task, host and part, host), each of which holds one host's
-template at a time.  The pages of (host, node, text) are counted exactly, by a grouping that is partial
+Templates are merged in three steps: a task holds those of FEW_HOSTS hosts or of TOGETHER pages at
+once, the others one host's.  The pages of (host, node, text) are counted exactly, by a grouping that is partial
 in each task first; a template keeps the texts that most pages share.  Repeated parts of a page (runs
 of up to four labels) are one node, so a tree is as wide as its page is varied, and all walks over
 trees use stacks of their own, so depth is no limit.  Pages are parsed in every one of the three
@@ -40,6 +40,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,8 @@ from .url_filter import split_url
 
 MIN_PAGES, CONSTANT, COPIES = 5, 0.5, 0.5
 PARTS = 64
+#: A task hands on the templates of more than FEW_HOSTS hosts after so many pages, so it holds no more of them at once.
+TOGETHER, FEW_HOSTS = 1024, 32
 #: Templates of all hosts that are broadcast at most; beyond, they are joined by host and salt.
 BROADCAST_CHARS, SALTS = 32 << 20, 64
 
@@ -532,6 +535,11 @@ def templates(pages: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         found: dict[str, list] = {}
+        part, merged = TaskContext.get().partitionId() % PARTS, 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([part] * len(found), pa.int32()), pa.array([_pack(t) for t in found.values()], pa.string())], ["host", "part", "template"])
+
         for batch in batches:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 page = of_page(parse(source.as_py()))
@@ -539,8 +547,12 @@ def templates(pages: DataFrame) -> DataFrame:
                     merge(found[host], page)
                 else:
                     found[host] = page
-        part = TaskContext.get().partitionId() % PARTS
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([part] * len(found), pa.int32()), pa.array([_pack(t) for t in found.values()], pa.string())], ["host", "part", "template"])
+                merged += 1
+                if merged >= TOGETHER and len(found) > FEW_HOSTS:
+                    yield told()
+                    found.clear()
+                    merged = 0
+        yield told()
 
     def join(group: pa.Table) -> pa.Table:
         out = None
@@ -554,14 +566,24 @@ def templates(pages: DataFrame) -> DataFrame:
     return some.groupBy("host").applyInArrow(join, "host string, pages long, template string")
 
 
-def _met(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """pages (columns __url, __html, __key: host) with their host's columns of known (__host, __template and others)."""
+def _met(pages: DataFrame, known: DataFrame) -> tuple[DataFrame, Broadcast | None]:
+    """pages (columns __url, __html, __key: host) with __id, __pages and __template of their host in known (staged), and what they lack.
+
+    Templates of a checked size are sent to each worker once, as {host: (id, pages, template)}, and the
+    columns are null; beyond it they travel with the pages."""
+    names = ["__id", "__pages", "__template"]
     if (known.agg(F.sum(F.length("__template"))).first()[0] or 0) <= BROADCAST_CHARS:
-        return pages.join(F.broadcast(known), F.col("__key") == F.col("__host"), "left")
+        shared = pages.sparkSession.sparkContext.broadcast({r[0]: tuple(r)[1:] for r in known.select("__host", *names).collect()})
+        return pages.select("*", F.lit(None).cast("long").alias(names[0]), F.lit(None).cast("long").alias(names[1]), F.lit(None).cast("string").alias(names[2])), shared
     # A host of any size is spread over SALTS tasks or more.
     salted = known.withColumn("__nth", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pages = pages.withColumn("__salt", F.pmod(F.xxhash64("__url", F.crc32("__html")), F.lit(SALTS)).cast("int"))
-    return pages.join(salted.hint("shuffle_hash"), (F.col("__key") == F.col("__host")) & (F.col("__salt") == F.col("__nth")), "left")
+    return pages.join(salted.hint("shuffle_hash"), (F.col("__key") == F.col("__host")) & (F.col("__salt") == F.col("__nth")), "left"), None
+
+
+def _of_host(shared: Broadcast | None, host: str | None, own: tuple[int | None, int | None, pa.Scalar]) -> tuple[int | None, int | None, str | None]:
+    """(id, pages, template) of a page's host, from the row itself or from what the worker has."""
+    return (own[0], own[1], own[2].as_py()) if shared is None else shared.value.get(host, (None, None, None))
 
 
 def with_texts(pages: DataFrame, known: DataFrame) -> DataFrame:
@@ -571,10 +593,13 @@ def with_texts(pages: DataFrame, known: DataFrame) -> DataFrame:
         have: dict[int, tuple[list, dict[int, int]]] = {}
         for batch in batches:
             n: Counter[tuple[int, int, int, int]] = Counter()
-            for key, total, source, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for host, source, *own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                key, total, packed = _of_host(shared, host, own)
+                if key is None:
+                    continue
                 if key not in have:
                     have.clear() if len(have) > 64 else None
-                    template = _unpack(packed.as_py())
+                    template = _unpack(packed)
                     have[key] = template, {id(node): i for i, node in enumerate(_numbered(template))}
                 template, nth = have[key]
                 n.update({(key, total, nth[id(node)], _mark(b.text)) for b, node in _runs(parse(source.as_py()), template) if node and b.text})
@@ -595,11 +620,11 @@ def with_texts(pages: DataFrame, known: DataFrame) -> DataFrame:
                 out.append(source.as_py())
         return pa.array(out, pa.string())
 
-    seen = _met(pages, known.where(F.col("__pages") >= MIN_PAGES)).where("__id is not null")
-    counts = seen.select("__id", "__pages", "__html", "__template").mapInArrow(own, "__id long, __pages long, node int, mark long, n long")
+    seen, shared = _met(pages, known.where(F.col("__pages") >= MIN_PAGES))
+    counts = seen.select("__key", "__html", "__id", "__pages", "__template").mapInArrow(own, "__id long, __pages long, node int, mark long, n long")
     counts = counts.groupBy("__id", "__pages", "node", "mark").agg(F.sum("n").alias("n")).where(F.col("n") >= CONSTANT * F.col("__pages"))
-    shared = counts.groupBy(F.col("__id").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("node", "mark", "n"))).alias("__texts"))
-    met = known.join(shared, F.col("__id") == F.col("__of"), "left")
+    texts = counts.groupBy(F.col("__id").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("node", "mark", "n"))).alias("__texts"))
+    met = known.join(texts, F.col("__id") == F.col("__of"), "left")
     return met.select("__id", "__host", "__pages", F.arrow_udf(fill, "string")("__template", "__texts").alias("__template"))
 
 
@@ -609,22 +634,23 @@ def main_text(pages: DataFrame) -> DataFrame:
     known = templates(pages.select(host.alias("host"), html.alias("html"))).select(F.monotonically_increasing_id().alias("__id"), F.col("host").alias("__host"), F.col("pages").alias("__pages"), F.col("template").alias("__template"))
     keyed = pages.select(F.struct(*columns(pages, "text")).alias("__row"), F.col("url").alias("__url"), html.alias("__html"), host.alias("__key"))
     bare = stage(known, "templates")
-    known = stage(with_texts(keyed.select("__url", "__html", "__key"), bare), "templates").select("__host", "__template")
+    known = stage(with_texts(keyed.select("__url", "__html", "__key"), bare), "templates")
     drop_staged(bare)
+    met, shared = _met(keyed, known)
 
-    def own(sources: pa.Array, hosts: pa.Array) -> pa.Array:
-        seen: dict[str, tuple[list | None, list | None]] = {}
+    def own(sources: pa.Array, hosts: pa.Array, templates: pa.Array) -> pa.Array:
+        seen: dict[str | None, tuple[list | None, list | None]] = {}
         out = []
-        for source, packed in zip(sources, hosts, strict=True):
-            packed = packed.as_py()
-            if packed not in seen:
+        for source, host, packed in zip(sources, hosts.to_pylist(), templates, strict=True):
+            if host not in seen:
                 seen.clear() if len(seen) > 64 else None
+                packed = _of_host(shared, host, (None, None, packed))[2]
                 template = _unpack(packed) if packed else None
-                seen[packed] = template, region(template) if template and template[1] >= MIN_PAGES else None
-            out.append(extract(parse(source.as_py()), *seen[packed]))
+                seen[host] = template, region(template) if template and template[1] >= MIN_PAGES else None
+            out.append(extract(parse(source.as_py()), *seen[host]))
         return pa.array(out, pa.string())
 
-    met = _met(keyed, known).select("__row", F.arrow_udf(own, "string")("__html", "__template").alias("__text"))
+    met = met.select("__row", F.arrow_udf(own, "string")("__html", "__key", "__template").alias("__text"))
     return met.select("__row.*", F.col("__text").alias("text"))
 
 

@@ -21,6 +21,7 @@ from .plans import evaluate, ingest, reports, resolution, search
 from .providers import HashedNgrams
 from .sources.files import file_names, route, whole_files
 from .sources.store import Store
+from .streaming.inbox import one_by_one
 from .workers import ready
 
 
@@ -93,15 +94,14 @@ def _ingest(spark: SparkSession, store: Store, args) -> None:
     if args.dry_run or (args.metered and not wanted.allowed and not args.force):
         return
     model, embedding = _providers(args)
-    names = file_names(spark, args.folder)
-    try:
-        print(ingest.ingest(store, incoming, model, embedding, settings, args.mode, wave=args.wave, metered=args.metered))
-    except Exception:
-        if args.failed:
-            route(spark, args.folder, names, f"{args.failed.rstrip('/')}/{args.collection}")
-        raise
+    # With a folder for failures a file's failure is its own.
+    own = lambda docs: print(ingest.ingest(store, docs, model, embedding, settings, args.mode, wave=args.wave, metered=args.metered))
+    done, bad = one_by_one(incoming, file_names(spark, args.folder), own, bool(args.failed))
     if args.processed:
-        route(spark, args.folder, names, f"{args.processed.rstrip('/')}/{args.collection}")
+        route(spark, args.folder, done, f"{args.processed.rstrip('/')}/{args.collection}")
+    if bad:
+        route(spark, args.folder, [name for name, _ in bad], f"{args.failed.rstrip('/')}/{args.collection}")
+        raise bad[0][1]
     ingest.collect_orphans(store)
 
 
@@ -125,7 +125,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
             ingest.delete_document(store, args.collection, args.file_name)
             store.commit(entities=G.drop_isolated(t("entities"), t("relations"), [args.collection]))
         case "delete-collection":
-            ingest.delete_collection(store, args.collection)
+            print(ingest.delete_collection(store, args.collection))
         case "query":
             model, embedding = _providers(args)
             state = {n: t(n) for n in ("entities", "relations", "same_as", "chunks", "community_reports", "community_build_state")}

@@ -150,9 +150,17 @@ def reconciled_entities(t):
 BACKENDS = [*DECOMPOSED_BACKENDS, "gemini", "other"]
 
 
-@query(f"SELECT mode, backend, CASE WHEN mode <> 'auto' THEN mode WHEN backend IN {DECOMPOSED_BACKENDS!r} THEN 'decomposed' ELSE 'single' END AS chosen FROM (SELECT unnest(['auto', 'single', 'decomposed']) AS mode), (SELECT unnest({BACKENDS!r}) AS backend)")
+@query(
+    f"SELECT doc_id, mode, backend, CASE WHEN mode <> 'auto' THEN mode WHEN backend IN {DECOMPOSED_BACKENDS!r} THEN 'decomposed' ELSE 'single' END AS chosen "
+    f"FROM (SELECT doc_id, ['auto', 'single', 'decomposed'][doc_id % 3 + 1] AS mode, {list(BACKENDS)!r}[doc_id // 3 % {len(BACKENDS)} + 1] AS backend FROM documents)"
+)
 def extraction_modes(t):
-    return _of(t, [(m, b, extract.extraction_mode(m, b)) for m in ("auto", "single", "decomposed") for b in BACKENDS], "mode string, backend string, chosen string")
+    """Every document asks for a mode and goes to a backend, dealt by its id."""
+    modes = ("auto", "single", "decomposed")
+    at = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n + 1).cast("int"))
+    asked = t.documents.select("doc_id", at(modes, F.col("doc_id") % 3).alias("mode"), at(BACKENDS, F.floor(F.col("doc_id") / 3) % len(BACKENDS)).alias("backend"))
+    chosen = _of(t, [(m, b, extract.extraction_mode(m, b)) for m in modes for b in BACKENDS], "mode string, backend string, chosen string")
+    return asked.join(F.broadcast(chosen), ["mode", "backend"]).select("doc_id", "mode", "backend", "chosen")
 
 
 @query(f"WITH {PIECES} SELECT doc_id, false AS fast, k <= 3 AS auto, true AS quality FROM n")

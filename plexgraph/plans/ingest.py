@@ -107,11 +107,13 @@ def delete_document(store: Store, collection: str, file_name: str) -> int:
 
 
 def delete_collection(store: Store, collection: str) -> int:
-    """Without a collection: documents, chunks, graph, candidates, communities and reports; its progress, blacklist and place in the hierarchy stay."""
+    """Without a collection: documents, chunks, graph, candidates, communities and reports; its progress, blacklist and place in the hierarchy stay.  Returns the number of documents that went."""
+    gone = store.table("documents").where(F.col("collection") == collection).count()
     e, r, b = G.delete_collection(store.table("entities"), store.table("relations"), store.table("same_as"), collection)
     keep = F.col("collection") != collection
     rest = {n: store.table(n).where(keep) for n in ("documents", "chunks", "entity_desc_candidates", "communities", "community_build_state", "community_reports")}
-    return store.commit(entities=e, relations=r, same_as=b, **rest)
+    store.commit(entities=e, relations=r, same_as=b, **rest)
+    return gone
 
 
 def collect_orphans(store: Store) -> int:

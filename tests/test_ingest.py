@@ -157,6 +157,26 @@ def test_an_inbox_files_what_it_handled(spark, tmp_path):
     assert sorted(x.name for x in (tmp_path / "done").iterdir() if not x.name.startswith(".")) == ["a.md", "c.txt"] and (tmp_path / "failed" / "bad.md").exists()
 
 
+def test_a_failure_is_its_files_own(spark, tmp_path):
+    """One batch of three files, one of which fails: the others are done."""
+    from plexgraph.streaming.inbox import drain, filed
+
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for name in ("a.md", "bad.md", "c.txt"):
+        (inbox / name).write_text(name)
+    seen = []
+
+    def handle(documents, batch):
+        rows = [r.file_name for r in documents.collect()]
+        if "bad.md" in rows:
+            raise ValueError("bad")
+        seen.extend(rows)
+
+    drain(spark, str(inbox), "c", filed(spark, str(inbox), handle, str(tmp_path / "done"), str(tmp_path / "failed")), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(seen) == ["a.md", "c.txt"] and file_names(spark, str(inbox)) == [] and (tmp_path / "failed" / "bad.md").exists()
+
+
 def test_command_line_of_ingest(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setitem(sys.modules, "own_models", type(sys)("own_models"))
     sys.modules["own_models"].both = lambda: (Scripted(word_model), HashedNgrams())
@@ -183,6 +203,20 @@ def test_command_line_of_ingest(spark, tmp_path, capsys, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         run(spark, [*base, "ingest", "c", *tail])
     assert (tmp_path / "failed" / "c" / "g.md").exists()
+    # Of two files, the one that fails goes to failed, the other is done.
+    (inbox / "h.md").write_text("dora emil")
+    (inbox / "i.md").write_text("fritz")
+    monkeypatch.undo()
+    monkeypatch.setitem(sys.modules, "own_models", type(sys)("own_models"))
+    sys.modules["own_models"].both = lambda: (Scripted(word_model), HashedNgrams())
+    inner = I.ingest
+    monkeypatch.setattr(I, "ingest", lambda store, docs, *a, **k: 1 / 0 if docs.where("file_name = 'i.md'").count() else inner(store, docs, *a, **k))
+    with pytest.raises(ZeroDivisionError):
+        run(spark, [*base, "ingest", "c", *tail])
+    assert (tmp_path / "failed" / "c" / "i.md").exists() and (tmp_path / "done" / "c" / "h.md").exists() and store.table("documents").count() == 2
+    capsys.readouterr()
+    run(spark, [*base, "delete-collection", "c"])
+    assert capsys.readouterr().out.strip() == "2" and store.table("documents").count() == 0
 
 
 def test_copies_outlive_the_store(spark, tmp_path):

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numbering import numbered
+from .vectors import units
 
 PIVOTS = 16
 #: Rows of a group that are read for its pivots, on average.
@@ -28,29 +29,29 @@ def with_angles(rows: DataFrame, sizes: DataFrame, pivots: int = PIVOTS) -> Data
     """rows (g, k, u, ...) of groups whose n sizes tells, with angles to the group's pivots, nearest and least."""
     own = rows.join(sizes.select("g", "n"), "g")
     roll = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 40))
-    # About SAMPLED rows of each group, and no fewer than one: the least of all is always there.
-    few = own.where(roll < F.lit(float((1 << 40) * SAMPLED)) / F.col("n")).groupBy("g").agg(F.slice(F.array_sort(F.collect_list(F.struct(roll.alias("roll"), "u"))), 1, pivots).alias("few"))
-    least = own.groupBy("g").agg(F.min_by("u", roll).alias("first"))
+    # About SAMPLED different keys of each group, and no fewer than one: the least of all is always there.
+    some = own.where(roll < F.lit(float((1 << 40) * SAMPLED)) / F.col("n")).groupBy("g", roll.alias("roll")).agg(F.min("u").alias("u"))
+    few = some.groupBy("g").agg(F.slice(F.array_sort(F.collect_list(F.struct("roll", "u"))), 1, pivots).alias("few"))
+    least = own.groupBy("g").agg(F.min(F.struct(roll.alias("roll"), "u"))["u"].alias("first"))
     chosen = least.join(few, "g", "left").select("g", F.coalesce(F.transform("few", lambda x: x["u"]), F.array("first")).alias("pivots"))
 
-    def angles(vectors: pa.Array, around: pa.Array) -> pa.Array:
-        out, known = [], {}
-        for v, p in zip(vectors.to_pylist(), around.to_pylist(), strict=True):
-            key = tuple(map(tuple, p[:2])) + (len(p),)
-            if key not in known:
-                known = {key: _unit(np.array(p, float))}  # rows of a group follow each other in a batch, mostly
-            out.append(np.arccos(np.clip(known[key] @ _unit(np.array([v], float))[0], -1, 1)).tolist())
+    def angles(groups: pa.Array, vectors: pa.Array, around: pa.Array) -> pa.Array:
+        unit, places = units(pa.chunked_array([vectors])), {}
+        for i, g in enumerate(groups.to_pylist()):
+            places.setdefault(g, []).append(i)
+        out: list[list[float]] = [[]] * len(vectors)
+        for at in places.values():
+            own = np.array(around[at[0]].as_py(), float)
+            size = np.linalg.norm(own, axis=1, keepdims=True)
+            found = np.arccos(np.clip(unit[at] @ (own / np.where(size == 0, 1, size)).T, -1, 1))
+            for i, row in zip(at, found.tolist(), strict=True):
+                out[i] = row
         return pa.array(out, pa.list_(pa.float64()))
 
-    placed = own.join(chosen, "g").withColumn("angles", F.arrow_udf(angles, "array<double>").asNondeterministic()("u", "pivots")).drop("pivots", "n")
+    placed = own.join(chosen, "g").withColumn("angles", F.arrow_udf(angles, "array<double>").asNondeterministic()("g", "u", "pivots")).drop("pivots", "n")
     return placed.withColumn("least", F.array_min("angles")).withColumn("nearest", F.array_position("angles", F.col("least")))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(size == 0, 1, size)
-
-
 def celled(rows: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
     """rows, written once, with block: runs of at most block_rows of one group and nearest pivot, in the order of their angle to it."""
     placed = numbered(with_angles(rows, sizes), "g", "nearest", "least", "k", name="place")

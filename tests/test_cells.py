@@ -27,6 +27,11 @@ def test_pairs_equal_brute_force_and_few_cells_meet(spark):
     assert got == {(int(i), int(j)) for i, j in pairs(x, 0.9)}
     own = {(r.a, r.b) for r in resolve.similar_pairs(df, 0.3, 0.95, block_rows=100).collect()}
     assert own == {(int(i), int(j)) for i, j in pairs(x, 0.3, 0.95) if (i % 10 == 0) == (j % 10 == 0)}
+    # Two groups whose pivots are partly equal, and many rows of one vector.
+    y = np.concatenate([np.repeat(x[5:6], 150, 0), x[10:160]])
+    many = spark.createDataFrame([(g, g * 1000 + i, v.tolist()) for g in (0, 1) for i, v in enumerate(y * (1 if g else -1))], "collection int, name int, vector array<double>").repartition(3)
+    told = {(r.a, r.b) for r in resolve.similar_pairs(many, 0.9, block_rows=30).collect()}
+    assert told == {(g * 1000 + int(i), g * 1000 + int(j)) for g in (0, 1) for i, j in pairs(y, 0.9)}
     rows = df.selectExpr("'' as g", "name as k", "vector as u")
     blocks = cells.celled(rows, rows.groupBy("g").count().withColumnRenamed("count", "n"), 40)
     size = {r.block: r["count"] for r in blocks.groupBy("block").count().collect()}

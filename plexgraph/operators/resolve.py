@@ -58,11 +58,14 @@ def similar_pairs(vectors: DataFrame, low: float, high: float | None = None, key
     # A group of one block is one cell; larger ones lie in blocks of near vectors, and only those meet that may hold a pair.
     many = sizes.where(F.col("n") > block_rows)
     single = own.join(sizes.where(F.col("n") <= block_rows).select("g"), "g", "left_semi").withColumn("p", F.lit(-1).cast("long")).withColumn("q", F.lit(-1).cast("long"))
-    blocks = celled(own.join(many.select("g"), "g", "left_semi"), many, block_rows)
-    pairs = stage(meeting(blocks, low), "cell-pairs")
-    rows = blocks.drop("angles")
-    left = single.unionByName(rows.withColumnRenamed("block", "p").join(pairs, ["g", "p"]))
-    right = rows.withColumnRenamed("block", "q").join(pairs.where("p < q"), ["g", "q"])
+    if many.isEmpty():
+        left, right = single, single.where("false")
+    else:
+        blocks = celled(own.join(many.select("g"), "g", "left_semi"), many, block_rows)
+        pairs = stage(meeting(blocks, low), "cell-pairs")
+        rows = blocks.drop("angles")
+        left = single.unionByName(rows.withColumnRenamed("block", "p").join(pairs, ["g", "p"]))
+        right = rows.withColumnRenamed("block", "q").join(pairs.where("p < q"), ["g", "q"])
     right = right.toDF(*right.columns)  # columns of its own, not those of left
     kinds = [own.schema[c].dataType.simpleString() for c in ("g", "k")]
 

@@ -510,8 +510,7 @@ def report_models(t):
     low = _nation_communities(t).withColumn("level", F.lit(1)).withColumn("parent_community_id", F.concat(F.lit("all "), "collection"))
     high = low.groupBy("collection", F.col("parent_community_id").alias("community_id")).agg(F.array_sort(F.flatten(F.collect_list("entity_names"))).alias("entity_names")).withColumn("level", F.lit(0)).withColumn("parent_community_id", F.lit(None).cast("string"))
     one = lambda x: Scripted(lambda p: json.dumps({"title": x, "summary": "s"}))
-    links = B.relations(t).where("predicate = 'LOCATED_IN'")
-    return reports.generate_reports(low.unionByName(high.select(*low.columns)), B.entities(t), links, _of(t, [], TABLES["community_reports"]), one("low"), DEFAULTS, one("top")).select("collection", "community_id", "title")
+    return reports.generate_reports(low.unionByName(high.select(*low.columns)), B.entities(t), B.relations(t), _of(t, [], TABLES["community_reports"]), one("low"), DEFAULTS, one("top")).select("collection", "community_id", "title")
 
 
 QUESTION = "Where do the merchants meet?"

@@ -10,8 +10,12 @@ heading; a page's content are the blocks in slots of that region.
 
 What a template cannot tell is read from the markup: elements that by their name, role or class are
 menus, headers, footers, sidebars, notices, adverts, forms or reader comments are aligned like all
-others, but are never content, even where their text varies.  Only whole tokens of a class or id tell,
-and what holds the page's main (or, without one, all its articles) is never left out.  Where most of
+others, but are never content, even where their text varies.  Whole tokens of a class or id tell, and
+of a block's compound tokens (comments-area, site-footer) the first and the last part, unless the
+block holds more than half of the page's text.  What holds the page's main (or, without one, all its
+articles) is never left out.  Where no part of the template holds most of the varying text, the region
+is the part with the longest runs of text, if they are twice as long as those beside it and weigh more
+than all of them; its headings are then those inside it.  Where most of
 the region is constant, the pages are copies of each other and all of it is content.  On a host of
 fewer than MIN_PAGES pages, where nothing can be told from the others, and on a page that lacks its
 template's region, the articles (or mains) of the page itself are the region.
@@ -61,6 +65,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 NAME_PARTS = re.compile(r"[a-z]+")
+COMPOUND = re.compile(r"[-_]+")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -79,6 +84,9 @@ MARKS = {
     "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "share", "sharing", "sidebar", "sidenav",
     "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget",
 }
+#: Of a compound token that begins with one of the first, nothing is told; those of the second name an article's own header.
+RELATIVE = {"has", "is", "no", "not", "with", "without"}
+OWN = {"article", "content", "entry", "page", "post", "section", "story"}
 #: Of these, browsers show nothing that is read as text; of the first, not even an article inside.
 INERT = {"template", "noscript"}
 UNSEEN = {"audio", "canvas", "datalist", "embed", "head", "iframe", "input", "map", "noscript", "object", "select", "svg", "template", "video"} | RAW
@@ -115,6 +123,20 @@ def _never(tag: str, said: dict[str, str], inside_article: bool) -> int:
     return 0 if MARKS.isdisjoint(f"{said.get('class', '')} {said.get('id', '')}".lower().split()) else 1
 
 
+def _partly(tag: str, said: dict[str, str], inside_article: bool) -> bool:
+    """Whether a part of a compound token marks a block; ids (often a heading's words) only of a div outside articles."""
+    if tag in ("html", "body", "article", "main") or tag in HEADINGS:
+        return False
+    told = said.get("class", "") + (" " + said.get("id", "") if tag == "div" and not inside_article else "")
+    for token in told.lower().split():
+        parts = [x for x in COMPOUND.split(token) if x]
+        if len(parts) < 2 or parts[0] in RELATIVE or (parts[-1] in ("header", "banner") and (inside_article or parts[0] in OWN)):
+            continue
+        if parts[0] in MARKS or parts[-1] in MARKS:
+            return True
+    return False
+
+
 def _hidden(style: str) -> bool:
     """Whether declarations end up as display: none or visibility: hidden."""
     told: dict[str, tuple[bool, str]] = {}
@@ -129,22 +151,40 @@ def _hidden(style: str) -> bool:
 
 def parse(source: str | None) -> Block:
     """The page's tree of blocks, without what is never shown as text."""
-    root, found = _parse(source or "", frozenset())
+    root, found, partly = _parse(source or "", frozenset())
+    kept = _held(root, partly)
+    if kept:
+        root, found, _ = _parse(source or "", kept)
     chosen = [x for x in found if x[0] == "main"] or found
     if chosen and all(mute for _, _, mute in chosen):
         holders = [holder for _, holder, _ in chosen]
         spared = frozenset.union(*holders) if chosen[0][0] == "main" else frozenset.intersection(*holders)
         if spared:
-            root, _ = _parse(source or "", spared)
+            root, *_ = _parse(source or "", spared | kept)
     return root
 
 
-def _parse(source: str, spared: frozenset[int]) -> tuple[Block, list[tuple[str, frozenset[int], int]]]:
-    """The tree, and the articles and mains: name, where the elements that hold it start, and whether one of those is left out.
+def _held(root: Block, partly: list[tuple[int, Block]]) -> frozenset[int]:
+    """The starts of those blocks that hold more than half of the page's text."""
+    if not partly:
+        return frozenset()
+    order, rest = [], [root]
+    while rest:
+        order.append(rest.pop())
+        rest += order[-1].kids
+    chars: dict[int, int] = {}
+    for b in reversed(order):
+        chars[id(b)] = len(b.text) + sum(chars[id(k)] for k in b.kids)
+    return frozenset(low for low, b in partly if 2 * chars[id(b)] > chars[id(root)])
+
+
+def _parse(source: str, spared: frozenset[int]) -> tuple[Block, list[tuple[str, frozenset[int], int]], list[tuple[int, Block]]]:
+    """The tree, the articles and mains (name, where the elements that hold it start, whether one of those is left out), and the blocks that a part of a token marks, with their starts.
 
     Elements that start where spared says are not left out."""
     root = Block("html", "html")
     found: list[tuple[str, frozenset[int], int]] = []
+    partly: list[tuple[int, Block]] = []
     # Open elements: (tag, block that takes their text, mute, inside an article, start).
     open_: list[tuple[str, Block, int, bool, int]] = [("", root, 0, False, -1)]
     held: list[str] = []
@@ -229,6 +269,9 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Block, list[tuple[str,
         # 2: not shown as text; 1: shown, but no content. What is left out inside a line is not aligned.
         if said or tag in TOLD:
             mute = max(mute, 2 if tag in INERT else 0 if low in spared else 2 if tag in UNSEEN else _never(tag, said, article))
+        marked = bool(said) and tag in BLOCK and mute < 2 and low not in spared and _partly(tag, said, article)
+        if marked:
+            mute = 1
         if mute == 1 and tag not in BLOCK and not open_[-1][2]:
             mute = 2
         if article and not mute and tag in HEADED and any(x[0] == "header" for x in open_):
@@ -249,16 +292,18 @@ def _parse(source: str, spared: frozenset[int]) -> tuple[Block, list[tuple[str,
                 own = Block(tag, ("!" if mute else "") + tag + kinds, mute > 0)
                 into.kids.append(own)
                 into = own
+                if marked:
+                    partly.append((low, own))
         if body.endswith("/") and tag not in BLOCK:
             continue
         open_.append((tag, into, mute, article or tag in ("article", "main") or said.get("role") == "main", low))
     flush()
-    return root, found
+    return root, found, partly
 
 
-# A template node: [label, pages, chars, link chars, {text that most pages share: pages}, kids].
+# A template node: [label, pages, chars, link chars, {text that most pages share: pages}, kids, runs of text].
 def _node(label: str) -> list:
-    return [label, 0, 0, 0, {}, []]
+    return [label, 0, 0, 0, {}, [], 0]
 
 
 def _mark(text: str) -> int:
@@ -304,7 +349,7 @@ def of_page(block: Block) -> list:
     while rest:
         own, holder = rest.pop()
         node = _node(own.label)
-        node[1], node[2], node[3] = 1, len(own.text), own.links
+        node[1], node[2], node[3], node[6] = 1, len(own.text), own.links, int(bool(own.text))
         order.append(node)
         if holder:
             holder[5].append(node)
@@ -335,6 +380,7 @@ def _work(work: list[tuple], pages: int | None) -> None:
         a[1] += b[1] if pages is None else pages
         a[2] += b[2]
         a[3] += b[3]
+        a[6] += b[6]
         if not b[5]:
             continue
         if pages == 0:
@@ -425,29 +471,48 @@ def align(a: list[list], b: list[list], known: dict[tuple[int, int], int]) -> li
 
 
 def region(template: list) -> list | None:
-    """The template's node that holds most of the varying text; None where none varies."""
+    """The template's node that holds most of the varying text, or else the longest runs of it; None where none varies."""
     total = template[1]
     order = _numbered(template)
+    runs: dict[int, int] = {}  # runs of such text
     varies: dict[int, int] = {}  # chars of a node and below that are neither links nor aside nor of texts that most pages share
     heading: set[int] = set()  # nodes that have a varying main heading
     for node in reversed(order):
         shared = sum((int(mark) >> 32) * n for mark, n in node[4].items() if n >= CONSTANT * total) if total >= MIN_PAGES else 0
         own = 0 if node[0][0] == "!" else max(0, node[2] - node[3] - shared) + sum(varies[id(k)] for k in node[5])
         varies[id(node)] = own
+        runs[id(node)] = (node[6] if own and node[0] == "#" else 0) + sum(runs[id(k)] for k in node[5] if varies[id(k)])
         if own and (node[0].split(".")[0] == "h1" or any(id(k) in heading for k in node[5])):
             heading.add(id(node))
     whole, path = varies[id(template)], [template]
     if not whole:
         return None
+    low = 0  # where the path last went by the length of runs
     while True:
         kid = max((k for k in path[-1][5] if k[0] != "#"), key=lambda k: varies[id(k)], default=None)
-        if kid is None or 2 * varies[id(kid)] <= whole or kid[1] < CONSTANT * path[-1][1] or kid[0].split(".")[0] in ("p", "li", "tr", "td", "pre", "blockquote", *HEADINGS):
+        if kid is not None and 2 * varies[id(kid)] <= whole:
+            kid = _longest([k for k in path[-1][5] if varies[id(k)]], varies, runs)
+            if kid is not None:
+                whole, low = varies[id(kid)], len(path)
+        if kid is None or kid[1] < CONSTANT * path[-1][1] or kid[0].split(".")[0] in ("p", "li", "tr", "td", "pre", "blockquote", *HEADINGS):
             break
         path.append(kid)
+    path = path[min(low, len(path) - 1) :]
     held = next((x for x in path if x[0].split(".")[0] == "article"), None)
     return held or next((x for x in reversed(path) if id(x) in heading), path[-1])
 
 
+def _longest(kids: list[list], varies: dict[int, int], runs: dict[int, int]) -> list | None:
+    """The kid whose runs of varying text are twice as long as those of its siblings together, and weigh more, by chars x mean length."""
+    weight = {id(k): varies[id(k)] ** 2 / max(1, runs[id(k)]) for k in kids}
+    best = max((k for k in kids if k[0] != "#"), key=lambda k: weight[id(k)], default=None)
+    if best is None or 2 * weight[id(best)] <= sum(weight.values()):
+        return None
+    rest = [k for k in kids if k is not best]
+    chars, n = sum(varies[id(k)] for k in rest), sum(runs[id(k)] for k in rest)
+    return best if varies[id(best)] * max(1, n) >= 2 * chars * max(1, runs[id(best)]) else None
+
+
 def _articles(block: Block) -> list[Block]:
     for tag in ("article", "main"):
         out, rest = [], [block]
@@ -507,8 +572,8 @@ def extract(root: Block, template: list | None, wanted: list | None = None) -> s
 
 
 def _pack(node: list) -> str:
-    """The nodes in order, each with the number of its kids."""
-    return json.dumps([[*n[:5], len(n[5])] for n in _numbered(node)], separators=(",", ":"))
+    """The nodes in order, each with the number of its kids in their place."""
+    return json.dumps([[*n[:5], len(n[5]), n[6]] for n in _numbered(node)], separators=(",", ":"))
 
 
 def _unpack(packed: str) -> list:

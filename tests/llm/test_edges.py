@@ -172,6 +172,46 @@ def test_the_template_decides_what_no_markup_tells():
     assert [extract(t, template) for t in trees] == want
 
 
+def test_parts_of_compound_classes_tell_on_pages_without_an_article():
+    from plexgraph.llm.wrapper import extract, parse
+
+    text = lambda page: extract(parse(page), None)
+    sides = "<div class=site-header>Site menu</div><div class=cookie-banner>We use cookies</div>{}<div class='x ad_slot'>Buy now</div><div class=comments-area><p>nice</div><div id=site-footer>(c) 2020</div>"
+    body = "<div class=story><h1>Title</h1><p>The whole text of this page.</p><p>And more of it.</p></div>"
+    assert text(sides.format(body)) == "Title\n\nThe whole text of this page.\n\nAnd more of it."
+    # What holds most of the text stays, however it is called, and nothing is told by has-sidebar or an article's own header.
+    for name in ("layout-sidebar", "has-sidebar", "menu-page"):
+        assert text(f"<div class={name}>{sides.format(body)}</div>") == text(body)
+    assert text(f"<div class=no-comments><p>short</div><div class=post-header>head</div>{body}") == "short\n\nhead\n\n" + text(body)
+    # An id that comes from a heading's words, in an article or at a heading.
+    kept = "<article><h2 id=related-work>Related work</h2><div id=social-security><p>On it.</div><p>End.</article>"
+    assert text(kept) == "Related work\n\nOn it.\n\nEnd."
+    deep = "<div class=x-sidebar>" * 3000 + "<p>held by all" + "</div>" * 3000
+    assert text(deep) == "held by all"
+
+
+def test_the_longest_runs_are_the_region_where_nothing_holds_most(spark):
+    """Eight pages whose text, side rail and comments vary alike, without names that tell."""
+    from plexgraph.llm.wrapper import main_text
+
+    r = random.Random(5)
+    words = lambda n: " ".join(prose(r, n).split())
+    rows, want, plain, whole = [], [], [], []
+    for i in range(8):
+        body = [words(40) + f" {i}" for _ in range(3)]
+        rail = "".join(f"<p>{words(8)} {i}</p>" for _ in range(8))
+        said = "".join(f"<div><p>{words(7)} {i}</p></div>" for _ in range(8))
+        rows.append((i, f"http://a.com/{i}", f"<div class=r>{rail}</div><div class=b><h1>{words(5)} t{i}</h1>" + "".join(f"<p>{x}</p>" for x in body) + f"</div><div class=c>{said}</div>"))
+        want.append(body)
+        # An article in sections of like runs is never cut.
+        parts = [words(40) + f" {i}" for _ in range(5)]
+        plain.append((100 + i, f"http://b.com/{i}", "".join(f"<div class=s{j}><p>{x}</p></div>" for j, x in enumerate(parts))))
+        whole.append("\n\n".join(parts))
+    got = {x.page_id: x.text for x in main_text(spark.createDataFrame(rows + plain, "page_id long, url string, html string")).collect()}
+    assert [got[i].split("\n\n")[1:] for i in range(8)] == want and all(got[i].split("\n\n")[0].endswith(f"t{i}") for i in range(8))
+    assert [got[100 + i] for i in range(8)] == whole
+
+
 def test_pages_in_spark_are_what_extract_makes_of_them(spark):
     """Random pages of three hosts, against templates, counts and extraction one page at a time."""
     from plexgraph.llm.wrapper import CONSTANT, MIN_PAGES, _mark, _numbered, _runs, extract, main_text, merge, of_page, parse

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULTS
-from .operators import community, export, extract, lifecycle, resolve, scope
+from .operators import export, extract, lifecycle, resolve, scope
 from .operators import graph as G
-from .plans import evaluate, ingest, reports, resolution, search
+from .plans import communities, evaluate, ingest, resolution, search
 from .providers import HashedNgrams
+from .schema import TABLES
 from .sources.files import file_names, route, whole_files
 from .sources.store import Store
 from .streaming.inbox import one_by_one
@@ -73,7 +74,7 @@ def parser() -> argparse.ArgumentParser:
     add("blacklist-remove", *pair)
     add("alias", one, (("name",), {}), (("alias",), {}))
     add("summarize-descriptions")
-    add("communities", some, (("--no-reports",), {"action": "store_true"}))
+    add("communities", some, (("--no-reports",), flag), (("--force",), {"action": "store_true", "help": "detect unchanged collections too"}))
     add("bridge", some, (("--threshold",), {"type": float, "default": DEFAULTS.bridge_threshold}), (("--apply",), {"action": "store_true"}))
     add("set-parent", one, (("parent",), {}))
     add("unset-parent", one)
@@ -113,7 +114,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     names = scope.expand_scope(t("collection_meta"), getattr(args, "collections", None))
     match args.command:
         case "init":
-            store.commit(**{n: t(n) for n in ("documents", "entities", "relations")})
+            store.commit(**{n: t(n) for n in TABLES})
         case "ingest":
             _ingest(spark, store, args)
         case "usage":
@@ -123,7 +124,8 @@ def run(spark: SparkSession, argv: list[str]) -> None:
                 _show(t("api_usage").orderBy("usage_date"))
         case "delete":
             ingest.delete_document(store, args.collection, args.file_name)
-            store.commit(entities=G.drop_isolated(t("entities"), t("relations"), [args.collection]))
+            own = [args.collection]
+            store.commit(own, entities=G.drop_isolated(t("entities", own), t("relations", own), own))
         case "delete-collection":
             print(ingest.delete_collection(store, args.collection))
         case "query":
@@ -156,23 +158,15 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         case "blacklist-add" | "blacklist-remove":
             row = spark.createDataFrame([(args.collection, args.node_a, args.node_b, getattr(args, "reason", ""))], "collection string, node_a string, node_b string, reason string")
             change = resolve.add_blacklist if args.command == "blacklist-add" else resolve.remove_blacklist
-            store.commit(merge_blacklist=change(t("merge_blacklist"), row))
+            store.commit([args.collection], merge_blacklist=change(t("merge_blacklist", [args.collection]), row))
         case "alias":
             row = spark.createDataFrame([(args.collection, args.name, args.alias)], "collection string, name string, alias string")
-            store.commit(entities=G.add_aliases(t("entities"), row))
+            store.commit([args.collection], entities=G.add_aliases(t("entities", [args.collection]), row))
         case "summarize-descriptions":
             store.commit(entities=extract.summarised(t("entities"), t("entity_desc_candidates"), _providers(args)[0], DEFAULTS.min_candidates))
         case "communities":
-            e, r = scope.in_scope(t("entities"), names), scope.in_scope(t("relations"), names)
-            found = community.detect(e, r).persist()
-            out = {"communities": community.replace_communities(t("communities"), found)}
-            if not args.no_reports:
-                old = t("community_reports")
-                new = reports.generate_reports(found, e, r, old, _providers(args)[0])
-                out["community_reports"] = community.replace_communities(old, new) if new.limit(1).count() else old.join(found.select("collection").distinct(), "collection", "left_anti").select(*old.columns)
-            signed = community.graph_signatures(e, r).select("collection", F.lit(False).alias("dirty"), "graph_signature")
-            out["community_build_state"] = community.replace_communities(t("community_build_state"), signed)
-            store.commit(**out)
+            anew, told = communities.build(store, None if args.no_reports else _providers(args)[0], names, force=args.force)
+            print(json.dumps({"detected": anew, "reported": told}, ensure_ascii=False))
         case "bridge":
             embedding = _providers(args)[1] if args.provider else HashedNgrams()
             found = resolve.bridge_candidates(resolution.named_vectors(scope.in_scope(t("entities"), names), embedding, described=True), t("same_as"), args.threshold).persist()

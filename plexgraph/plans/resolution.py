@@ -11,6 +11,7 @@ from ..operators.scope import in_scope
 from ..providers import Embedding, embedded
 from ..sources.store import Store
 from ..staging import stage
+from .ingest import touched
 
 
 def named_vectors(entities: DataFrame, embedding: Embedding, described: bool = False) -> DataFrame:
@@ -34,13 +35,14 @@ def merge(store: Store, embedding: Embedding | None, threshold: float, scope: li
             continue
         if backups and not gone:
             store.backup(backups)
-        _commit(store, *resolve.apply_merges(e, r, b, pairs), pairs)
+        _commit(store, touched(pairs), *resolve.apply_merges(e, r, b, pairs), pairs)
         gone += n
     return gone
 
 
-def _commit(store: Store, entities: DataFrame, relations: DataFrame, bridges: DataFrame, pairs: DataFrame, **more: DataFrame) -> None:
-    store.commit(entities=entities, relations=relations, same_as=bridges, community_build_state=mark_dirty(store.table("community_build_state"), pairs), **more)
+def _commit(store: Store, some: list[str], entities: DataFrame, relations: DataFrame, bridges: DataFrame, pairs: DataFrame, **more: DataFrame) -> None:
+    """Write some collections, and the bridges; those with a pair are dirty."""
+    store.commit(some, entities=entities, relations=relations, same_as=bridges, community_build_state=mark_dirty(store.table("community_build_state"), pairs), **more)
 
 
 def review(store: Store, embedding: Embedding, low: float, high: float, scope: list[str] | None = None) -> DataFrame:
@@ -56,4 +58,4 @@ def decide(store: Store, decided: DataFrame, backups: str | None = None) -> None
         store.backup(backups)
     e, r, b, black = (store.table(n) for n in ("entities", "relations", "same_as", "merge_blacklist"))
     *graph, black = resolve.apply_review(e, r, b, black, decided)
-    _commit(store, *graph, decided.where("approved"), merge_blacklist=black)
+    _commit(store, touched(decided), *graph, decided.where("approved"), merge_blacklist=black)

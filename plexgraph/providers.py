@@ -89,9 +89,9 @@ class LocalHttp:
 
 
 class CommandLine:
-    """A program that reads the prompt from its standard input and writes its answer to the file that the prompt's last line names.
+    """A program that gets the prompt through a pipe and leaves its answer in the file that the prompt's last line names.
 
-    Both lie in files of the worker's own that are always removed; a failure or an empty file fails the call."""
+    The file lies in a folder of the worker's own that goes with the call; a failure or an empty file fails the call."""
 
     def __init__(self, command: list[str], timeout: float = 600.0):
         self.command, self.timeout = command, timeout
@@ -99,11 +99,8 @@ class CommandLine:
     def generate(self, prompt: str, *, json: bool = False) -> str:
         with tempfile.TemporaryDirectory(prefix="plexgraph-call-") as folder:
             answer = Path(folder) / "answer.txt"
-            asked = Path(folder) / "prompt.txt"
-            asked.write_text(f"{prompt}\n\nWrite the answer, as plain text and nothing else, to this file: {answer}", encoding="utf-8")
             try:
-                with asked.open("rb") as source:
-                    subprocess.run(self.command, stdin=source, capture_output=True, timeout=self.timeout, check=True)
+                subprocess.run(self.command, input=f"{prompt}\n\nYour reply belongs in this file: {answer}".encode(), capture_output=True, timeout=self.timeout, check=True)
             except (OSError, subprocess.SubprocessError) as e:
                 raise ProviderError(f"{self.command[0]}: {e}") from e
             said = answer.read_text(encoding="utf-8").strip() if answer.exists() else ""

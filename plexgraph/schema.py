@@ -37,5 +37,9 @@ PARTICLES = ("이", "가", "은", "는", "을", "를", "과", "와")
 FIRST_PERSON = ("나", "내", "저")
 NARRATOR = "화자"
 
+#: The label of a numbered text in a prompt, and the note on calls that failed.
+TEXT_LABEL = "[본문 {}]"
+FAILED_CALLS = "\n\n※ MAP 호출 {}/{}건이 실패했습니다 — 로그를 확인하세요."
+
 #: Backends for which the automatic extraction mode is the decomposed one.
 DECOMPOSED_BACKENDS = ("ollama", "claude_cli", "codex_cli")

@@ -1,7 +1,11 @@
 """Versioned Parquet tables: every commit writes new snapshots, then one pointer file.
 
 A reader sees the old version or the new one, never a mixture; a restore moves the pointer to a kept
-version, or brings back a copy that lies outside the store.  Paths go through Hadoop's file systems, so a store may lie anywhere Spark reads."""
+version, or brings back a copy that lies outside the store.  Paths go through Hadoop's file systems, so a store may lie anywhere Spark reads.
+
+A table with a collection column has a folder for each collection in each commit's folder.  A version
+names the folders that it consists of, so a commit of some collections writes theirs alone and goes
+on naming the others' where they lie: {table: {commit folder: [collection folders], or [] for all}}."""
 
 from __future__ import annotations
 
@@ -10,9 +14,13 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import TABLES
 
+#: A version: for each table its commits' folders, with the collections' folders that count.
+Folders = dict[str, dict[str, list[str]]]
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -25,32 +33,63 @@ class Store:
         at = self._path(f"{self.root}/versions")
         return sorted(int(x.getPath().getName()) for x in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
-    def _read(self, version: int) -> dict[str, str]:
+    def _read(self, version: int) -> Folders:
         rows = self.spark.read.text(f"{self.root}/versions/{self._read_name(version)}").collect()  # one small file
         return json.loads("".join(r.value for r in rows))
 
-    def current(self) -> dict[str, str]:
+    def current(self) -> Folders:
         found = self._versions()
         return self._read(found[-1]) if found else {}
 
-    def table(self, name: str) -> DataFrame:
-        """The table, empty if it was never written."""
-        path = self.current().get(name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{path}") if path else self.spark.createDataFrame([], TABLES[name])
-
-    def commit(self, **tables: DataFrame) -> int:
-        """Write tables as one new version.  The pointer is created, not replaced: of two writers one fails."""
-        paths = {}
+    def table(self, name: str, only: list[str] | None = None) -> DataFrame:
+        """The table, empty if it was never written; of a table by collections, those in only, whose folders alone are listed."""
+        base, kept = f"{self.root}/data/{name}", self.current().get(name, {})
+        if only is not None and self._by_collection(name):
+            wanted = {self._folder(x) for x in only}
+            kept = {c: own for c, xs in kept.items() if (own := [x for x in xs or self._folders(name, c) if x in wanted])}
+        paths = [f"{base}/{c}/{x}" if x else f"{base}/{c}" for c, xs in kept.items() for x in xs or [""]]
+        empty = self.spark.createDataFrame([], TABLES[name])
+        if not paths:
+            return empty
+        return self.spark.read.schema(TABLES[name]).option("basePath", base).parquet(*paths).select(*empty.columns)
+
+    def commit(self, only: list[str] | None = None, **tables: DataFrame) -> int:
+        """Write tables as one new version.  The pointer is created, not replaced: of two writers one fails.
+
+        With only, the tables by collections are written for those alone (their other rows are not
+        looked at), and all other collections keep the files that they have."""
+        before, after = self.current(), {}
         for name, df in tables.items():
             want = self.spark.createDataFrame([], TABLES[name]).schema
-            path = f"data/{name}/{uuid.uuid4().hex}"
+            commit = f"commit={uuid.uuid4().hex}"
             own = df.select(*[df[f.name].cast(f.dataType) for f in want])
-            writer = own.write.partitionBy("collection") if "collection" in want.names and len(want) > 1 else own.write
-            writer.parquet(f"{self.root}/{path}")
-            paths[name] = path
-        return self._point(self.current() | paths)
-
-    def _point(self, paths: dict[str, str]) -> int:
+            if not self._by_collection(name):
+                own.write.parquet(f"{self.root}/data/{name}/{commit}")
+                after[name] = {commit: []}
+                continue
+            if only is not None:
+                own = own.where(F.col("collection").isin(only))
+            own.write.partitionBy("collection").parquet(f"{self.root}/data/{name}/{commit}")
+            kept = {}
+            if only is not None:
+                replaced = {self._folder(x) for x in only}
+                kept = {c: rest for c, xs in before.get(name, {}).items() if (rest := [x for x in xs or self._folders(name, c) if x not in replaced])}
+            after[name] = kept | ({commit: []} if self._folders(name, commit) else {})
+        return self._point(before | after)
+
+    def _by_collection(self, name: str) -> bool:
+        return TABLES[name].startswith("collection string,") or ", collection string" in TABLES[name]
+
+    def _folder(self, collection: str) -> str:
+        """The name of a collection's folder, escaped as Spark's writer does."""
+        return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("collection", collection)
+
+    def _folders(self, name: str, commit: str) -> list[str]:
+        """The collection folders of a commit."""
+        found = (x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/data/{name}/{commit}")))
+        return sorted(x for x in found if x.startswith("collection="))
+
+    def _point(self, paths: Folders) -> int:
         found = self._versions()
         version = (found[-1] if found else 0) + 1
         self._write(f"{self.root}/versions/{version:08d}", json.dumps(paths))
@@ -96,8 +135,20 @@ class Store:
         """Forget all versions but the newest `keep`, and data that only they had."""
         found = self._versions()
         old, new = found[:-keep], found[-keep:]
-        used = {p for v in new for p in self._read(v).values()}
-        gone = {p for v in old for p in self._read(v).values()} - used
+        used: dict[str, set[str]] = {}  # commit folders with what is used of them; "" is all
+        for v in new:
+            for name, own in self._read(v).items():
+                for c, xs in own.items():
+                    used.setdefault(f"data/{name}/{c}", set()).update(xs or [""])
+        gone = set()
+        for v in old:
+            for name, own in self._read(v).items():
+                for c, xs in own.items():
+                    at = f"data/{name}/{c}"
+                    if at not in used:
+                        gone.add(at)
+                    elif "" not in used[at]:
+                        gone |= {f"{at}/{x}" for x in xs or self._folders(name, c) if x not in used[at]}
         for v in old:
             self._fs.delete(self._path(f"{self.root}/versions/{self._read_name(v)}"), False)
         for p in gone:

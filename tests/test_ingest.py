@@ -4,6 +4,7 @@ import json
 import sys
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from urllib.parse import unquote
 
 import pytest
 from pyspark import cloudpickle
@@ -311,3 +312,68 @@ def test_command_line_provider_fails_closed(tmp_path):
             CommandLine(command).generate("hi")
     with pytest.raises(ProviderError):
         CommandLine([sys.executable, "-c", "import time; time.sleep(9)"], timeout=0.5).generate("hi")
+
+
+def _files(store, name):
+    """The data files that a table's newest version consists of, by collection."""
+    out = {}
+    for r in store.table(name).select(F.input_file_name().alias("f")).distinct().collect():
+        out.setdefault(r.f.split("collection=")[1].split("/")[0], set()).add(r.f)
+    return out
+
+
+def test_an_ingest_into_one_of_fifty_collections_writes_that_one_s_files_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    names = [f"k {i}/%[{i}]" for i in range(49)] + ["one"]
+    for table, row in {
+        "entities": lambda c: (c, "anna", "PERSON", "", []), "relations": lambda c: (c, "anna", "ben", "P", "", "s0"), "chunks": lambda c: (c, "s0", 0, "t", [1.0]),
+        "documents": lambda c: (f"s{c}", c, "old.md", "t", "h", None), "community_build_state": lambda c: (c, False, "x"), "entity_desc_candidates": lambda c: (c, "anna", "s0", "d"),
+    }.items():
+        store.commit(**{table: spark.createDataFrame([row(c) for c in names], store.table(table).schema)})
+    wide = ("entities", "relations", "chunks", "documents", "entity_desc_candidates", "community_build_state")
+    before, counts = {n: _files(store, n) for n in wide}, {n: store.table(n).count() for n in wide}
+    written = set(p for p in (tmp_path / "s" / "data").rglob("*.parquet"))
+    I.ingest(store, spark.createDataFrame([("one", "new.md", "cem dora")], DOCS), Scripted(word_model), HashedNgrams())
+    after = {n: _files(store, n) for n in wide}
+    for n in wide:
+        assert len(before[n]) == 50 and {c: f for c, f in after[n].items() if c != "one"} == {c: f for c, f in before[n].items() if c != "one"}
+    fresh = {p for p in (tmp_path / "s" / "data").rglob("*.parquet")} - written
+    assert fresh and all("collection=one" in str(p) or "/same_as/" in str(p) for p in fresh)
+    assert store.table("documents").count() == counts["documents"] + 1 and store.table("documents", ["one"]).count() == 2
+    assert sorted(r.name for r in store.table("entities", ["one"]).collect()) == ["anna", "cem", "dora"]
+    assert store.table("entities", [names[3]]).collect()[0].collection == names[3] and store.table("entities", ["none"]).count() == 0 and store.table("entities", []).count() == 0
+    # A collection that goes writes nothing, and pruning forgets what no kept version names.
+    I.delete_collection(store, names[7])
+    assert store.table("documents").count() == counts["documents"] and store.table("documents", [names[7]]).count() == 0
+    store.prune(keep=1)
+    assert store.table("entities").count() == 51 and len(_files(store, "entities")) == 49
+    assert {p.parent.name for p in (tmp_path / "s" / "data" / "entities").rglob("*.parquet")} == {f"collection={unquote(c)}" for c in _files(store, "entities")}
+
+
+def test_only_collections_that_changed_are_detected_and_reported(spark, tmp_path, monkeypatch):
+    from plexgraph.operators import community
+    from plexgraph.plans import communities
+
+    store, asked, detected = Store(spark, str(tmp_path / "s")), [], []
+    ring = ["a", "b", "c", "d"]
+    entities = [(k, n, "", f"about {n}", []) for k in "xyz" for n in ring]
+    links = [(k, n, m, "P", "", "s") for k in "xyz" for n, m in zip(ring, ring[1:] + ring[:1], strict=True)]
+    store.commit(entities=spark.createDataFrame(entities, ENTITIES), relations=spark.createDataFrame(links, RELATIONS))
+    model = Scripted(lambda prompt: json.dumps({"title": "t", "summary": "s", "rating": 1}))
+    plain, said = community.detect, communities.reports.generate_reports
+    monkeypatch.setattr(community, "detect", lambda e, r, *more: detected.append(sorted({x.collection for x in e.collect()})) or plain(e, r, *more))
+    monkeypatch.setattr(communities.reports, "generate_reports", lambda c, *more: asked.append(sorted({x.collection for x in c.collect()})) or said(c, *more))
+    every = list("xyz")
+    assert communities.build(store) == (every, []) and store.table("community_build_state").where("dirty").count() == 3
+    assert communities.build(store, model) == ([], every) and store.table("community_reports").select("collection").distinct().count() == 3
+    seen, version = store.table("community_reports").count(), len(store._versions())
+    assert communities.build(store, model) == ([], []) and (detected, asked) == ([every], [every]) and len(store._versions()) == version
+    assert store.table("community_build_state").where("dirty").count() == 0
+    # One graph changes, one collection is only marked, one goes.
+    store.commit(["x"], relations=store.table("relations", ["x"]).unionByName(spark.createDataFrame([("x", "a", "c", "P", "", "s")], RELATIONS)))
+    store.commit(["y"], community_build_state=L.mark_dirty(store.table("community_build_state", ["y"]), spark.createDataFrame([("y",)], "collection string")))
+    store.commit(["z"], entities=store.table("entities", []), relations=store.table("relations", []))
+    assert communities.build(store, model) == (["x"], ["x", "y"]) and (detected[1:], asked[1:]) == ([["x"]], [["x", "y"]])
+    assert {r.collection for r in store.table("communities").collect()} == {r.collection for r in store.table("community_reports").collect()} == {"x", "y"} and seen
+    assert {(r.collection, r.dirty) for r in store.table("community_build_state").collect()} == {("x", False), ("y", False)}
+    assert communities.build(store, model) == ([], []) and communities.build(store, model, ["y"], force=True) == (["y"], ["y"])

@@ -331,15 +331,15 @@ PAIRED = f"{UNIT}, p AS (SELECT a.collection, lpad(CAST(a.vec_id AS VARCHAR), 12
 @query(f'WITH {PAIRED} SELECT collection, keep, "drop", score FROM p WHERE score > 0.3')
 def merge_candidates(t):
     links = _of(t, [], TABLES["relations"])
-    return resolve.merge_candidates(_lettered(t), links, 0.3, _blacklist(t)).withColumn("score", F.round("score", 6))
+    return resolve.merge_candidates(_lettered(t), links, 0.3, _blacklist(t), digits=6)
 
 
 @query(f"WITH {PAIRED} SELECT collection, keep, \"drop\", score, 'about ' || keep AS keep_description, CAST(0 AS BIGINT) AS drop_relations FROM p WHERE score > 0.25 AND score <= 0.3")
 def review_candidates(t):
     links = _of(t, [], TABLES["relations"])
     e = _lettered(t).select("collection", "name", F.lit("").alias("type"), F.concat(F.lit("about "), "name").alias("description"), F.array().cast("array<string>").alias("aliases"))
-    got = resolve.review_candidates(_lettered(t), e, links, 0.25, 0.3, _blacklist(t))
-    return got.select("collection", "keep", "drop", F.round("score", 6).alias("score"), F.col("keep_context.description").alias("keep_description"), F.col("drop_context.n_relations").cast("long").alias("drop_relations"))
+    got = resolve.review_candidates(_lettered(t), e, links, 0.25, 0.3, _blacklist(t), digits=6)
+    return got.select("collection", "keep", "drop", "score", F.col("keep_context.description").alias("keep_description"), F.col("drop_context.n_relations").cast("long").alias("drop_relations"))
 
 
 @query(f"WITH {ENTITIES} SELECT collection, name, upper(replace(name, '#', ' - ')) AS aliases FROM entities WHERE type = 'PERSON'")

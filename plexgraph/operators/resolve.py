@@ -46,13 +46,18 @@ def normalized_duplicates(entities: DataFrame, relations: DataFrame, blacklist:
     return not_blacklisted(pairs, blacklist)
 
 
-def similar_pairs(vectors: DataFrame, low: float, high: float | None = None, key: str = "name", vector: str = "vector", group: str | None = "collection", apart: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_pairs(vectors: DataFrame, low: float, high: float | None = None, key: str = "name", vector: str = "vector", group: str | None = "collection", apart: str | None = None, block_rows: int = BLOCK_ROWS, digits: int | None = None) -> DataFrame:
     """Pairs a < b of one group with low < cosine (<= high), of different values of apart if given: exact.
 
+    With digits the cosine is rounded to that many places first, and the bounds hold for what is then shown.
+
     A group of more than block_rows rows is cut into blocks of near vectors (cells.py); a row goes to the
     cells where its block meets another that may hold a pair with it, and a cell is one matrix product, so
     a large group is spread over many tasks and most of a clustered one's cells are never made."""
     ready(vectors.sparkSession)
+    shown, slack = F.col("score") if digits is None else F.round("score", digits), 0.0 if digits is None else 10.0**-digits
+    within = (shown > low) if high is None else (shown > low) & (shown <= high)
+    low, high = low - slack, None if high is None else high + slack  # what may round into the bounds
     own = vectors.select(*([F.col(group).alias("g")] if group else [F.lit("").alias("g")]), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("u"), *([F.col(apart).cast("string").alias("x")] if apart else []))
     sizes = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     # A group of one block is one cell; larger ones lie in blocks of near vectors, and only those meet that may hold a pair.
@@ -88,12 +93,14 @@ def similar_pairs(vectors: DataFrame, low: float, high: float | None = None, key
         return pa.table({"g": groups.take(pa.array(np.zeros(len(i), np.int64))), "a": names[0].take(pa.array(i)), "b": names[1].take(pa.array(j)), "score": pa.array(score, pa.float64())})
 
     met = left.groupBy("g", "p", "q").cogroup(right.groupBy("g", "p", "q")).applyInArrow(cell, f"g {kinds[0]}, a {kinds[1]}, b {kinds[1]}, score double").where("a <> b")
+    if digits is not None:
+        met = met.where(within).withColumn("score", shown)
     return met.select(*([F.col("g").alias(group)] if group else []), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
-def merge_candidates(vectors: DataFrame, relations: DataFrame, threshold: float = 0.92, blacklist: DataFrame | None = None) -> DataFrame:
+def merge_candidates(vectors: DataFrame, relations: DataFrame, threshold: float = 0.92, blacklist: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """(collection, keep, drop, score) above threshold; keep is the best connected, then shorter, then lesser name."""
-    return not_blacklisted(_kept(similar_pairs(vectors, threshold), relations), blacklist)
+    return not_blacklisted(_kept(similar_pairs(vectors, threshold, digits=digits), relations), blacklist)
 
 
 def _kept(pairs: DataFrame, relations: DataFrame) -> DataFrame:
@@ -105,18 +112,18 @@ def _kept(pairs: DataFrame, relations: DataFrame) -> DataFrame:
     return both.select("collection", F.when(first, F.col("a")).otherwise(F.col("b")).alias("keep"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("drop"), "score")
 
 
-def review_candidates(vectors: DataFrame, entities: DataFrame, relations: DataFrame, low: float = 0.80, high: float = 0.92, blacklist: DataFrame | None = None) -> DataFrame:
+def review_candidates(vectors: DataFrame, entities: DataFrame, relations: DataFrame, low: float = 0.80, high: float = 0.92, blacklist: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """The band between the thresholds, with both contexts, best first."""
-    pairs = not_blacklisted(_kept(similar_pairs(vectors, low, high), relations), blacklist)
+    pairs = not_blacklisted(_kept(similar_pairs(vectors, low, high, digits=digits), relations), blacklist)
     told = contexts(entities, relations)
     of = lambda c: told.select("collection", F.col("name").alias(c), F.struct("description", "lines", "n_relations").alias(f"{c}_context"))
     return pairs.join(of("keep"), ["collection", "keep"], "left").join(of("drop"), ["collection", "drop"], "left").select("collection", "keep", "drop", "score", "keep_context", "drop_context").orderBy(F.desc("score"), "collection", "keep", "drop")
 
 
-def bridge_candidates(vectors: DataFrame, bridges: DataFrame, threshold: float = 0.90, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def bridge_candidates(vectors: DataFrame, bridges: DataFrame, threshold: float = 0.90, block_rows: int = BLOCK_ROWS, digits: int | None = None) -> DataFrame:
     """Pairs of different collections above threshold that no bridge joins; vectors: collection, name, vector."""
     own = vectors.select(F.struct("collection", "name").alias("k"), F.col("vector"), "collection")
-    pairs = similar_pairs(own, threshold, key="k", group=None, apart="collection", block_rows=block_rows)
+    pairs = similar_pairs(own, threshold, key="k", group=None, apart="collection", block_rows=block_rows, digits=digits)
     flat = pairs.select(F.col("a.collection").alias("collection"), F.col("a.name").alias("name"), F.col("b.collection").alias("other_collection"), F.col("b.name").alias("other_name"), "score")
     return flat.join(both_ways(bridges), ["collection", "name", "other_collection", "other_name"], "left_anti")
 

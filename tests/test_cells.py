@@ -38,3 +38,13 @@ def test_pairs_equal_brute_force_and_few_cells_meet(spark):
     assert max(size.values()) <= 40 and sum(size.values()) == 600
     met = sum(size[r.p] * size[r.q] * (1 if r.p == r.q else 2) for r in cells.meeting(blocks, 0.9).collect())
     assert met < 0.4 * 600**2, met / 600**2
+
+
+def test_bounds_hold_for_the_rounded_cosine(spark):
+    # Against (1, 0): just above 0.3, just below 0.3, just above 0.35, and clearly between and beyond.
+    cosines = {1: 0.3000002, 2: 0.2999998, 3: 0.3500002, 4: 0.32, 5: 0.3000008, 6: 0.36}
+    df = spark.createDataFrame([("c", 0, [1.0, *[0.0] * 6])] + [("c", i, [x, *[(1 - x * x) ** 0.5 if i == j else 0.0 for j in cosines]]) for i, x in cosines.items()], "collection string, name int, vector array<double>")
+    told = {block: {r.b: r.score for r in resolve.similar_pairs(df, 0.3, 0.35, digits=6, block_rows=block).where("a = 0").collect()} for block in (2048, 2)}
+    assert told[2048] == told[2] == {3: 0.35, 4: 0.32, 5: 0.300001}
+    assert {r.b for r in resolve.similar_pairs(df, 0.3, 0.35).where("a = 0").collect()} == {1, 4, 5}
+    assert {r.b for r in resolve.similar_pairs(df, 0.3, digits=6).where("a = 0").collect()} == {3, 4, 5, 6}

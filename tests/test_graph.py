@@ -120,3 +120,29 @@ def test_lifecycle(spark):
     assert [(r.first_chunk, r.resumed_id) for r in L.resumable(progress, ask).orderBy("file_name", "content_hash", "total_chunks").collect()] == [(2, "i1"), (0, "i1"), (0, None), (0, None)]
     q = L.quota(incoming, 499).first()
     assert (q.requests, q.allowed, q.parts) == (2, False, 1)
+
+
+def test_large_tables_are_shared_by_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    from plexgraph.sources import bindings as B
+
+    t = B.Tables(spark, "/root/testdata/sf0.001")
+    want = {tuple(r) for r in B.written_relations(t).collect()}
+    names = {tuple(r)[:4] for r in B.upserted_entities(t).collect()}
+    monkeypatch.setattr(B, "TASK_ROWS", 1000)
+    monkeypatch.setattr(B, "BROADCAST_ROWS", 10)
+    n = -(-(2 * t.lineitem.count() + t.customer.count() + t.supplier.count()) // 1000)
+    assert n > 8 and B.relation_tasks(t) == n
+    relations, entities = B.written_relations(t), B.upserted_entities(t)
+    assert {tuple(r) for r in relations.collect()} == want and relations.count() == len(want)
+    assert {tuple(r)[:4] for r in entities.collect()} == names
+    # Each shuffle of the lines has the tasks that their number asks for, not a fixed number of them.
+    assert relations.where("predicate <> 'LOCATED_IN'").rdd.getNumPartitions() == n
+    upserted = G.upsert_relations(relations.limit(0), B.relation_events(t), entities, tasks=n)
+    assert {tuple(r) for r in upserted.collect()} == want
+
+
+def test_a_relation_of_the_state_stays_without_its_ends(spark):
+    e = spark.createDataFrame([("c", "a"), ("c", "b")], "collection string, name string")
+    old = spark.createDataFrame([("c", "a", "gone", "P", "", "d0"), ("c", "a", "b", "P", "", "d0")], "collection string, source string, target string, predicate string, valid_from string, source_doc string")
+    new = spark.createDataFrame([("c", "a", "gone", "P", "", "d1", 1), ("c", "a", "b", "P", "", None, 2), ("c", "x", "b", "P", "", "d1", 1)], "collection string, source string, target string, predicate string, valid_from string, source_doc string, seq int")
+    assert {(r.source, r.target, r.source_doc) for r in G.upsert_relations(old, new, e, tasks=3).collect()} == {("a", "gone", "d0"), ("a", "b", None)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import DEFAULTS, Settings
 from .functions import text as T
-from .functions.chunking import chunks
+from .functions.chunking import chunk_count, chunks
 from .operators import community as C
 from .operators import extract, lifecycle, resolve, scope, vectors
 from .operators import graph as G
@@ -165,7 +165,7 @@ def extraction_modes(t):
 
 @query(f"WITH {PIECES} SELECT doc_id, false AS fast, k <= 3 AS auto, true AS quality FROM n")
 def type_splits(t):
-    n = F.size(chunks(_unbroken(), 1960, 392))
+    n = chunk_count(_unbroken(), 1960, 392)
     return t.documents.select("doc_id", *[extract.type_split(x, n).alias(x) for x in ("fast", "auto", "quality")])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
-from ..functions.chunking import chunks
+from ..functions.chunking import chunk_count
 from ..functions.text import clean_markdown, content_hash
 from .scope import in_scope
 
@@ -55,7 +55,7 @@ def document_counts(documents: DataFrame, scope: list[str] | None = None) -> Dat
 
 def request_counts(documents: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """documents with n_requests: the chunks of their cleaned text."""
-    return documents.withColumn("n_requests", F.size(chunks(clean_markdown(F.col("content")), settings.chunk_size, settings.chunk_overlap)))
+    return documents.withColumn("n_requests", chunk_count(clean_markdown(F.col("content")), settings.chunk_size, settings.chunk_overlap))
 
 
 def quota(documents: DataFrame, used: int, settings: Settings = DEFAULTS) -> DataFrame:

@@ -68,3 +68,38 @@ def test_names(spark):
 def test_aliases(spark):
     df = spark.createDataFrame([("harbour", ["port", " ", "harbour", "haven ", "port", ""]), ("x", None)], "name string, aliases array<string>")
     assert [r[0] for r in df.select(T.clean_aliases(F.col("name"), F.col("aliases"))).collect()] == [["port", "haven"], []]
+
+
+def test_counting_chunks_keeps_none_of_them(spark):
+    import tracemalloc
+
+    from plexgraph.functions import chunking
+
+    text = "ab c" * 500_000
+    tracemalloc.start()
+    n = sum(1 for _ in chunking.each_chunk(text, 1960, 392))
+    counting = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(chunking.chunk_text(text, 1960, 392)) and counting < len(text) / 2
+    rows = spark.createDataFrame([("",), (None,), ("x" * 5000,), ("a b. " * 1000,)], "t string")
+    got = rows.select(chunking.chunk_count(F.col("t"), 1960, 392).alias("n"), F.size(chunking.chunks(F.col("t"), 1960, 392)).alias("m")).collect()
+    assert [r.n for r in got] == [r.m for r in got] and got[2].n > 2
+
+
+def test_ngrams_are_hashed_once_for_many_texts(monkeypatch):
+    import hashlib
+
+    from plexgraph import providers
+
+    calls, real = [], hashlib.blake2b
+    monkeypatch.setattr(providers.hashlib, "blake2b", lambda *a, **k: calls.append(1) or real(*a, **k))
+    texts = ["", "a", "한국어 é😀", "abc abc " * 200]
+    got = providers.HashedNgrams(sizes=(1, 2, 3, 5)).embed([*texts, *texts])
+    assert len(calls) < 100
+    for text, row in zip(texts, got, strict=False):
+        want = [0.0] * 64
+        for gram in (text[i : i + n] for n in (1, 2, 3, 5) for i in range(len(text) - n + 1)):
+            h = int.from_bytes(real(gram.encode(), digest_size=8).digest(), "little")
+            want[h % 64] += 1 if h >> 63 else -1
+        assert row == want
+    assert got[: len(texts)] == got[len(texts) :]

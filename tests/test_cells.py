@@ -48,3 +48,17 @@ def test_bounds_hold_for_the_rounded_cosine(spark):
     assert told[2048] == told[2] == {3: 0.35, 4: 0.32, 5: 0.300001}
     assert {r.b for r in resolve.similar_pairs(df, 0.3, 0.35).where("a = 0").collect()} == {1, 4, 5}
     assert {r.b for r in resolve.similar_pairs(df, 0.3, digits=6).where("a = 0").collect()} == {3, 4, 5, 6}
+
+
+def test_candidate_queries_keep_pairs_whose_shown_cosine_is_within(spark, tmp_path):
+    # Against vector 0, just beside the bounds: the SQL compares what it shows.
+    import __spark_entry__ as contract
+
+    cosines = {1: 0.3000002, 2: 0.2999998, 3: 0.2500002, 4: 0.2500008, 5: 0.3500002, 6: 0.3000008}
+    rows = [(0, 0, [1.0, *[0.0] * 6])] + [(i, 0, [x, *[(1 - x * x) ** 0.5 if i == j else 0.0 for j in cosines]]) for i, x in cosines.items()]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    told = {q: contract.queries()[q](spark, str(tmp_path)) for q in ("merge_candidates", "review_candidates", "similarity_pairs_band")}
+    own = {q: {int(r[2]): r.score for r in df.collect() if int(r[1]) == 0} for q, df in told.items()}
+    assert own["merge_candidates"] == {5: 0.35, 6: 0.300001}
+    assert own["review_candidates"] == {1: 0.3, 2: 0.3, 4: 0.250001}
+    assert own["similarity_pairs_band"] == {5: 0.35, 6: 0.300001}

@@ -80,29 +80,31 @@ def valid_result(result: Column) -> Column:
     return result.isNotNull() & (result["entities"].isNotNull() | result["relations"].isNotNull()) & F.coalesce(entities & relations, F.lit(False))
 
 
+def _results(responses: DataFrame, strict: bool) -> DataFrame:
+    """(CHUNK, turn, result) of responses that are JSON, dealt by chunk, as a few files may hold them all.
+
+    A generator stands between a result and the filters on it: they would each parse the response again."""
+    turn = F.col("turn") if "turn" in responses.columns else F.lit(0)
+    dealt = responses.select(*CHUNK, turn.alias("turn"), "response").repartition(*CHUNK)
+    own = dealt.select(*CHUNK, "turn", F.explode(F.array(parsed(F.col("response")))).alias("result")).where("result is not null")
+    return own.where(valid_result(F.col("result"))) if strict else own
+
+
 def entity_items(responses: DataFrame, strict: bool = True, drop_noise: bool = False) -> DataFrame:
     """One row for each entity of responses (CHUNK, response, and turn if several share a chunk).
 
     strict drops the whole response if any item is bad; otherwise bad items go one by one."""
-    turn = F.col("turn") if "turn" in responses.columns else F.lit(0)
-    own = responses.withColumn("result", parsed(F.col("response"))).where("result is not null")
-    if strict:
-        own = own.where(valid_result(F.col("result")))
     e = F.col("item")
-    rows = own.select(*CHUNK, turn.alias("turn"), F.posexplode("result.entities").alias("at", "item")).where(~_blank(_name(e)))
+    rows = _results(responses, strict).select(*CHUNK, "turn", F.posexplode("result.entities").alias("at", "item")).where(~_blank(_name(e)))
     name = F.regexp_replace(_name(e), r"(?U)^\s+|\s+$", "")
     out = rows.select(*CHUNK, F.struct("turn", "at").alias("seq"), name.alias("name"), entity_type(F.coalesce(e["type"], F.lit(""))).alias("type"), F.coalesce(e["description"], F.lit("")).alias("description"), clean_aliases(name, e["aliases"]).alias("aliases"))
     return out.where(~is_noise_name(F.col("name"))) if drop_noise else out
 
 
 def relation_items(responses: DataFrame, strict: bool = True) -> DataFrame:
-    turn = F.col("turn") if "turn" in responses.columns else F.lit(0)
-    own = responses.withColumn("result", parsed(F.col("response"))).where("result is not null")
-    if strict:
-        own = own.where(valid_result(F.col("result")))
     r = F.col("item")
     trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    rows = own.select(*CHUNK, turn.alias("turn"), F.posexplode("result.relations").alias("at", "item")).where(~_blank(_source(r)) & ~_blank(_target(r)) & ~_blank(r["predicate"]))
+    rows = _results(responses, strict).select(*CHUNK, "turn", F.posexplode("result.relations").alias("at", "item")).where(~_blank(_source(r)) & ~_blank(_target(r)) & ~_blank(r["predicate"]))
     return rows.select(*CHUNK, F.struct("turn", "at").alias("seq"), trim(_source(r)).alias("source"), predicate(r["predicate"]).alias("predicate"), trim(_target(r)).alias("target"), F.coalesce(r["valid_from"], F.lit("")).alias("valid_from"))
 
 

@@ -246,3 +246,10 @@ def test_command_line(spark, tmp_path, capsys):
     go("backup", "--keep", "3")
     with pytest.raises(SystemExit):
         cli.run(spark, ["--store", str(tmp_path / "s"), "summarize-descriptions"])
+
+
+def test_items_parse_a_response_once_and_are_dealt_by_chunk(spark):
+    r = responses(spark, said([{"name": "A"}], [{"source": "A", "target": "B", "predicate": "p"}])).coalesce(1)
+    for items in (X.entity_items(r), X.relation_items(r), X.entity_items(r, strict=False), X.relation_items(r, strict=False)):
+        plan = items._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1 and "RepartitionByExpression [collection" in plan, plan

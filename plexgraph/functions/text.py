@@ -40,7 +40,8 @@ def is_noise_name(name: Column) -> Column:
     """Empty, or nothing but a number with units."""
     rest = F.regexp_replace(name, r"(?U)[\d,.\s]", "")
     rest = reduce(lambda c, unit: F.replace(c, F.lit(unit), F.lit("")), sorted(NUMBER_UNITS, key=len, reverse=True), rest)
-    return F.when(F.regexp_replace(name, r"(?U)^\s+|\s+$", "") == "", True).when(~name.rlike(r"(?U)\d"), False).otherwise(rest == "")
+    other = r"(?U)[^\d,.\s" + "".join(sorted(set("".join(NUMBER_UNITS)))) + "]"  # most names have such a character, and none is taken away
+    return F.when(name.rlike(other), False).when(F.regexp_replace(name, r"(?U)^\s+|\s+$", "") == "", True).when(~name.rlike(r"(?U)\d"), False).otherwise(rest == "")
 
 
 def document_label(file_name: Column) -> Column:

@@ -113,23 +113,24 @@ def priority(kind: Column) -> Column:
 
 
 def reconcile(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One entity for each name and one relation for each ordered pair of a chunk; missing ends become OTHER entities."""
+    """One entity for each name and one relation for each ordered pair of a chunk; missing ends become OTHER entities.
+
+    Entities and ends meet in one grouping by chunk and name.  A noise name is never an entity, so a relation
+    that has one goes by its own row."""
     real = entities.where(~is_noise_name(F.col("name")))
-    kept = real.groupBy(*CHUNK, "name").agg(
-        F.min("seq").alias("seq"),
-        F.min_by("type", F.struct(priority(F.col("type")).alias("p"), F.col("seq").alias("s"))).alias("type"),
-        F.coalesce(F.min_by("description", F.when(F.col("description") != "", F.col("seq"))), F.lit("")).alias("description"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "aliases"))), lambda x: x["aliases"]))).alias("aliases"),
+    noisy = is_noise_name(F.col("source")) | is_noise_name(F.col("target"))
+    good = relations.where(~F.coalesce(noisy, F.lit(False)))
+    first = good.withColumn("nth", F.row_number().over(Window.partitionBy(*CHUNK, "source", "target").orderBy("seq"))).where("nth = 1").select(*relations.columns)
+    kept = real.select(*CHUNK, "name", "seq", "type", "description", "aliases", F.lit(True).alias("own"))
+    ends = good.select(*CHUNK, F.explode(F.array("source", "target")).alias("name"), "seq", F.lit(False).alias("own"))
+    own = F.col("own")
+    met = kept.unionByName(ends, allowMissingColumns=True).groupBy(*CHUNK, "name").agg(
+        F.coalesce(F.min(F.when(own, F.col("seq"))), F.min("seq")).alias("seq"),
+        F.when(F.max("own"), F.min_by("type", F.when(own, F.struct(priority(F.col("type")).alias("p"), F.col("seq").alias("s"))))).otherwise("OTHER").alias("type"),
+        F.coalesce(F.min_by("description", F.when(own & (F.col("description") != ""), F.col("seq"))), F.lit("")).alias("description"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(own, F.struct("seq", "aliases")))), lambda x: x["aliases"]))).alias("aliases"),
     )
-    first = relations.withColumn("nth", F.row_number().over(Window.partitionBy(*CHUNK, "source", "target").orderBy("seq"))).where("nth = 1").drop("nth")
-    names = kept.select(*CHUNK, "name")
-    ends = first.select(*CHUNK, "seq", "source", "target", F.explode(F.array("source", "target")).alias("name"))
-    orphans = ends.join(names, [*CHUNK, "name"], "left_anti")
-    noisy = orphans.where(is_noise_name(F.col("name"))).select(*CHUNK, "source", "target").distinct()
-    good = first.join(noisy, [*CHUNK, "source", "target"], "left_anti").select(*relations.columns)
-    promoted = orphans.join(noisy, [*CHUNK, "source", "target"], "left_anti").groupBy(*CHUNK, "name").agg(F.min("seq").alias("seq"))
-    added = promoted.select(*CHUNK, "name", "seq", F.lit("OTHER").alias("type"), F.lit("").alias("description"), F.array().cast("array<string>").alias("aliases"))
-    return kept.unionByName(added), good
+    return met, first
 
 
 def promote_first_person(entities: DataFrame, relations: DataFrame, label: Column, scope: str = "document") -> tuple[DataFrame, DataFrame]:

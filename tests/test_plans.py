@@ -15,7 +15,7 @@ from plexgraph.operators import extract as X
 from plexgraph.plans import evaluate, reports, search
 from plexgraph.plans import ingest as I
 from plexgraph.providers import HashedNgrams, Patient, ProviderError, Router, Scripted
-from plexgraph.schema import ENTITIES, RELATIONS, REPORTS, SAME_AS
+from plexgraph.schema import ENTITIES, RELATIONS, REPORTS, SAME_AS, TYPE_PRIORITY
 from plexgraph.sources.store import Store
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # scripted models are defined here
@@ -253,3 +253,28 @@ def test_items_parse_a_response_once_and_are_dealt_by_chunk(spark):
     for items in (X.entity_items(r), X.relation_items(r), X.entity_items(r, strict=False), X.relation_items(r, strict=False)):
         plan = items._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1 and "RepartitionByExpression [collection" in plan, plan
+
+
+def test_reconcile_equals_its_rules_by_hand_without_joins(spark):
+    import random
+
+    r = random.Random(7)
+    names, kinds = ["A", "B", "새", "30%", "2025년", " ", "만"], ["PERSON", "EVENT", "DATE"]
+    noise = {"30%", "2025년", " "}
+    own = [("c", "d", r.randrange(4), (0, i), r.choice(names), r.choice(kinds), r.choice(["", f"d{i}"]), [f"a{i % 3}"]) for i in range(40)]
+    links = [("c", "d", r.randrange(6), (1, i), r.choice(names), f"P{i}", r.choice(names), "") for i in range(40)]
+    key = "collection string, source_id string, chunk_idx int, seq struct<turn:int,at:int>"
+    e, good = X.reconcile(spark.createDataFrame(own, f"{key}, name string, type string, description string, aliases array<string>"), spark.createDataFrame(links, f"{key}, source string, predicate string, target string, valid_from string"))
+    want, pairs = {}, {}
+    for _, _, c, (_, at), name, kind, told, aliases in own:
+        if name not in noise:
+            want.setdefault((c, name), []).append((kind, at, told, aliases))
+    want = {k: (min(v, key=lambda x: (TYPE_PRIORITY[x[0]], x[1]))[0], next((x[2] for x in v if x[2]), ""), list(dict.fromkeys(a for x in v for a in x[3]))) for k, v in want.items()}
+    for _, _, c, _, a, p, b, _ in links:
+        if not {a, b} & noise:
+            pairs.setdefault((c, a, b), p)
+            for end in (a, b):
+                want.setdefault((c, end), ("OTHER", "", []))
+    assert {(x.chunk_idx, x.name): (x.type, x.description, x.aliases) for x in e.collect()} == want and e.count() == len(want)
+    assert {(x.chunk_idx, x.source, x.target): x.predicate for x in good.collect()} == pairs
+    assert "Join" not in e._jdf.queryExecution().optimizedPlan().toString()

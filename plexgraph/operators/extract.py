@@ -157,7 +157,7 @@ def gleaned(asked: DataFrame, said: DataFrame, model: LanguageModel, rounds: int
         first = names.groupBy(*CHUNK, "name").agg(F.min("seq").alias("seq"))
         listed = first.groupBy(*CHUNK).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda x: x["name"]), ", ").alias("listed"))
         told = F.concat(F.col("prompt"), F.lit("\nAlready found: "), F.coalesce("listed", F.lit("-")), F.lit("\nGive only what is missing."))
-        more = stage(generated(on.join(listed, CHUNK, "left").withColumn("prompt", told).select(*asked.columns), model, json=True, parallel=parallel).withColumn("turn", F.lit(turn)), "said")
+        more = stage(generated(on.join(listed, CHUNK, "left").withColumn("prompt", told).select(*asked.columns).repartition(*CHUNK), model, json=True, parallel=parallel).withColumn("turn", F.lit(turn)), "said")
         new = entity_items(more).select(*CHUNK, "name").join(first, [*CHUNK, "name"], "left_anti").select(*CHUNK)
         new = new.unionByName(relation_items(more).select(*CHUNK, "source", "predicate", "target").join(links, [*CHUNK, "source", "predicate", "target"], "left_anti").select(*CHUNK)).distinct()
         said = said.unionByName(more)
@@ -170,15 +170,17 @@ def gleaned(asked: DataFrame, said: DataFrame, model: LanguageModel, rounds: int
 def extract(chunks: DataFrame, entities: DataFrame, relations: DataFrame, model: LanguageModel, settings: Settings = DEFAULTS, mode: str = "single", parallel: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, relations, all responses with ok: a row for each call) of chunks; a failed call leaves its chunk out.
 
-    What a model said is written before it is used, as it may not answer twice alike."""
-    asked = prompts(chunks, entities, relations, settings)
+    What a model said is written before it is used, as it may not answer twice alike.  Chunks are dealt before
+    it is asked, as a few files may hold them all."""
+    asked = prompts(chunks, entities, relations, settings).repartition(*CHUNK)
     if mode == "single":
         said = stage(generated(asked, model, json=True, parallel=parallel).withColumn("turn", F.lit(0)), "said")
         said = gleaned(asked, said, model, settings.glean_rounds, parallel)
         return *reconcile(entity_items(said), relation_items(said)), said
     # The entity pass hints at names only; the relation pass asks with the whole prompt.
     counted = prompts(chunks, entities, None, settings).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("collection", "source_id")))
-    said = stage(generated(group_prompts(counted, type_split(settings.profile, F.col("n"), settings.fast_threshold)), model, json=True, parallel=parallel), "said")
+    grouped = group_prompts(counted, type_split(settings.profile, F.col("n"), settings.fast_threshold)).repartition(*CHUNK)
+    said = stage(generated(grouped, model, json=True, parallel=parallel), "said")
     order = {g: i for i, (g, _) in enumerate(TYPE_GROUPS)} | {"ALL": 0}
     said = said.withColumn("turn", F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("type_group")])
     found = entity_items(said, strict=False, drop_noise=True)

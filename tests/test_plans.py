@@ -255,6 +255,21 @@ def test_items_parse_a_response_once_and_are_dealt_by_chunk(spark):
         assert plan.count("from_json") == 1 and "RepartitionByExpression [collection" in plan, plan
 
 
+def test_chunks_of_one_file_are_dealt_before_a_model_is_asked(spark):
+    import os
+
+    chunks = spark.range(0, 200, 1, 1).selectExpr("'c' as collection", "string(id) as source_id", "0 as chunk_idx", "'t' as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for settings, mode in ((Settings(glean_rounds=1), "single"), (Settings(), "decomposed")):
+            model = Scripted(lambda p: said([{"name": f"p{os.getpid()}" + " more" * ("Already" in p), "type": "PERSON"}]))
+            e, _, calls = X.extract(chunks, spark.createDataFrame([], ENTITIES), spark.createDataFrame([], RELATIONS), model, settings, mode)
+            assert all(n > 1 for n in [x.n for x in calls.groupBy("turn").agg(F.count_distinct("response").alias("n")).collect()])
+            assert {x.source_id for x in e.collect()} == {str(i) for i in range(200)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_reconcile_equals_its_rules_by_hand_without_joins(spark):
     import random
 

@@ -51,6 +51,22 @@ def test_merge(spark, graph):
     assert rows(G.resolve_merges(cycle)) == [("c", "B", "A")]
 
 
+def test_merges_by_broadcast_and_by_dealt_numbers(spark, monkeypatch):
+    # A chain of 40 that ends in "0", one of three into a cycle of four, a cycle of three, and two keeps for one drop.
+    chain = [("c", f"{i:02}", f"{i + 1:02}") for i in range(40)]
+    rest = [("d", "B", "A"), ("d", "C", "B"), ("d", "D", "C"), ("d", "A", "D"), ("d", "C", "x"), ("d", "x", "0y"), ("d", "0y", "z"), ("e", "q", "p"), ("e", "r", "q"), ("e", "p", "r"), ("f", "n", "k"), ("f", "m", "k"), ("f", "s", "s")]
+    pairs = spark.createDataFrame(chain + rest, "collection string, keep string, drop string")
+    want = {("c", f"{i + 1:02}"): "00" for i in range(40)} | {("d", k): "A" for k in ("B", "C", "D", "x", "0y", "z")} | {("e", k): "p" for k in ("q", "r")} | {("f", "k"): "m"}
+    for most in (G.BROADCAST_DROPS, 3):
+        monkeypatch.setattr(G, "BROADCAST_DROPS", most)
+        got = G.resolve_merges(pairs)
+        assert {(r.collection, r.drop): r.keep for r in got.collect()} == want and got.count() == len(want)
+        assert got.columns == ["collection", "drop", "keep"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 4, plan
+    assert G.resolve_merges(pairs.where("false")).count() == 0
+
+
 def test_reads(spark, graph):
     e, r, b = graph
     assert rows(G.isolated(e, r, ["c"])) == [("c", "외톨이")]

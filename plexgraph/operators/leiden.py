@@ -5,7 +5,8 @@ algorithm.  One level of aggregation is:
 
 moves     nodes are dealt to blocks of about as many edges as one task gathers, communities as a whole;
           in each block nodes move in a row, as in the local algorithm, to the best of their neighbours'
-          communities, while labels outside the block stay as they were.  A half of the nodes rests
+          communities, while labels outside the block stay as they were.  Edges are not sent to
+          the blocks: those inside one are, of others only what a node's weigh by community.  A half of the nodes rests
           in each round, by a coin (a hash of node and round), so that few neighbours move unseen.  A
           round is kept for the graphs whose modularity it raises; IDLE rounds in a row that raise none
           by TOLERANCE end the moves
@@ -20,7 +21,7 @@ adaptive execution splits; aggregates combine inside each task before they are s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,12 @@ from ..workers import ready
 
 #: Modularity that a round of moves has to gain; how many rounds in a row may miss that before they end.
 TOLERANCE, IDLE = 1e-3, 2
+#: Fewer nodes than this, those of the most edges, have their labels carried to every task.
+HUBS = 10_000
 #: What a move has to gain, in edges.
 LEAST_GAIN = 1e-9
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    """Edges between different nodes, once from each end: a, b, weight."""
-    apart = edges.where("a <> b").select("a", "b", "weight")
-    return apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-
-
 def _nodes(edges: DataFrame) -> DataFrame:
     """(id, g, degree, ends, double): each node with its graph, its weighted degree, its number of edges, and twice the graph's weight."""
     ends = edges.select("g", F.explode(F.array("a", "b")).alias("id"), "weight").groupBy("id", "g").agg(F.sum("weight").alias("degree"), F.count(F.lit(1)).alias("ends"))
@@ -56,22 +53,99 @@ def _dealt(labels: DataFrame, blocks: int, most: int, *salt: int) -> DataFrame:
     return labels.join(mass, "label").withColumn("block", F.pmod(F.xxhash64(key, *[F.lit(x) for x in salt]), F.lit(blocks)).cast("int"))
 
 
+#: What one task tells a block, in arrays: edges inside it, what its nodes' edges to others' communities weigh, and the masses of those.
+TOLD = "block int, x array<long>, y array<long>, w array<double>, node array<long>, label array<long>, weight array<double>, other array<long>, mass array<double>"
+
+
+class _Ends:
+    """Edges between different nodes, staged once for a graph's rounds, by what brings them their ends' labels.
+
+    lists   (x, arrays y and weight): edges to a hub y; labels of the hubs, fewer than `hubs`, travel to every task
+    rest    (x, y, weight): edges without a hub, which meet the labels of both ends by joins
+    loops   by graph, the weight of edges from a node to itself"""
+
+    def __init__(self, edges: DataFrame, nodes: DataFrame, hubs: int):
+        self.edges = edges.count()
+        # All nodes have twice as many ends as there are edges, so fewer than `hubs` have more than their share.
+        self.hubs = stage(nodes.where(F.col("ends") * hubs > 2 * self.edges).select(F.col("id").alias("hub")), "hubs")
+        of = lambda c: F.broadcast(self.hubs.select(F.col("hub").alias(c), F.lit(True).alias(f"hub_{c}")))
+        apart = edges.where("a <> b").select("a", "b", "weight")
+        self.count = apart.count()
+        sided = apart.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        x, y = (F.when(F.col("hub_b").isNotNull(), F.col(c)).otherwise(F.col(d)) for c, d in ("ab", "ba"))
+        led = sided.where("hub_a is not null or hub_b is not null").select(x.alias("x"), y.alias("y"), "weight")
+        self.lists = stage(led.groupBy("x").agg(F.collect_list(F.struct("y", "weight")).alias("to")).select("x", "to.y", "to.weight"), "lists")
+        self.rest = stage(sided.where("hub_a is null and hub_b is null").select(F.col("a").alias("x"), F.col("b").alias("y"), "weight"), "rest")
+        self.bare = self.rest.isEmpty()
+        self.loops = {r.g: r.w for r in edges.where("a = b").groupBy("g").agg(F.sum("weight").alias("w")).collect()}
+
+    def met(self, labels: DataFrame, *columns: str, by: Callable[[dict[str, np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
+        """by's rows for runs of edges: their x, y and weight, and columns of labels (id, ...) as x_ and y_ columns."""
+        told = labels.join(F.broadcast(self.hubs), F.col("id") == F.col("hub")).select("id", *columns).orderBy("id").toArrow()  # fewer than `hubs`
+        ids, told = told.column("id").to_numpy(), {c: told.column(c).to_numpy() for c in columns}
+        of = lambda end: labels.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns])
+
+        def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.repeat(np.arange(batch.num_rows), batch.column("y").value_lengths().to_numpy(zero_copy_only=False))
+                y, weight = (batch.column(c).flatten().to_numpy() for c in ("y", "weight"))
+                place = np.searchsorted(ids, y)
+                own = {c: batch.column(c).to_numpy()[at] for c in batch.schema.names if c not in ("y", "weight")}
+                yield by(own | {"y": y, "weight": weight} | {f"y_{c}": v[place] for c, v in told.items()})
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield by({c: batch.column(c).to_numpy() for c in batch.schema.names})
+
+        out = self.lists.join(of("x"), "x").mapInArrow(lists, schema)
+        return out if self.bare else out.unionByName(self.rest.join(of("y"), "y").join(of("x"), "x").mapInArrow(rows, schema))
+
+    def drop(self) -> None:
+        for x in (self.hubs, self.lists, self.rest):
+            drop_staged(x)
+
+
+def _told(edges: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Edges as rows of TOLD: those that leave a block are added up by node and community, at both ends."""
+    x, y, w = edges["x"], edges["y"], edges["weight"]
+    inner = np.flatnonzero(edges["x_block"] == edges["y_block"])
+    inner = inner[np.lexsort((y[inner], x[inner], edges["x_block"][inner]))]
+    outer = np.flatnonzero(edges["x_block"] != edges["y_block"])
+    both = lambda c, d: np.concatenate([edges[c][outer], edges[d][outer]])
+    block, node, label, mass, weight = both("x_block", "y_block"), both("x", "y"), both("y_label", "x_label"), both("y_mass", "x_mass"), np.tile(w[outer], 2)
+    order = np.lexsort((label, node, block))
+    block, node, label, mass, weight = (c[order] for c in (block, node, label, mass, weight))
+    first = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (label[1:] != label[:-1])][: len(node)])  # a node lies in one block
+    weight = np.add.reduceat(weight, first) if len(first) else weight
+    block, node, label, mass = (c[first] for c in (block, node, label, mass))
+    once = np.lexsort((label, block))
+    once = once[np.r_[True, (label[once][1:] != label[once][:-1]) | (block[once][1:] != block[once][:-1])][: len(once)]]
+    parts = [(edges["x_block"][inner], (x[inner], y[inner], w[inner])), (block, (node, label, weight)), (block[once], (label[once], mass[once]))]
+    blocks = np.unique(np.concatenate([k for k, _ in parts]))
+    out = [pa.array(blocks.astype(np.int32))]
+    for key, columns in parts:
+        cut = pa.array(np.r_[np.searchsorted(key, blocks), len(key)].astype(np.int32))
+        out += [pa.ListArray.from_arrays(cut, pa.array(c)) for c in columns]
+    return pa.RecordBatch.from_arrays(out, [c.split()[0] for c in TOLD.split(", ")])
+
+
 def _moves(seed: int, number: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """One block's moves in a row: labels outside it stay as they were, those inside and the masses follow each move."""
 
-    def own(have: pa.Table, link: pa.Table) -> pa.Table:
+    def own(have: pa.Table, told: pa.Table) -> pa.Table:
         have = have.sort_by("id")
         ids, degree, double, able = (have.column(c).to_numpy() for c in ("id", "degree", "double", "able"))
         label = have.column("label").to_numpy().tolist()
         mass = dict(zip(label, have.column("mass").to_pylist(), strict=True))
-        link = link.sort_by([("a", "ascending"), ("b", "ascending")])
-        a, b, other = (link.column(c).to_numpy() for c in ("a", "b", "label"))
-        mass |= dict(zip(other.tolist(), link.column("mass").to_pylist(), strict=True))
-        weight = link.column("weight").to_numpy().tolist()
-        cut = np.searchsorted(a, np.r_[ids, np.iinfo(np.int64).max]).tolist()
-        at = np.minimum(np.searchsorted(ids, b), max(0, len(ids) - 1))
-        near = np.where(ids[at] == b, at, -1).tolist() if len(ids) else []
-        other = other.tolist()
+        x, y, w, node, there, out, other, masses = (told.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in told.schema.names if c != "block")
+        mass |= dict(zip(other.tolist(), masses.tolist(), strict=True))
+        ends = np.r_[ids, np.iinfo(np.int64).max]
+        a, b = np.r_[x, y], np.r_[y, x]
+        order = np.lexsort((b, a))
+        near, weight = np.searchsorted(ids, b[order]).tolist(), np.r_[w, w][order].tolist()
+        cut = np.searchsorted(a[order], ends).tolist()
+        order = np.argsort(node, kind="stable")
+        leave, there, out = np.searchsorted(node[order], ends).tolist(), there[order].tolist(), out[order].tolist()
         queue = [v for v in np.random.default_rng([seed, number]).permutation(len(ids)).tolist() if able[v]]
         waiting = [False] * len(ids)
         for v in queue:
@@ -80,8 +154,10 @@ def _moves(seed: int, number: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             waiting[v] = False
             home, links = label[v], {}
             for e in range(cut[v], cut[v + 1]):
-                c = other[e] if near[e] < 0 else label[near[e]]
+                c = label[near[e]]
                 links[c] = links.get(c, 0.0) + weight[e]
+            for e in range(leave[v], leave[v + 1]):
+                links[there[e]] = links.get(there[e], 0.0) + out[e]
             share = degree[v] / double[v]
             best, top = home, links.get(home, 0.0) - share * (mass[home] - degree[v]) + LEAST_GAIN
             for c, k in sorted(links.items()):
@@ -93,7 +169,7 @@ def _moves(seed: int, number: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 label[v] = best
                 for e in range(cut[v], cut[v + 1]):
                     u = near[e]
-                    if u >= 0 and able[u] and not waiting[u] and label[u] != best:
+                    if able[u] and not waiting[u] and label[u] != best:
                         waiting[u] = True
                         queue.append(u)
         return pa.table({"id": pa.array(ids), "new": pa.array(label, pa.int64())})
@@ -101,32 +177,37 @@ def _moves(seed: int, number: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return own
 
 
-def _quality(edges: DataFrame, labels: DataFrame) -> dict[int, float]:
+def _inner(edges: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """(g, w): the weight of edges inside communities."""
+    same = edges["x_label"] == edges["y_label"]
+    g, at = np.unique(edges["x_g"][same], return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(np.bincount(at, edges["weight"][same], len(g)).astype(float))], ["g", "w"])
+
+
+def _quality(ends: _Ends, labels: DataFrame) -> dict[int, float]:
     """The modularity of each graph's labels, from sums of whole numbers; a row for each graph reaches the driver."""
-    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"))
-    inner = edges.join(of("a"), "a").join(of("b"), "b").groupBy("g").agg(F.sum(F.when(F.col("of_a") == F.col("of_b"), F.col("weight")).otherwise(0.0)).alias("w"))
+    inner = {r.g: r.w for r in ends.met(labels, "label", "g", by=_inner, schema="g int, w double").groupBy("g").agg(F.sum("w").alias("w")).collect()}
     mass = labels.groupBy("g", "label").agg(F.sum("degree").cast("decimal(18,0)").alias("m"), F.max("double").alias("double"))
     square = mass.groupBy("g").agg(F.sum(F.col("m") * F.col("m")).alias("s"), F.max("double").alias("double"))
-    return {r.g: 2 * r.w / r.double - float(r.s) / r.double**2 for r in inner.join(square, "g").collect()}
+    return {r.g: 2 * (inner.get(r.g, 0.0) + ends.loops.get(r.g, 0.0)) / r.double - float(r.s) / r.double**2 for r in square.collect()}
 
 
-def moved(edges: DataFrame, nodes: DataFrame, start: DataFrame | None, most: int, seed: int) -> DataFrame:
+def moved(edges: DataFrame, nodes: DataFrame, start: DataFrame | None, most: int, seed: int, hubs: int = HUBS) -> DataFrame:
     """(id, g, degree, ends, double, label) after rounds of moves; nodes is staged, start has (id, label)."""
-    both = stage(_both_ways(edges), "both-ways")
+    ends = _Ends(edges, nodes, hubs)
     own = nodes.withColumn("label", F.col("id")) if start is None else nodes.join(start, "id")
     labels, number, best, idle = stage(own, "labels"), 0, None, 0
     while True:
-        blocks = -(-both.count() // most)
+        blocks = -(-2 * ends.count // most)
         placed = stage(_dealt(labels, blocks, most, seed, number), "placed")
         # Where there are many blocks, a half of the nodes rests in each round: what it can't see move doesn't.
         able = (F.xxhash64("id", F.lit(seed), F.lit(number)) % 2 == 0) | F.lit(blocks < 2)
         have = placed.select("block", "id", "degree", "double", "label", "mass", able.alias("able"))
-        link = both.join(placed.select(F.col("id").alias("a"), "block"), "a").join(placed.select(F.col("id").alias("b"), "label", "mass"), "b").select("block", "a", "b", "weight", "label", "mass")
-        link = link.toDF(*link.columns)  # columns of its own, not those of have
-        new = have.groupBy("block").cogroup(link.groupBy("block")).applyInArrow(_moves(seed, number), "id long, new long")
+        told = ends.met(placed, "label", "mass", "block", by=_told, schema=TOLD)
+        new = have.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_moves(seed, number), "id long, new long")
         after = stage(labels.join(new, "id").select("id", "g", "degree", "ends", "double", F.col("new").alias("label")), "labels")
         drop_staged(placed)
-        quality = _quality(edges, after)
+        quality = _quality(ends, after)
         if best is None:
             good, gained = set(quality), True
         else:
@@ -140,7 +221,7 @@ def moved(edges: DataFrame, nodes: DataFrame, start: DataFrame | None, most: int
         drop_staged(labels)
         labels, number, idle = after, number + 1, 0 if gained else idle + 1
         if idle == IDLE:
-            drop_staged(both)
+            ends.drop()
             return labels
 
 
@@ -177,14 +258,16 @@ def refined(edges: DataFrame, labels: DataFrame, most: int, seed: int) -> DataFr
     blocks = -(-edges.count() // most)
     placed = stage(_dealt(labels, blocks, most, seed), "placed")
     of = lambda c: placed.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"), F.col("block").alias(f"in_{c}"))
-    link = _both_ways(edges).join(of("a"), "a").join(of("b"), "b").where("of_a = of_b and in_a = in_b").select(F.col("in_a").alias("block"), "a", "b", "weight")
+    inner = edges.where("a <> b").select("a", "b", "weight").join(of("a"), "a").join(of("b"), "b").where("of_a = of_b and in_a = in_b")
+    way = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    link = inner.select(F.col("in_a").alias("block"), way.alias("way"), "weight").select("block", "way.a", "way.b", "weight")
     found = placed.select("block", "id", "degree", "double").groupBy("block").cogroup(link.groupBy("block")).applyInArrow(_parts(seed), "id long, part long")
     out = stage(found, "parts")
     drop_staged(placed)
     return out
 
 
-def partition(edges: DataFrame, gather_edges: int, seed: int, local: Callable[[int, np.ndarray, np.ndarray, np.ndarray, int, np.ndarray], np.ndarray]) -> DataFrame:
+def partition(edges: DataFrame, gather_edges: int, seed: int, local: Callable[[int, np.ndarray, np.ndarray, np.ndarray, int, np.ndarray], np.ndarray], hubs: int = HUBS) -> DataFrame:
     """(id, label), staged, for the nodes of edges (g, a, b, weight; staged, a row for each pair of nodes of a graph).
 
     local finishes a graph of at most gather_edges: (nodes, a, b, weight, seed, start) -> labels."""
@@ -192,7 +275,7 @@ def partition(edges: DataFrame, gather_edges: int, seed: int, local: Callable[[i
     graph, place, start = edges, None, None
     while max(r.n for r in graph.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()) > gather_edges:  # a row for each graph
         nodes = stage(_nodes(graph), "nodes")
-        labels = moved(graph, nodes, start, gather_edges, seed)
+        labels = moved(graph, nodes, start, gather_edges, seed, hubs)
         parts = refined(graph, labels, gather_edges, seed)
         rows, left = parts.agg(F.count(F.lit(1)), F.count_distinct("part")).first()
         # A part's id is that of a node in it, so it lies in that node's community.

@@ -4,7 +4,7 @@ import numpy as np
 
 from plexgraph.config import Settings
 from plexgraph.operators import community as C
-from plexgraph.operators.leiden import partition
+from plexgraph.operators.leiden import _nodes, moved, partition
 from plexgraph.schema import ENTITIES, RELATIONS
 from plexgraph.staging import stage
 
@@ -49,6 +49,24 @@ def test_distributed_rounds_come_near_the_local_algorithm(spark):
         assert quality(got, a, b, w) >= 0.99 * quality(C.leiden(n, a, b, w, 42), a, b, w), g
 
 
+def stages(spark):
+    sc = spark.sparkContext
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_rounds_do_not_shuffle_every_edge(spark):
+    """400 nodes that all lead to 40: rounds move rows of nodes, and what they weigh in arrays; with or without hubs the labels are the same."""
+    rows = [(0, a, 400 + b, 1.0 + 9.0 * (a % 5 == b % 5)) for a in range(400) for b in range(40)]
+    links = stage(spark.createDataFrame(rows, "g int, a long, b long, weight double").repartition(3), "test-edges")
+    nodes = stage(_nodes(links), "test-nodes")
+    seen = {x.stageId() for x in stages(spark)}
+    plain = {r.id: r.label for r in moved(links, nodes, None, 8000, 42, hubs=100).collect()}  # the 40
+    assert sum(x.shuffleWriteRecords() for x in stages(spark) if x.stageId() not in seen) < 4 * len(rows)  # a round sent each edge from both ends, and there are three rounds at least
+    assert len(plain) == 440 and len(set(plain.values())) < 40
+    assert {r.id: r.label for r in moved(links, nodes, None, 8000, 42, hubs=0).collect()} == plain
+
+
 def test_levels_of_a_graph_that_is_not_gathered(spark):
     """Splits below a distributed level are nested in it; small collections beside it are as ever; nodes without edges stay alone."""
     names = [f"n{g:02}{i:02}" for g in range(4) for i in range(16)]

@@ -12,7 +12,10 @@ from ..staging import stage
 from ..workers import ready
 from .cells import celled, meeting
 from .graph import add_aliases, both_ways, contexts, degrees, merge_entities, resolve_merges
-from .vectors import BLOCK_ROWS, units
+from .vectors import BLOCK_ROWS, cosines, doubles, units
+
+#: No cosine of a matrix product is further from the one summed in the order of the components.
+NOISE = 1e-10
 
 
 def canonical_blacklist(blacklist: DataFrame) -> DataFrame:
@@ -49,13 +52,15 @@ def normalized_duplicates(entities: DataFrame, relations: DataFrame, blacklist:
 def similar_pairs(vectors: DataFrame, low: float, high: float | None = None, key: str = "name", vector: str = "vector", group: str | None = "collection", apart: str | None = None, block_rows: int = BLOCK_ROWS, digits: int | None = None) -> DataFrame:
     """Pairs a < b of one group with low < cosine (<= high), of different values of apart if given: exact.
 
-    With digits the cosine is rounded to that many places first, and the bounds hold for what is then shown.
+    With digits the cosine is rounded to that many places first, half away from zero, and the bounds hold for what
+    is then shown.  Where the order of a sum may tell the last place, it is that of the components, as in SQL.
 
     A group of more than block_rows rows is cut into blocks of near vectors (cells.py); a row goes to the
     cells where its block meets another that may hold a pair with it, and a cell is one matrix product, so
     a large group is spread over many tasks and most of a clustered one's cells are never made."""
     ready(vectors.sparkSession)
-    shown, slack = F.col("score") if digits is None else F.round("score", digits), 0.0 if digits is None else 10.0**-digits
+    places = 0.0 if digits is None else 10.0**digits
+    shown, slack = F.col("score") if digits is None else F.round(F.col("score") * places) / places, 0.0 if digits is None else 10.0**-digits
     within = (shown > low) if high is None else (shown > low) & (shown <= high)
     low, high = low - slack, None if high is None else high + slack  # what may round into the bounds
     own = vectors.select(*([F.col(group).alias("g")] if group else [F.lit("").alias("g")]), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("u"), *([F.col(apart).cast("string").alias("x")] if apart else []))
@@ -89,6 +94,9 @@ def similar_pairs(vectors: DataFrame, low: float, high: float | None = None, key
                 good &= np.not_equal.outer(*[np.array(x.column("x").to_pylist(), object) for x in (here, there)])
             i, j = np.nonzero(good)
             score = score[i, j]
+            if digits is not None:
+                near = np.flatnonzero(np.abs(score * places % 1 - 0.5) <= places * NOISE)
+                score[near] = cosines(doubles(here.column("u"))[i[near]], doubles(there.column("u"))[j[near]])
         groups = (here if here.num_rows else there).column("g").combine_chunks()
         return pa.table({"g": groups.take(pa.array(np.zeros(len(i), np.int64))), "a": names[0].take(pa.array(i)), "b": names[1].take(pa.array(j)), "score": pa.array(score, pa.float64())})
 

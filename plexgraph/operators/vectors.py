@@ -59,14 +59,25 @@ def batched_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "ve
     return ranked.select(F.col("query").alias(query_key), "rank", F.col("key").alias(key), F.round("score", 6).alias("score"))
 
 
+def doubles(column: pa.ChunkedArray) -> np.ndarray:
+    x = column.combine_chunks()
+    return x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
+
+
 def units(column: pa.ChunkedArray) -> np.ndarray:
     """Rows as unit vectors; a zero one stays zero."""
-    x = column.combine_chunks()
-    flat = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
+    flat = doubles(column)
     size = np.linalg.norm(flat, axis=1, keepdims=True)
     return flat / np.where(size == 0, 1, size)
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs of rows of x and y, summed in the order of their components: to the last bit those of vector_math and of SQL."""
+    dot = lambda a, b: sum((a[:, k] * b[:, k] for k in range(a.shape[1])), np.zeros(len(a)))
+    size = [np.sqrt(dot(a, a)) for a in (x, y)]
+    return dot(x, y) / (np.where(size[0] == 0, 1, size[0]) * np.where(size[1] == 0, 1, size[1]))
+
+
 def blocked(df: DataFrame, key: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
     """df with block, and the number of blocks: as many as its rows need."""
     n = max(1, -(-df.count() // block_rows))

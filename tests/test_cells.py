@@ -1,5 +1,8 @@
 """Pairs of blocks that are left out hold no pair, and of clustered vectors most are left out."""
 
+import math
+
+import duckdb
 import numpy as np
 
 from plexgraph.operators import cells, resolve
@@ -62,3 +65,29 @@ def test_candidate_queries_keep_pairs_whose_shown_cosine_is_within(spark, tmp_pa
     assert own["merge_candidates"] == {5: 0.35, 6: 0.300001}
     assert own["review_candidates"] == {1: 0.3, 2: 0.3, 4: 0.250001}
     assert own["similarity_pairs_band"] == {5: 0.35, 6: 0.300001}
+
+
+def test_candidate_queries_round_halves_as_their_sql(spark, tmp_path):
+    # Each label has a vector a of whole numbers and others whose cosine to it is t / 2,000,000 for an odd t: the seventh digit is
+    # a 5, at the bounds and beside them, and what is shown hangs on the last bit.  Every sum of the SQL is exact.
+    import __spark_entry__ as contract
+
+    r = np.random.default_rng(7)
+    rows = []
+    for label in range(30):
+        a = [int(x) for x in r.integers(1, 10, 8)]
+        rows.append((len(rows), label, [*a, *[0] * 16]))
+        for t in (c + 2 * k + 1 for c in (500_000, 600_000, 700_000) for k in (0, 1, 2)):
+            rest, others = sum(x * x for x in a) * (2_000_000**2 - t * t), []
+            while rest:
+                others.append(math.isqrt(rest))
+                rest -= others[-1] ** 2
+            rows.append((len(rows), label, [*[t * x for x in a], *others, *[0] * (16 - len(others))]))
+    spark.createDataFrame([(i, label, [float(x) for x in v]) for i, label, v in rows], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    differ = {}
+    for name in ("merge_candidates", "review_candidates", "similarity_pairs_band", "similarity_pairs_in_collection", "bridge_candidates"):
+        got, want = set(map(tuple, contract.queries()[name](spark, str(tmp_path)).collect())), set(own.sql(contract.oracle_sql()[name]).fetchall())
+        differ[name] = len(got ^ want)
+    assert not any(differ.values()), differ

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..schema import COMMUNITIES
-from ..staging import drop_staged, stage
+from ..staging import drop_staged, moved_by_key, stage
 from ..workers import ready
-from .leiden import partition
+from .leiden import kept, met_by, partition
 from .numbering import numbered
 from .scope import in_scope
 
@@ -31,7 +31,9 @@ OUTER = -1
 def weighted_edges(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(collection, a, b, weight): parallel relations add up; ends that are no entities are dropped."""
     names = entities.select("collection", "name").distinct()
-    both = relations.join(names.withColumnRenamed("name", "source"), ["collection", "source"], "left_semi").join(names.withColumnRenamed("name", "target"), ["collection", "target"], "left_semi")
+    both = relations
+    for end in ("source", "target"):
+        both = both.join(moved_by_key(names.withColumnRenamed("name", end)), ["collection", end], "left_semi")
     return both.groupBy("collection", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
@@ -194,7 +196,7 @@ def detect(entities: DataFrame, relations: DataFrame, settings: Settings = DEFAU
     nodes = stage(numbered(names, "collection", "name").withColumn("parent", F.lit(None).cast("string")), "nodes")
     named = weighted_edges(entities, relations)
     for end in ("a", "b"):
-        named = named.join(nodes.select("collection", F.col("name").alias(end), F.col("id").alias(f"id_{end}")), ["collection", end])
+        named = named.join(moved_by_key(nodes.select("collection", F.col("name").alias(end), F.col("id").alias(f"id_{end}"))), ["collection", end])
     edges = stage(named.select("collection", F.lit(None).cast("string").alias("parent"), F.col("id_a").alias("a"), F.col("id_b").alias("b"), "weight"), "edges")
     found, level = None, 0
     while True:
@@ -244,22 +246,26 @@ def _gathered(nodes: DataFrame, edges: DataFrame, settings: Settings, level: int
 def _one_level(nodes: DataFrame, edges: DataFrame, settings: Settings, level: int, gather_edges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(communities, nodes, edges) of graphs too large to gather: one level, and the graphs of the next, which are the communities to be split."""
     links = stage(edges.select("g", "a", "b", "weight"), "large-edges")
-    labels = partition(links, gather_edges, settings.leiden_seed, leiden)
+    ended, ends = met_by(links)
+    labels = partition(links, gather_edges, settings.leiden_seed, leiden, known=(ended, ends))
     # Nodes without edges are communities of their own.
-    placed = stage(nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "placed")
+    placed = stage(nodes.join(moved_by_key(labels), "id", "left").withColumn("label", F.coalesce("label", "id")), "placed")
     drop_staged(labels)
     groups = placed.groupBy("collection", "parent", "g", "label").agg(F.array_sort(F.collect_list("name")).alias("entity_names"))
     # A part of a community that does not split again is no community of its own.
     several = groups.groupBy("g").agg(F.count(F.lit(1)).alias("several"))
     named = F.arrow_udf(lambda c, m: pa.array([community_id(x, level, y) for x, y in zip(c.to_pylist(), m.to_pylist(), strict=True)], pa.string()), "string")("collection", "entity_names")
-    groups = groups.join(several, "g").where("parent is null or several > 1").select("collection", named.alias("community_id"), F.lit(level).alias("level"), F.col("parent").alias("parent_community_id"), "entity_names", F.size("entity_names").alias("size"), "label")
+    groups = groups.join(F.broadcast(several), "g").where("parent is null or several > 1").select("collection", named.alias("community_id"), F.lit(level).alias("level"), F.col("parent").alias("parent_community_id"), "entity_names", F.size("entity_names").alias("size"), "label")
     groups = stage(groups, "communities")
     again = groups.where((F.col("size") > settings.community_max_size) & F.lit(level < settings.community_max_level)).select("label", F.col("community_id").alias("parent"))
-    inside = stage(placed.select("collection", "name", "id", "label").join(again, "label").select("collection", "name", "id", "parent", "label"), "nodes")
-    of = lambda c: inside.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"), *([F.col("collection"), F.col("parent")] if c == "a" else []))
-    inner = links.select("a", "b", "weight").join(of("a"), "a").join(of("b"), "b").where("of_a = of_b").select("collection", "parent", "a", "b", "weight")
+    split = stage(placed.select("collection", "name", "id", "label").join(moved_by_key(again), "label", "left").select("collection", "name", "id", "parent", "label"), "nodes")
+    inside = split.where("parent is not null")
+    inner = ends.met(split.withColumn("again", F.col("parent").isNotNull().cast("int")), "label", "again", by=kept, schema="x long, a long, b long, weight double")
+    inner = inner.unionByName(links.where("a = b").select(F.col("a").alias("x"), "a", "b", "weight"))
+    inner = inner.join(moved_by_key(inside.select(F.col("id").alias("x"), "collection", "parent")), "x").select("collection", "parent", "a", "b", "weight")
     inner = stage(inner, "edges")
-    for x in (links, placed):
+    ends.drop()
+    for x in (links, placed, ended):
         drop_staged(x)
     return groups.drop("label"), inside.drop("label"), inner
 

@@ -16,7 +16,8 @@ folding   parts become nodes, edges between them add up, and the communities are
 
 Blocks follow from hashes and the number of edges, what a block does from the order of ids, and all sums
 are of whole numbers, so the result does not depend on how rows are dealt to tasks.  A node or a community of very many edges is a hot key in a plain join, which
-adaptive execution splits; aggregates combine inside each task before they are shuffled.
+adaptive execution splits; aggregates combine inside each task before they are shuffled.  No table of a row for each
+node, community or part is broadcast, however few bytes its files have; edges lie in buckets of one end, and stay there.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import drop_staged, stage
+from ..staging import drop_dealt, drop_staged, moved_by_key, stage, stage_dealt
 from ..workers import ready
 
 #: Modularity that a round of moves has to gain; how many rounds in a row may miss that before they end.
 TOLERANCE, IDLE = 1e-3, 2
 #: Fewer nodes than this, those of the most edges, have their labels carried to every task.
 HUBS = 10_000
+#: Edges of a bucket of the lists of edges.
+LIST_EDGES = 500_000
 #: What a move has to gain, in edges.
 LEAST_GAIN = 1e-9
 
@@ -50,7 +53,7 @@ def _dealt(labels: DataFrame, blocks: int, most: int, *salt: int) -> DataFrame:
     """labels with mass and block: a community lies in one, unless its nodes have more than `most` edges; then they are dealt one by one."""
     mass = labels.groupBy("label").agg(F.sum("degree").alias("mass"), F.sum("ends").alias("all"))
     key = F.when(F.col("all") > most, F.col("id")).otherwise(F.col("label"))
-    return labels.join(mass, "label").withColumn("block", F.pmod(F.xxhash64(key, *[F.lit(x) for x in salt]), F.lit(blocks)).cast("int"))
+    return labels.join(moved_by_key(mass), "label").withColumn("block", F.pmod(F.xxhash64(key, *[F.lit(x) for x in salt]), F.lit(blocks)).cast("int"))
 
 
 #: What one task tells a block, in arrays: edges inside it, what its nodes' edges to others' communities weigh, and the masses of those.
@@ -58,9 +61,9 @@ TOLD = "block int, x array<long>, y array<long>, w array<double>, node array<lon
 
 
 class _Ends:
-    """Edges between different nodes, staged once for a graph's rounds, by what brings them their ends' labels.
+    """Edges between different nodes, staged once for a graph's rounds, refinement and folding, by what brings them their ends' labels.
 
-    lists   (x, arrays y and weight): edges to a hub y; labels of the hubs, fewer than `hubs`, travel to every task
+    lists   (x, arrays y and weight): edges to a hub y, in buckets of x; labels of the hubs, fewer than `hubs`, travel to every task
     rest    (x, y, weight): edges without a hub, which meet the labels of both ends by joins
     loops   by graph, the weight of edges from a node to itself"""
 
@@ -73,8 +76,9 @@ class _Ends:
         self.count = apart.count()
         sided = apart.join(of("a"), "a", "left").join(of("b"), "b", "left")
         x, y = (F.when(F.col("hub_b").isNotNull(), F.col(c)).otherwise(F.col(d)) for c, d in ("ab", "ba"))
-        led = sided.where("hub_a is not null or hub_b is not null").select(x.alias("x"), y.alias("y"), "weight")
-        self.lists = stage(led.groupBy("x").agg(F.collect_list(F.struct("y", "weight")).alias("to")).select("x", "to.y", "to.weight"), "lists")
+        tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-self.count // LIST_EDGES))
+        led = sided.where("hub_a is not null or hub_b is not null").select(x.alias("x"), y.alias("y"), "weight").repartition(tasks, "x")
+        self.lists = stage_dealt(led.groupBy("x").agg(F.collect_list(F.struct("y", "weight")).alias("to")).select("x", "to.y", "to.weight"), "lists", "x", tasks)
         self.rest = stage(sided.where("hub_a is null and hub_b is null").select(F.col("a").alias("x"), F.col("b").alias("y"), "weight"), "rest")
         self.bare = self.rest.isEmpty()
         self.loops = {r.g: r.w for r in edges.where("a = b").groupBy("g").agg(F.sum("weight").alias("w")).collect()}
@@ -83,7 +87,7 @@ class _Ends:
         """by's rows for runs of edges: their x, y and weight, and columns of labels (id, ...) as x_ and y_ columns."""
         told = labels.join(F.broadcast(self.hubs), F.col("id") == F.col("hub")).select("id", *columns).orderBy("id").toArrow()  # fewer than `hubs`
         ids, told = told.column("id").to_numpy(), {c: told.column(c).to_numpy() for c in columns}
-        of = lambda end: labels.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns])
+        of = lambda end: moved_by_key(labels.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]))
 
         def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -101,8 +105,15 @@ class _Ends:
         return out if self.bare else out.unionByName(self.rest.join(of("y"), "y").join(of("x"), "x").mapInArrow(rows, schema))
 
     def drop(self) -> None:
-        for x in (self.hubs, self.lists, self.rest):
+        for x in (self.hubs, self.rest):
             drop_staged(x)
+        drop_dealt(self.lists)
+
+
+def met_by(edges: DataFrame, hubs: int = HUBS) -> tuple[DataFrame, _Ends]:
+    """The nodes of staged edges, staged, and their ends."""
+    nodes = stage(_nodes(edges), "nodes")
+    return nodes, _Ends(edges, nodes, hubs)
 
 
 def _told(edges: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -172,7 +183,7 @@ def _moves(seed: int, number: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                     if able[u] and not waiting[u] and label[u] != best:
                         waiting[u] = True
                         queue.append(u)
-        return pa.table({"id": pa.array(ids), "new": pa.array(label, pa.int64())})
+        return have.select(["id", "g", "degree", "ends", "double"]).append_column("label", pa.array(label, pa.int64()))
 
     return own
 
@@ -192,20 +203,19 @@ def _quality(ends: _Ends, labels: DataFrame) -> dict[int, float]:
     return {r.g: 2 * (inner.get(r.g, 0.0) + ends.loops.get(r.g, 0.0)) / r.double - float(r.s) / r.double**2 for r in square.collect()}
 
 
-def moved(edges: DataFrame, nodes: DataFrame, start: DataFrame | None, most: int, seed: int, hubs: int = HUBS) -> DataFrame:
-    """(id, g, degree, ends, double, label) after rounds of moves; nodes is staged, start has (id, label)."""
-    ends = _Ends(edges, nodes, hubs)
-    own = nodes.withColumn("label", F.col("id")) if start is None else nodes.join(start, "id")
+def moved(edges: DataFrame, nodes: DataFrame, start: DataFrame | None, most: int, seed: int, hubs: int = HUBS, known: _Ends | None = None) -> DataFrame:
+    """(id, g, degree, ends, double, label) after rounds of moves; nodes is staged, start has (id, label), known are the edges' ends where the caller has them."""
+    ends = known or _Ends(edges, nodes, hubs)
+    own = nodes.withColumn("label", F.col("id")) if start is None else nodes.join(moved_by_key(start), "id")
     labels, number, best, idle = stage(own, "labels"), 0, None, 0
     while True:
         blocks = -(-2 * ends.count // most)
         placed = stage(_dealt(labels, blocks, most, seed, number), "placed")
         # Where there are many blocks, a half of the nodes rests in each round: what it can't see move doesn't.
         able = (F.xxhash64("id", F.lit(seed), F.lit(number)) % 2 == 0) | F.lit(blocks < 2)
-        have = placed.select("block", "id", "degree", "double", "label", "mass", able.alias("able"))
+        have = placed.select("block", "id", "g", "degree", "ends", "double", "label", "mass", able.alias("able"))
         told = ends.met(placed, "label", "mass", "block", by=_told, schema=TOLD)
-        new = have.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_moves(seed, number), "id long, new long")
-        after = stage(labels.join(new, "id").select("id", "g", "degree", "ends", "double", F.col("new").alias("label")), "labels")
+        after = stage(have.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_moves(seed, number), "id long, g int, degree double, ends long, double double, label long"), "labels")
         drop_staged(placed)
         quality = _quality(ends, after)
         if best is None:
@@ -221,10 +231,26 @@ def moved(edges: DataFrame, nodes: DataFrame, start: DataFrame | None, most: int
         drop_staged(labels)
         labels, number, idle = after, number + 1, 0 if gained else idle + 1
         if idle == IDLE:
-            ends.drop()
+            if known is None:
+                ends.drop()
             return labels
 
 
+def kept(edges: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """(x, a, b, weight): edges inside the communities that are split again."""
+    same = np.flatnonzero((edges["x_label"] == edges["y_label"]) & (edges["x_again"] == 1))
+    x, y = edges["x"][same], edges["y"][same]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (x, np.minimum(x, y), np.maximum(x, y), edges["weight"][same])], ["x", "a", "b", "weight"])
+
+
+def _within(edges: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """(block, a, b, weight), both ways: edges inside a community and a block."""
+    same = np.flatnonzero((edges["x_label"] == edges["y_label"]) & (edges["x_block"] == edges["y_block"]))
+    x, y = edges["x"][same], edges["y"][same]
+    columns = np.tile(edges["x_block"][same], 2), np.r_[x, y], np.r_[y, x], np.tile(edges["weight"][same], 2)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "a", "b", "weight"])
+
+
 def _parts(seed: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """One block's refinement: single nodes join parts of their community, so every part is connected."""
 
@@ -248,48 +274,59 @@ def _parts(seed: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                     part[v] = best
                     mass[best] += degree[v]
                     alone[v] = alone[best] = False
-        return pa.table({"id": pa.array(ids), "part": pa.array(ids[part])})
+        return have.select(["id", "g", "label"]).append_column("part", pa.array(ids[part]))
 
     return own
 
 
-def refined(edges: DataFrame, labels: DataFrame, most: int, seed: int) -> DataFrame:
-    """(id, part): connected parts of the communities that labels (staged) tell; a part does not reach over a block's bounds."""
-    blocks = -(-edges.count() // most)
+def refined(ends: _Ends, labels: DataFrame, most: int, seed: int) -> DataFrame:
+    """(id, g, label, part): connected parts of the communities that labels (staged) tell; a part does not reach over a block's bounds."""
+    blocks = -(-ends.edges // most)
     placed = stage(_dealt(labels, blocks, most, seed), "placed")
-    of = lambda c: placed.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"), F.col("block").alias(f"in_{c}"))
-    inner = edges.where("a <> b").select("a", "b", "weight").join(of("a"), "a").join(of("b"), "b").where("of_a = of_b and in_a = in_b")
-    way = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    link = inner.select(F.col("in_a").alias("block"), way.alias("way"), "weight").select("block", "way.a", "way.b", "weight")
-    found = placed.select("block", "id", "degree", "double").groupBy("block").cogroup(link.groupBy("block")).applyInArrow(_parts(seed), "id long, part long")
+    link = ends.met(placed, "label", "block", by=_within, schema="block int, a long, b long, weight double")
+    have = placed.select("block", "id", "g", "degree", "double", "label")
+    found = have.groupBy("block").cogroup(link.groupBy("block")).applyInArrow(_parts(seed), "id long, g int, label long, part long")
     out = stage(found, "parts")
     drop_staged(placed)
     return out
 
 
-def partition(edges: DataFrame, gather_edges: int, seed: int, local: Callable[[int, np.ndarray, np.ndarray, np.ndarray, int, np.ndarray], np.ndarray], hubs: int = HUBS) -> DataFrame:
+def _folded(edges: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """(g, a, b, weight): edges between parts, those of a run added up."""
+    a, b = np.minimum(edges["x_part"], edges["y_part"]), np.maximum(edges["x_part"], edges["y_part"])
+    order = np.lexsort((b, a))
+    a, b, weight = a[order], b[order], edges["weight"][order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+    columns = edges["x_g"][order][first], a[first], b[first], np.add.reduceat(weight, first) if len(first) else weight
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "a", "b", "weight"])
+
+
+def partition(edges: DataFrame, gather_edges: int, seed: int, local: Callable[[int, np.ndarray, np.ndarray, np.ndarray, int, np.ndarray], np.ndarray], hubs: int = HUBS, known: tuple[DataFrame, _Ends] | None = None) -> DataFrame:
     """(id, label), staged, for the nodes of edges (g, a, b, weight; staged, a row for each pair of nodes of a graph).
 
-    local finishes a graph of at most gather_edges: (nodes, a, b, weight, seed, start) -> labels."""
+    known are the nodes and ends of these edges where the caller has them.  local finishes a graph of at most gather_edges: (nodes, a, b, weight, seed, start) -> labels."""
     ready(edges.sparkSession)
     graph, place, start = edges, None, None
     while max(r.n for r in graph.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()) > gather_edges:  # a row for each graph
-        nodes = stage(_nodes(graph), "nodes")
-        labels = moved(graph, nodes, start, gather_edges, seed, hubs)
-        parts = refined(graph, labels, gather_edges, seed)
+        own = graph is edges and known
+        nodes, ends = known if own else met_by(graph, hubs)
+        labels = moved(graph, nodes, start, gather_edges, seed, hubs, ends)
+        parts = refined(ends, labels, gather_edges, seed)
         rows, left = parts.agg(F.count(F.lit(1)), F.count_distinct("part")).first()
         # A part's id is that of a node in it, so it lies in that node's community.
-        start = stage(parts.join(labels.select("id", "label"), "id").groupBy(F.col("part").alias("id")).agg(F.min("label").alias("label")), "start")
-        onward = parts.select(F.col("id").alias("part"), F.col("part").alias("onward"))
-        place, old = parts if place is None else stage(place.join(onward, "part").select("id", F.col("onward").alias("part")), "places"), place
-        of = lambda c, parts=parts: parts.select(F.col("id").alias(c), F.col("part").alias(f"of_{c}"))
-        folded = graph.join(of("a"), "a").join(of("b"), "b").groupBy("g", F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).agg(F.sum("weight").alias("weight"))
-        after = stage(folded, "folded-edges")
-        for x in (nodes, labels, *([graph] if graph is not edges else []), *([old, parts] if old is not None else [])):
+        start = stage(parts.groupBy(F.col("part").alias("id")).agg(F.min("label").alias("label")), "start")
+        onward = moved_by_key(parts.select(F.col("id").alias("part"), F.col("part").alias("onward")))
+        place, old = parts.select("id", "part") if place is None else stage(place.join(onward, "part").select("id", F.col("onward").alias("part")), "places"), place
+        loops = graph.where("a = b").select(F.col("a").alias("id"), "weight").join(moved_by_key(parts), "id").select("g", F.col("part").alias("a"), F.col("part").alias("b"), "weight")
+        folded = ends.met(parts, "part", "g", by=_folded, schema="g int, a long, b long, weight double").unionByName(loops)
+        after = stage(folded.groupBy("g", "a", "b").agg(F.sum("weight").alias("weight")), "folded-edges")
+        if not own:
+            ends.drop()
+        for x in (labels, *([] if own else [nodes]), *([graph] if graph is not edges else []), *([old, parts] if old is not None else [])):
             drop_staged(x)
         graph = after
         if left == rows:  # nothing folds any more: the communities are what they are
-            return stage(place.join(start.select(F.col("id").alias("part"), "label"), "part").select("id", "label"), "communities")
+            return stage(place.join(moved_by_key(start).select(F.col("id").alias("part"), "label"), "part").select("id", "label"), "communities")
 
     def finish(have: pa.Table, link: pa.Table) -> pa.Table:
         have = have.sort_by("id")
@@ -303,7 +340,7 @@ def partition(edges: DataFrame, gather_edges: int, seed: int, local: Callable[[i
         return pa.table({"part": pa.array(ids), "label": pa.array(least[found])})
 
     first = graph.select("g", F.explode(F.array("a", "b")).alias("id")).distinct()
-    first = first.join(start, "id") if start is not None else first.withColumn("label", F.col("id"))
+    first = first.join(moved_by_key(start), "id") if start is not None else first.withColumn("label", F.col("id"))
     first = first.toDF(*first.columns)  # columns of its own, not those of graph
     ends = first.groupBy("g").cogroup(graph.groupBy("g")).applyInArrow(finish, "part long, label long")
-    return stage(ends.withColumnRenamed("part", "id") if place is None else place.join(ends, "part").select("id", "label"), "communities")
+    return stage(ends.withColumnRenamed("part", "id") if place is None else place.join(moved_by_key(ends), "part").select("id", "label"), "communities")

@@ -33,6 +33,29 @@ def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_dealt(df: DataFrame, label: str, key: str, tasks: int, codec: str = "zstd") -> DataFrame:
+    """As stage, for a table that is joined by key again and again: rows lie in buckets of the key, so such a join moves its other side only."""
+    spark = df.sparkSession
+    path = staged_path(spark, label)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(tasks, key).write.option("compression", codec).option("path", path).bucketBy(tasks, key).saveAsTable(name)
+    return spark.table(name)
+
+
+def drop_dealt(df: DataFrame) -> None:
+    """Forget a table that stage_dealt made, and delete its files."""
+    drop_staged(df)
+    for path in {x.rsplit("/", 2)[1] for x in df.inputFiles()}:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {path.replace('-', '_')}")
+
+
+def moved_by_key(df: DataFrame) -> DataFrame:
+    """df as a side of a join that never sends it whole through the driver.
+
+    Spark takes a staged table's compressed files for its size, and would broadcast names or labels of millions of rows as a few MB."""
+    return df.hint("merge")
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a staged table that nothing reads any more, by the store's own file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

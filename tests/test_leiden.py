@@ -85,3 +85,43 @@ def test_levels_of_a_graph_that_is_not_gathered(spark):
     assert {str(x) for x in got if x.collection == "small"} == plain and len(plain) == 1
     # The four groups that hold together are found by either way.
     assert {tuple(x.entity_names) for x in big if x.level == 0} == {tuple(x.entity_names) for x in C.detect(e, r, settings).collect() if x.collection == "big" and x.level == 0}
+
+
+def broadcast_rows(spark, since=-1):
+    """The rows of each table that a plan run after execution `since` broadcast, and the last execution."""
+    store, found, last = spark._jsparkSession.sharedState().statusStore(), [], since
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    for i in range(runs.size()):
+        number = runs.apply(i).executionId()
+        last = max(last, number)
+        if number <= since:
+            continue
+        told, every = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (every.apply(n) for n in range(every.size())):
+            metrics = node.metrics()
+            for metric in (metrics.apply(m) for m in range(metrics.size())):
+                if node.name() == "BroadcastExchange" and metric.name() == "number of output rows" and told.contains(metric.accumulatorId()):
+                    found.append(int(told.apply(metric.accumulatorId()).replace(",", "")))
+    return found, last
+
+
+def test_nothing_of_a_row_for_each_node_is_broadcast(spark, monkeypatch):
+    """Names, labels, parts and communities go by key at every step, though their files are a few KB; only hubs and graphs go to every task."""
+    names = [f"n{g:02}{i:02}" for g in range(12) for i in range(12)]
+    inside = [(f"n{g:02}{i:02}", f"n{g:02}{j:02}") for g in range(12) for i in range(12) for j in range(i) if (i < 6) == (j < 6) or (i + j) % 5 == 0]
+    bridges = [(f"n{g:02}00", f"n{g + 1:02}00") for g in range(11)]
+    e = spark.createDataFrame([("big", n, "", "d", []) for n in names], ENTITIES)
+    r = spark.createDataFrame([("big", a, b, "P", "", "") for a, b in [*inside, *bridges]], RELATIONS)
+    e, r = stage(e, "test-entities"), stage(r, "test-relations")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    if hasattr(C, "met_by"):
+        made = C.met_by
+        monkeypatch.setattr(C, "met_by", lambda edges: made(edges, 0))  # a graph this small is all hubs
+    plain = C.partition
+    monkeypatch.setattr(C, "partition", lambda *a, **k: plain(*a, hubs=0, **k))
+    _, before = broadcast_rows(spark)
+    got = C.detect(e, r, Settings(community_max_size=8), gather_edges=300).collect()
+    assert sorted(n for x in got if x.level == 0 for n in x.entity_names) == names and {x.level for x in got} >= {0, 1}
+    found, _ = broadcast_rows(spark, before)
+    assert found and max(found) <= 2  # 144 nodes, 24 communities
